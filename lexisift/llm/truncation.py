@@ -29,7 +29,7 @@ _EVENT = regex.compile(
     r"|(?P<tag></?(?:div|span|ul|ol|table|tbody|thead|h[1-6]|b|i|em|strong|a|pre|code|blockquote|section|article|sub|sup|font)(?:\s[^<>]*)?>)|(?P<comment><!--|-->)|(?P<mark>[“”„«»()\[\]{}「」『』（）【】《》])|(?P<par>\n\s*\n)",
     regex.I,
 )
-_BROKEN_END = regex.compile(r"(?:�+|&(?:#x?[0-9a-fA-F]*|[a-zA-Z]{2,8})|\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?|[a-zA-Z]+\{[^{}]*)|%[0-9A-F]?|<(?:/?[a-zA-Z][^<>]*)?|\{\{[^{}]*|\[\[[^\[\]]*|\]\([^()\s]*|(?<![\w$])\$[^$\n]*\\[a-zA-Z]+[^$\n]*)$")
+_BROKEN_END = regex.compile(r"(?:�+|&(?:#x?[0-9a-fA-F]*|[a-zA-Z]{2,8})|\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?|[a-zA-Z]+\{[^{}]*)|%[0-9A-F]?|<(?:/?[a-zA-Z][^<>]*)?|\{\{[^{}]*|\[\[[^\[\]]*|\]\([^()\s]*)$")
 _CLOSING_MARKUP = regex.compile(r"(?:</\w+\s*>|-->|\\end\{[^{}]*\}|```|~~~|\|\}|\}\}|\]\]|\|[ \t]*|\\\]|\\\)|/>|<br\s*>|<hr\s*>)$", regex.I)
 _ITEM = regex.compile(r"[ \t]*(?:[-*+•–]|\(?(?:\p{N}{1,3}|[a-zA-Z])[.)])[ \t]+\S")
 _UNIT = regex.compile(r"(?P<u>[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}ー])|(?P<w>[\p{L}\p{M}\p{N}]+(?:['’‑\-./,:@_+][\p{L}\p{M}\p{N}]+)*)|(?P<s>[^\s\p{L}\p{M}\p{N}])|(?P<n>[ \t]*[\n\r]\s*)|(?P<g>\s+)")
