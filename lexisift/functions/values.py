@@ -57,7 +57,8 @@ def safe_div(a: Column, b: Column, default: float = 0.0) -> Column:
 
 def guarded(c: Column, default: float = 0.5, bound: float = 1e8) -> Column:
     """Null, NaN and infinite values become the default; the rest is clipped to the bound."""
-    return F.coalesce(F.greatest(F.lit(-bound), F.least(F.lit(bound), finite(c))), F.lit(default))
+    x = finite(c)
+    return F.when(x.isNull(), default).otherwise(F.greatest(F.lit(-bound), F.least(F.lit(bound), x)))
 
 
 def is_missing_text(c: Column) -> Column:

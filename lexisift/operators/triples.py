@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 CONFIDENT = 0.75
 GATE = 0.60
 # Connecting phrases with their predicates, and causal verbs.
@@ -103,7 +105,7 @@ def extract(df: DataFrame, keys: list[str], text: str, surfaces: dict[str, str])
             idx, cols = pa.array(at, pa.int32()), list(zip(*rows)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([*[c.take(idx) for c in b.columns[:k]], *[pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.string(), pa.float64(), pa.string()))]], [*keys, "subject", "predicate", "object", "confidence", "step"])
 
-    return df.select(*keys, text).mapInArrow(run, f"{spec}, subject string, predicate string, object string, confidence double, step string")
+    return spread(df.select(*keys, text)).mapInArrow(run, f"{spec}, subject string, predicate string, object string, confidence double, step string")
 
 
 def entity_spans(df: DataFrame, keys: list[str], text: str, surfaces: dict[str, str]) -> DataFrame:
@@ -122,7 +124,7 @@ def entity_spans(df: DataFrame, keys: list[str], text: str, surfaces: dict[str,
             idx, cols = pa.array(at, pa.int32()), list(zip(*rows)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([*[c.take(idx) for c in b.columns[:k]], *[pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.string(), pa.bool_()))]], [*keys, "start", "end", "name", "negated"])
 
-    return df.select(*keys, text).mapInArrow(run, f"{spec}, start int, end int, name string, negated boolean")
+    return spread(df.select(*keys, text)).mapInArrow(run, f"{spec}, start int, end int, name string, negated boolean")
 
 
 def contained_form(df: DataFrame, text: str, vocabulary: DataFrame) -> DataFrame:

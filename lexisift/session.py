@@ -35,3 +35,11 @@ def ship(spark: SparkSession) -> SparkSession:
         spark.sparkContext.addPyFile(str(target))
         _shipped.add(app)
     return spark
+
+
+def spread(df, per_core: int = 2):
+    """Balance the rows of a scan before CPU-heavy Python when it gives fewer splits than there are cores; larger scans pass unshuffled.
+
+    Only for plans without a shuffle of their own: counting the partitions of an adaptive plan would run it."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores * per_core)
