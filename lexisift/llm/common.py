@@ -9,6 +9,8 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread  # noqa: F401
+
 RESPONSE_FIELDS = ("nlq_response", "nlq_cot_response", "sparql_response", "sparql_cot_response")
 
 # Spellings that stand for a missing answer, words of a bare answer tag, heads of failure notices.
@@ -29,12 +31,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
-    """Balance rows before CPU-heavy Python when the scan gives fewer splits than cores; large scans pass unshuffled."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores * per_core)
-
-
 def durable(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint in the folder the cluster names in spark.checkpoint.dir; one is set only where none is (tests)."""
     sc = df.sparkSession.sparkContext

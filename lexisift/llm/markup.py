@@ -311,8 +311,8 @@ def extract(values: DataFrame, keys: list[str], host: str = "model", value: str
     least least_votes values; text of all other paths is kept. Empty values are none."""
     real = values.filter(~is_empty(F.col(value))).filter(F.col(value).rlike(r"[<&\\$*#\[{`~_=']|(?m)^>|^---"))
     losing = path_votes(real, host, value).filter((F.col("votes") >= least_votes) & (F.col("score") < 0)).groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("_losing"))
-    j = real.select(*keys, F.col(host).cast("string").alias("host"), F.col(value).alias("_v")).join(losing, "host", "left")
-    src = spread(j.select(*keys, "_v", "_losing"))
+    j = spread(real.select(*keys, F.col(host).cast("string").alias("host"), F.col(value).alias("_v"))).join(losing, "host", "left")
+    src = j.select(*keys, "_v", "_losing")
     spec = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields if f.name in keys)
 
     def run(batches):

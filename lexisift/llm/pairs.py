@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import INVISIBLE, is_empty, spread
+from .common import INVISIBLE, is_empty
 from .seed_sentences import SEED
 from .sentences import sentence_ends
 
@@ -116,10 +116,19 @@ _COURTESY = regex.compile(_SOFT, regex.I)
 _ECHO_HEAD = regex.compile(r"^[\W_]*(?:(?:the |your |my )?(?:question|query|prompt)(?: (?:is|was|asked|reads))?|you (?:asked|wrote|want to know|are asking)|q|i was asked|(?:die |ihre )?frage(?: lautet)?|sie fragten|(?:la |votre )?question(?: est)?|vous (?:demandez|avez demandé)|(?:la |su )?pregunta(?: es)?|usted pregunt\w+|(?:a |sua )?pergunta(?: é)?|você perguntou|вопрос|вы спросили|问题|问|您问|質問|問|प्रश्न|सवाल|คำถาม)\s*[:：\-–—]", regex.I)
 _TAG_HEAD = regex.compile(r"^[\W_]*(?:final answer|answer|response|antwort|réponse|respuesta|resposta|ответ|答案|回答|答え|उत्तर|คำตอบ)[*_\s]*[:：]\s*", regex.I)
 _SPLIT = regex.compile(r"(?<=[,;])\s+(?=(?:but|yet|however|so|though|although|because|aber|doch|denn|jedoch|mais|car|pero|sino|aunque|mas|porém|но|однако|а)\b)|(?<=；)")
+_ASCII_UNITS = re.compile("[a-z0-9]+")
 _UNITS = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]|[\p{L}\p{M}\p{N}]+")
 
 
+@functools.lru_cache(maxsize=4096)
+def _question(q: str) -> tuple[list[str], frozenset, frozenset]:
+    u = _units(q)
+    return u, frozenset(u), frozenset(zip(u, u[1:]))
+
+
 def _units(t: str) -> list[str]:
+    if t.isascii():
+        return _ASCII_UNITS.findall(t.lower())
     return _UNITS.findall(unicodedata.normalize("NFKC", t).casefold())
 
 
@@ -133,10 +142,12 @@ def clauses(text: str) -> list[str]:
 FEATURES = ("bias", "strong", "soft", "echo_full", "echo_most", "echo_some", "echo_none", "echo_head", "other_language", "same_language", "no_language", "cut", "first", "last", "short", "digits", "after_strong", "long")
 
 
+_AT = {name: i for i, name in enumerate(FEATURES)}
+
+
 def features(cs: list[str], question: str, cut: bool) -> np.ndarray:
     """One row of 0/1 features per clause."""
-    q = _units(question)
-    qset, qpairs = set(q), set(zip(q, q[1:]))
+    _, qset, qpairs = _question(question)
     ql, _ = language(question)
     whole = Counter()
     known = [language(c) for c in cs]
@@ -145,6 +156,8 @@ def features(cs: list[str], question: str, cut: bool) -> np.ndarray:
             whole[k] += w
     main = whole.most_common(1)[0][0] if whole else None
     x = np.zeros((len(cs), len(FEATURES)))
+    strongs = [declines(c) for c in cs]
+    refused = any(strongs)  # courtesies mean something only beside a refusal
     seen = False
     for i, c in enumerate(cs):
         body = _ECHO_HEAD.sub("", _TAG_HEAD.sub("", c))
@@ -152,9 +165,9 @@ def features(cs: list[str], question: str, cut: bool) -> np.ndarray:
         shared = sum(w in qset for w in u) / len(u) if u else 0.0
         pairs = sum(p in qpairs for p in zip(u, u[1:])) / (len(u) - 1) if len(u) > 1 else 0.0
         lang, weight = known[i] if body == c else language(body)
-        strong = declines(c)
+        strong = strongs[i]
         f = ["bias"]
-        f += ["strong"] * strong + ["soft"] * bool(_COURTESY.search(c)) + ["echo_head"] * bool(_ECHO_HEAD.match(_TAG_HEAD.sub("", c)))
+        f += ["strong"] * strong + ["soft"] * (refused and bool(_COURTESY.search(c))) + ["echo_head"] * bool(_ECHO_HEAD.match(_TAG_HEAD.sub("", c)))
         f.append("echo_full" if shared >= 0.85 and pairs >= 0.7 else "echo_most" if shared >= 0.65 and pairs >= 0.4 else "echo_some" if shared >= 0.4 else "echo_none")
         # a clause speaks another language only if the response as a whole does, so that quotations do not count
         if ql and lang and lang != ql and main != ql and (weight >= 2 or main == lang and weight >= 1):
@@ -166,8 +179,7 @@ def features(cs: list[str], question: str, cut: bool) -> np.ndarray:
         f += ["cut"] * (cut and i == len(cs) - 1) + ["first"] * (i == 0) + ["last"] * (i == len(cs) - 1)
         f += ["short"] * (len(u) <= 4) + ["long"] * (len(u) >= 12) + ["digits"] * bool(regex.search(r"\p{N}", c)) + ["after_strong"] * seen
         seen = seen or strong
-        for name in f:
-            x[i, FEATURES.index(name)] = 1.0
+        x[i, [_AT[name] for name in f]] = 1.0
     return x
 
 
@@ -311,7 +323,7 @@ def judge(question: str, value: str, cut: bool, w: np.ndarray, t: np.ndarray) ->
     for c, y in zip(cs, tags):
         cover[y] += len(c) / total
     answer, refusal, echo, foreign, unfinished = cover
-    said, asked = len(_units(value)), len(_units(question))
+    said, asked = len(_units(value)), len(_question(question)[0])
     if echo and not refusal and answer + foreign + unfinished < 0.05 and said >= 0.5 * asked or _only_question(question, value):
         return "copy", cover
     if refusal and answer + foreign < 0.05 and refusal >= unfinished:
@@ -323,7 +335,10 @@ def judge(question: str, value: str, cut: bool, w: np.ndarray, t: np.ndarray) ->
 
 def _only_question(question: str, value: str) -> bool:
     """The value, without a head that announces it, has the question's words in their order, give or take a tenth."""
-    q, v = _units(question), _units(_ECHO_HEAD.sub("", _TAG_HEAD.sub("", value)))
+    q = _question(question)[0]
+    if len(value) > 2 * len(question) + 40:
+        return False
+    v = _units(_ECHO_HEAD.sub("", _TAG_HEAD.sub("", value)))
     if not q or not v or abs(len(q) - len(v)) > 0.1 * len(q) + 1:
         return False
     qp, vp = Counter(zip([""] + q, q)), Counter(zip([""] + v, v))
@@ -342,7 +357,7 @@ def defects(pairs: DataFrame, cut: DataFrame, keys: list[str]) -> DataFrame:
     by the JVM; all others are read whole, each on its own."""
     real = pairs.filter(usable_question(F.col("question")))
     flagged = real.withColumn("empty", is_empty(F.col("value"))).join(cut.select(*keys, F.col("truncated").alias("_cut")), keys, "left")
-    src = spread(flagged.select(*keys, "empty", F.coalesce("_cut", F.lit(False)).alias("_cut"), "question", F.col("value").alias("_v")))
+    src = flagged.select(*keys, "empty", F.coalesce("_cut", F.lit(False)).alias("_cut"), "question", F.col("value").alias("_v"))
     spec = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields if f.name in keys)
     w, t = trained()
     k = len(keys)

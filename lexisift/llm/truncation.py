@@ -8,8 +8,8 @@ text, words that always go on speak for a broken one. Token limits of the models
 
 from __future__ import annotations
 
-import math
-from collections import Counter
+import functools
+import re
 
 import pyarrow as pa
 import regex
@@ -32,7 +32,8 @@ _EVENT = regex.compile(
 _BROKEN_END = regex.compile(r"(?:�+|&(?:#x?[0-9a-fA-F]*|[a-zA-Z]{2,8})|\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?|[a-zA-Z]+\{[^{}]*)|%[0-9A-F]?|<(?:/?[a-zA-Z][^<>]*)?|\{\{[^{}]*|\[\[[^\[\]]*|\]\([^()\s]*)$")
 _CLOSING_MARKUP = regex.compile(r"(?:</\w+\s*>|-->|\\end\{[^{}]*\}|```|~~~|\|\}|\}\}|\]\]|\|[ \t]*|\\\]|\\\)|/>|<br\s*>|<hr\s*>)$", regex.I)
 _ITEM = regex.compile(r"[ \t]*(?:[-*+•–]|\(?(?:\p{N}{1,3}|[a-zA-Z])[.)])[ \t]+\S")
-_UNIT = regex.compile(r"(?P<u>[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}ー])|(?P<w>[\p{L}\p{M}\p{N}]+(?:['’‑\-./,:@_+][\p{L}\p{M}\p{N}]+)*)|(?P<s>[^\s\p{L}\p{M}\p{N}])|(?P<n>[ \t]*[\n\r]\s*)|(?P<g>\s+)")
+_UNIT = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}ー]|[\p{L}\p{M}\p{N}]+(?:['’‑\-./,:@_+][\p{L}\p{M}\p{N}]+)*")
+_ASCII_UNIT = re.compile(r"[A-Za-z0-9]+(?:['\-./,:@_+][A-Za-z0-9]+)*")
 _CHAR_SCRIPT = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]")
 ORDERS = (1, 2, 3)
 # characters that count as a word in scripts without spaces
@@ -130,31 +131,44 @@ def ending(text: str) -> str:
     return "bare"
 
 
+_CLOSERS = "”“»\"'’)]}」』）】*_~`"
+
+
+@functools.lru_cache(maxsize=50_000)
+def _after(gap: str, last: bool, thai: bool) -> str:
+    """What the signs between a unit and the next say about the unit."""
+    g = gap.lstrip(_CLOSERS)
+    if not g.strip():
+        if last:
+            return "text"
+        return "end" if "\n" in g or "\r" in g or thai and g else "more"
+    c = g[0]
+    if c.isspace() and ("\n" in g[: len(g) - len(g.lstrip())] or "\r" in g[: len(g) - len(g.lstrip())]):
+        return "end"
+    if c in _TERMINAL:
+        return "end" if c in "。！？．।" or len(g) > 1 or last else "more"
+    return "end" if c in "<|\\" else "more"
+
+
 def _stream(text: str) -> list[tuple[str, str]]:
     """(unit, what follows it): 'end' before a terminator, a line end or a space of Thai not beside a number, 'more' otherwise; 'text' at the end of the text."""
-    toks = [(m.lastgroup, m.group()) for m in _UNIT.finditer(text)]
+    found = list((_ASCII_UNIT if text.isascii() else _UNIT).finditer(text))
     out: list[tuple[str, str]] = []
-    n = len(toks)
-    for i, (k, s) in enumerate(toks):
-        if k not in ("u", "w"):
-            continue
-        j = i + 1
-        while j < n and toks[j][0] == "s" and toks[j][1] in "”“»\"'’)]}」』）】*_~`":
-            j += 1
-        if j >= n or (toks[j][0] in ("n", "g") and j + 1 >= n):
-            nxt = "text"
-        elif toks[j][0] == "n":
-            nxt = "end"
-        elif toks[j][0] == "s" and toks[j][1] in _TERMINAL:
-            nxt = "end" if j + 1 >= n or toks[j + 1][0] in ("n", "g", "s") or toks[j][1] in "。！？．।" else "more"
-        elif toks[j][0] == "s" and toks[j][1] in "<|\\":
-            nxt = "end"
-        elif k == "u" and toks[j][0] == "g" and "ก" <= s <= "๛" and not (j + 1 < n and toks[j + 1][1][:1].isdigit()):
-            nxt = "end"
-        else:
+    if not found:
+        return out
+    starts = [m.start() for m in found]
+    starts.append(len(text))
+    most = len(found) - 1
+    for i, m in enumerate(found):
+        u = m.group()
+        gap = text[m.end() : starts[i + 1]]
+        if gap == " " and i < most and not "ก" <= u <= "๛":
             nxt = "more"
-        u = s.lower()
-        out.append((u if k == "u" else regex.sub(r"\p{N}+", "#", u), nxt))
+        else:
+            thai = "ก" <= u[-1] <= "๛" and not (i < most and text[starts[i + 1]].isdigit())
+            nxt = _after(gap, i == most, thai)
+        u = u.lower()
+        out.append((u if u.isalpha() else regex.sub(r"\p{N}+", "#", u), nxt))
     return out
 
 
