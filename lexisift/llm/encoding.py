@@ -20,6 +20,7 @@ from .common import spread
 
 # Single-byte and double-byte encodings that UTF-8 is read as, and pairs of legacy encodings.
 UTF8_READERS = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1250", "iso8859-15", "cp1254", "cp1251", "koi8-r", "cp866", "mac_cyrillic", "cp874", "gb18030", "shift_jis", "big5", "euc_kr")
+CYRILLIC_READERS = ("cp1251", "koi8-r", "cp866", "mac_cyrillic")
 LEGACY_PAIRS = (
     ("cp1251", "latin-1"), ("cp1251", "cp1252"), ("koi8-r", "latin-1"), ("koi8-r", "cp1252"), ("cp866", "cp1252"), ("iso8859-5", "latin-1"),
     ("koi8-r", "cp1251"), ("cp1251", "koi8-r"), ("cp866", "cp1251"), ("cp1251", "cp866"), ("mac_cyrillic", "cp1251"),
@@ -87,7 +88,8 @@ def _alphabet() -> list[str]:
     return list(dict.fromkeys(out))
 
 
-QUOTES = set("«»‹›“”„‚‘’\"'–—…·• ¡¿°ºª§®©™ ,.;:!?()[]")
+QUOTES = set("«»‹›“”„‚‘’\"'–—…·• ¡¿°ºª§®™ ,.;:!?()[]")
+SIGNS = set("°ºª®·¡¿§")
 
 
 class Garbled:
@@ -126,6 +128,7 @@ class Garbled:
         self.quoted_left, self.quoted_right = re.compile(r"[\"'“‘«„(\[]\s?$"), re.compile(r"^\s?[\"'”’»“)\]]")
         # runs of letters above ASCII for the single-byte legacy pairs
         self.high_word = re.compile(r"[\x80-\xffŒ-Ÿƒˆ˜–-›€™]{4,}")
+        self.between = re.compile(r"[\s,.;:!?0-9()\x80-\xffŒ-Ÿ-]{0,40}")
         # Cyrillic words in a row, for Cyrillic read as other Cyrillic
         self.cyrillic = re.compile(r"[Ѐ-џ─-▟°±є]+(?:[ ,.;:!?\d\n-]+[Ѐ-џ─-▟°±є]+)*")
 
@@ -145,7 +148,12 @@ class Garbled:
         """Maximal runs of finds: (start, end, pair, strong). Of several pairs that of most characters wins, the earlier named on ties."""
         hits = []
         for end, (n, ps, strong) in self.automaton.iter(text):
-            hits.append((end + 1 - n, end + 1, ps, strong))
+            at = end + 1 - n
+            if not strong and at and text[at].isupper():
+                # a capital inside a word of small letters, or alone before a sign, is not clean text either
+                before = text[at - 1]
+                strong = before.islower() or (not before.isupper() and all(c in SIGNS for c in text[at + 1 : end + 1]))
+            hits.append((at, end + 1, ps, strong))
         if not hits:
             return []
         hits.sort(key=lambda h: (h[0], -h[1]))
@@ -193,7 +201,11 @@ class Garbled:
                 if score > 0.75 and (best is None or score > best[0]):
                     best = (score, (written, read))
             if best and not clean_word(w):
-                out.append((m.start(), m.end(), [best[1]], True))
+                last = out[-1] if out else None
+                if last and last[2] == [best[1]] and self.between.fullmatch(text, last[1], m.start()):
+                    out[-1] = (last[0], m.end(), last[2], True)  # short words between two finds belong to them
+                else:
+                    out.append((m.start(), m.end(), [best[1]], True))
         for m in self.cyrillic.finditer(text):
             w = m.group(0)
             if len(w) < 12 or russian(w) > 0.45:
@@ -278,6 +290,28 @@ def garbled() -> Garbled:
     return Garbled()
 
 
+def _widen(text: str, s: int, e: int, pairs) -> tuple[int, int]:
+    """The span with neighbouring characters that the automaton leaves out as they look clean, as long as the whole turns back."""
+    fits = lambda a, b: any(w == "utf-8" and (x := _encode(text[a:b], r)) is not None and _valid(x) for w, r in pairs[:3])
+    if not fits(s, e):
+        return s, e
+    while True:
+        for a, b in ((s, e + 2), (s, e + 4), (s - 2, e), (s - 4, e)):
+            if a >= 0 and b <= len(text) and not any(c.isascii() for c in text[a:s] + text[e:b]) and fits(a, b):
+                s, e = a, b
+                break
+        else:
+            return s, e
+
+
+def _valid(data: bytes) -> bool:
+    try:
+        data.decode("utf-8")
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
 def _turn_back(s: str, pairs) -> str | None:
     """The span turned back by the first pair that fits it whole; else with what was lost left as U+FFFD."""
     for written, read in pairs:
@@ -322,6 +356,9 @@ def repair(text: str | None) -> tuple[bool, str | None, str | None]:
         real, last = [], -1
         for s, e, ps, strong in spans:
             if s >= last and not _shown(g, cur, s, e):
+                if strong and ps[0][0] == "utf-8" and ps[0][1] in CYRILLIC_READERS:
+                    a, e = _widen(cur, s, e, ps)
+                    s = max(a, last, 0)
                 real.append((s, e, ps, strong))
                 last = e
         # finds that clean text might contain count only beside sure ones

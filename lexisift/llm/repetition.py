@@ -45,9 +45,11 @@ def repeated_flags(u: list[str], least: int) -> list[bool]:
     for i in range(n - seed + 1):
         w = tuple(u[i : i + seed])
         j = last.get(w)
-        if j is not None and i - j >= seed:
+        if j is None:
+            last[w] = i
+        elif i - j >= seed:  # windows that overlap their own kind wait for the next one clear of it
             links[i - j].append(i)
-        last[w] = i
+            last[w] = i
     for d, starts in links.items():
         runs: list[list[int]] = []
         for i in starts:

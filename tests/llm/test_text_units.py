@@ -1,0 +1,213 @@
+"""Operators that work on one text at a time."""
+
+import itertools
+import random
+
+import pytest
+
+from lexisift.llm import bpe, encoding, markup, pairs, repetition, sentences, truncation
+from lexisift.llm.tokens import plan_slots
+
+
+def ends(t):
+    return [e for _, e, _ in sentences.sentence_ends(t)]
+
+
+@pytest.mark.parametrize(
+    "parts",
+    [
+        ["Dr. Ames came at 5 p.m. on Monday.", "He left."],
+        ["See Art. 5 para. 2 of the act.", "“Who paid?” asked the clerk.", "No."],
+        ["Am 3. April kam Hr. Lang.", "Das gilt z. B. auch hier."],
+        ["«Ты идёшь?» — спросила она.", "Это стоит 30 руб. в месяц."],
+        ["他说：“好。”", "没有人来。"],
+        ["「はい。」と彼は言いました。", "それだけです。"],
+        ["यह सही है।", "डॉ. वर्मा आए।"],
+    ],
+)
+def test_sentences(parts):
+    sep = "" if ord(parts[0][-1]) in (0x3002, 0x201D) else " "
+    text, want = "", []
+    for p in parts:
+        text += (sep if text else "") + p
+        want.append(len(text))
+    assert ends(text) == want
+
+
+def test_sentence_edges():
+    assert ends(None) == ends("") == ends(" \n ") == []
+    assert ends("  One here.\n\nA rest with") == [11, 24]
+    assert ends("It rained.The sun came.") == [10, 23]
+    assert ends("ราคาเพิ่มขึ้น 5 บาท เขากลับบ้าน") == [19, 31]
+    long = "All is well. " * 5000
+    assert len(ends(long)) == 5000
+
+
+def test_posteriors_sum_over_events():
+    cands = sentences.candidates("Dr. Ames of Holt Ltd. spoke. He left... and no. 5 came.")
+    m = sentences.model()
+    total, marg = 0.0, [0.0] * len(cands)
+    for ev in itertools.product("SN", repeat=len(cands)):
+        p, prev = 1.0, "S"
+        for c, e in zip(cands, ev):
+            p *= m.p_event(c["sym"], e) * m.p_next(c["sym"], e, c["nxt"]) * m.p_length(prev, e, c["gap"])
+            prev = e
+        total += p
+        for i, e in enumerate(ev):
+            marg[i] += p * (e == "S")
+    assert m.posteriors(cands) == pytest.approx([x / total for x in marg])
+
+
+def test_encoder_round_trip_and_reference():
+    tokenizers = pytest.importorskip("tokenizers")
+    t = tokenizers.Tokenizer.from_file(bpe.default_vocabulary())
+    t.encode_special_tokens = True
+    enc = bpe.encoder(bpe.default_vocabulary())
+    rng = random.Random(9)
+    alphabet = "abcdeé ñ中文 ไทยहिन्दी\n\t 012.,!'’<|endoftext|>🙂́"
+    texts = ["", " ", "a" * 3000, "<|endoftext|>", "I'll we've 12345", "e\u0301"] + ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 120))) for _ in range(300)]
+    for x in texts:
+        assert enc.encode(x).tolist() == t.encode(x, add_special_tokens=False).ids
+    assert enc.encode(None).tolist() == []
+
+
+def test_compatible_pairs_against_merging():
+    enc = bpe.encoder(bpe.default_vocabulary())
+
+    def merged(s):
+        ids = [enc.whole[c] for c in s]
+        while True:
+            best = min(((enc.rank[enc.merged[a, b]], i) for i, (a, b) in enumerate(zip(ids, ids[1:])) if (a, b) in enc.merged), default=None)
+            if best is None:
+                return ids
+            i = best[1]
+            ids[i : i + 2] = [enc.merged[ids[i], ids[i + 1]]]
+
+    by_id = {i: s for s, i in enc.whole.items()}
+    rng = random.Random(1)
+    words = [w for w in enc.whole if w.isalpha() and len(w) < 5]
+    for _ in range(400):
+        a, b = enc.whole[rng.choice(words)], enc.whole[rng.choice(words)]
+        if merged(by_id[a]) == [a] and merged(by_id[b]) == [b]:
+            assert enc.compatible(a, b) == (merged(by_id[a] + by_id[b]) == [a, b])
+
+
+def test_plan_slots_places_everything():
+    rng = random.Random(4)
+    hist = {rng.randint(1, 100): rng.randint(1, 500) for _ in range(40)} | {0: 7}
+    load, seen = {}, {}
+    for length, first, items, start, per in plan_slots(hist, 100):
+        for r in range(items):
+            c = start + r // per
+            load[c] = load.get(c, 0) + length
+        seen.setdefault(length, []).extend(range(first, first + items))
+    assert max(load.values()) <= 100
+    assert {k: sorted(v) for k, v in seen.items()} == {k: list(range(n)) for k, n in hist.items()}
+    total = sum(k * n for k, n in hist.items())
+    assert len(load) <= total / 100 * 1.05 + 1
+    assert plan_slots({}, 100) == []
+
+
+def test_repetition():
+    r = repetition.repeated_share
+    assert r(None) == r("") == r("...!") == (0, 0)
+    n, k = r("The fee is due in May. the FEE is due, in june! The fee is due in May")
+    assert k / n > 0.9
+    n, k = r("One two three four five six seven eight nine ten. Nothing here was said before.")
+    assert k == 0
+    n, k = r("1. we close at noon on friday\n2. we close at noon on monday\n3. we close at noon on friday")
+    assert k / n > 0.8
+    n, k = r("请不要重启路由器两次。请不要重启路由器三次。请不要重启路由器两次。")
+    assert k / n > 0.9
+    n, k = r("word " * 20_000)
+    assert k == n == 20_000
+
+
+def test_repeated_flags_find_exact_passages():
+    rng = random.Random(6)
+    for _ in range(50):
+        u = [rng.choice("abcdefghijklmnopqrstuvwxyz") + rng.choice("0123456789") for _ in range(30)]
+        at, n = rng.randint(0, 20), rng.randint(4, 9)
+        v = u + u[at : at + n]
+        flags = repetition.repeated_flags(v, 4)
+        assert all(flags[at : at + n]) and all(flags[30:])
+
+
+@pytest.mark.parametrize(
+    "text,kinds",
+    [
+        ("<p>Hi</p>", ["html"]), ("a &amp; b", ["html"]), ("R&D and 3 < 5 > 2", []), ("# Title\n\ntext", ["markdown"]), ("**bold** move", ["markdown"]), ("**Answer**: yes", []), ("ANSWER: x", []),
+        ("`x` is set", ["markdown"]), ("5 * 3 * 2", []), ("a_1 + a_2", []), ("- one\n- two", []), ("1. one\n2. two", []), ("== T ==\nx", ["wiki"]), ("see [[Help:X|x]]", ["wiki"]), ("{{Box|a=1}}", ["wiki"]), ("{name} stays", []),
+        ("\\section{A} x", ["latex"]), ("C:\\temp\\to_do.txt", []), ("is $c = \\frac{a}{b}$ now", ["latex"]), ("$40 and $55", []), ("Ticket # 14, C# 7", []), ("> quoted line", ["markdown"]), ("| a | b |\n|---|---|\n| 1 | 2 |", ["markdown"]),
+        ("# ''one''\n# two", ["wiki"]), ("Summary\n=======\n\ntext", ["markdown"]), ("see ~/notes", []),
+    ],
+)
+def test_markup_kinds(text, kinds):
+    assert markup.kinds_of(text) == kinds
+
+
+def test_markup_text():
+    assert markup.clean("<h2>T</h2><ul><li>a</li><li>b &amp; c</li></ul><pre>x\n y</pre>", ["html"]) == "## T\n- a\n- b & c\n```\nx\n y\n```"
+    assert markup.clean("# T\n\n* **a** b\n\n```py\nx = **1**\n```", ["markdown"]) == "# T\n\n- a b\n\n```py\nx = **1**\n```"
+    assert markup.clean("\\section{T}\n\\begin{itemize}\n\\item a $x^2$\n\\end{itemize}", ["latex"]) == "## T\n\n- a $x^2$"
+    assert markup.clean("== T ==\n* '''a''' [[P|b]]", ["wiki"]) == "## T\n- a b"
+    assert markup.clean("<p>unclosed <b>bold", ["html"]) == "unclosed bold"
+
+
+@pytest.mark.parametrize("text,kind", [("All is well.", "closed"), ("All is we", "bare"), ("He said “no", "broken"), ("a <b>x", "broken"), ("cut &am", "broken"), ("x \\begin{a} y.", "broken"), ("so, then,", "comma"), ("met Dr.", "comma"), ("", "closed"), ("```\ncode", "broken"), ("完了。", "closed"), ("(done).", "closed"), ("- a\n- b", "item"), ("Bye.\n\nRegards,\nthe desk", "item"), ("lost \ufffd", "broken")])
+def test_endings(text, kind):
+    assert truncation.ending(text) == kind
+
+
+MOJIBAKE = ["The fee is £5 — or €7.", "Société Brévard über alles", "Плата составляет сто рублей", "Комиссия не взимается", "กฎใหม่มีผล", "नए नियम"]
+
+
+@pytest.mark.parametrize("enc", ["cp1252", "latin-1", "mac_roman", "cp437", "cp1251"])
+@pytest.mark.parametrize("text", MOJIBAKE)
+def test_garbled_text_comes_back(text, enc):
+    bad = encoding._decode(text.encode("utf-8"), enc)
+    if bad is None:
+        pytest.skip("undefined bytes")
+    hit, back, _ = encoding.repair("Before it. " + bad + " After it.")
+    assert hit and back == "Before it. " + text + " After it."
+
+
+def test_garbled_twice_and_legacy():
+    twice = encoding._decode(encoding._decode("café — naïve".encode(), "cp1252").encode(), "cp1252")
+    assert encoding.repair(twice)[1] == "café — naïve"
+    assert encoding.repair("Жалобу рассматривает независимый посредник".encode("cp1251").decode("latin-1"))[1] == "Жалобу рассматривает независимый посредник"
+    assert encoding.repair("银行应将客户文件保存很多年".encode("gbk").decode("latin-1"))[1] == "银行应将客户文件保存很多年"
+
+
+@pytest.mark.parametrize("text", [None, "", "plain", "NÃO É PERMITIDA A CESSÃO", "São Tomé, Ångström, ÂGE, CÔTÉ", "the sequence â€™ in old exports stands for an apostrophe", "It prints “Ã©” wherever an é should be", "Tree: ├── a └── b", "the portal showed a \ufffd sign", "Комиссия не взимается, если срок был соблюдён.", "ผู้ค้ำประกันต้องรับผิดชอบ", "如果按时付款，则不收取任何罚金。", "«СССР»"])
+def test_clean_text_stays(text):
+    assert encoding.repair(text)[0] is False
+
+
+def test_pairs():
+    w, t = pairs.trained()
+    j = lambda q, v, cut=False: pairs.judge(q, v, cut, w, t)[0]
+    q = "When does the warranty for the kettle end?"
+    assert j(q, "I'm sorry, but I can't help with that. Please ask a lawyer.") == "refusal"
+    assert j(q, "Sorry to hear that. The warranty ends after two years.") is None
+    assert j(q, "The shop is unable to refuse a claim.") is None
+    assert j(q, "WHEN DOES THE WARRANTY FOR THE KETTLE END") == "copy" and j(q, "You asked: " + q) == "copy"
+    assert j(q, q + " It ends in May after two full years.") is None
+    assert j(q, "Die Garantie endet nach zwei Jahren. Das gilt auch für den Deckel.") == "wrong_language"
+    assert j(q, "The word “Garantie” is German and means a warranty of two years.") is None
+    assert j(q, "Yes.") is None and j(q, "The warranty ends after tw", True) == "truncated"
+    assert j("Wann endet die Garantie?", "Das darf ich Ihnen leider nicht sagen. Bitte wenden Sie sich an einen Anwalt.") in ("refusal", None)
+
+
+def test_field_marginals_and_best_path():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    e, t = rng.normal(size=(4, 5)), rng.normal(size=(5, 5))
+    paths = list(itertools.product(range(5), repeat=4))
+    score = {p: sum(e[i, y] for i, y in enumerate(p)) + sum(t[a, b] for a, b in zip(p, p[1:])) for p in paths}
+    assert tuple(pairs.best_tags(e, t)) == max(paths, key=score.get)
+    z = sum(np.exp(s) for s in score.values())
+    node, _, logz = pairs._marginals(e, t)
+    assert logz == pytest.approx(np.log(z))
+    assert node[1, 3] == pytest.approx(sum(np.exp(s) for p, s in score.items() if p[1] == 3) / z)
