@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats as S
 from ..functions.values import finite
+from ..session import durable
 
 BUCKETS = 64
 
@@ -50,7 +51,8 @@ def kruskal(df: DataFrame, metrics: list[str], group: str, least: int = 3) -> Da
 def kruskal_groups(df: DataFrame, metrics: list[str], group: str, least: int = 3) -> dict[str, DataFrame]:
     """groups: (metric, group, n, rank_sum, mean, var); ties: (metric, t3)."""
     long = df.select(F.col(group).alias("group"), *[finite(F.col(m)).alias(m) for m in metrics]).unpivot(["group"], metrics, "metric", "x").filter("x is not null and group is not null")
-    counted = long.groupBy("metric", "group", "x").agg(F.count("*").alias("c"))
+    # distinct values only, written once and read by the ranks, the ties and the group sums
+    counted = durable(long.groupBy("metric", "group", "x").agg(F.count("*").alias("c")))
     keep = counted.groupBy("metric", "group").agg(F.sum("c").alias("n")).filter(F.col("n") >= least)
     counted = counted.join(keep.drop("n"), ["metric", "group"], "left_semi")
     ranks = average_ranks(counted, ["metric"], "x", "c")
@@ -81,7 +83,7 @@ def wilcoxon(df: DataFrame, keys: list[str], delta: str, least: int = 5) -> Data
     """(keys, n_nonzero, w_plus, w_minus, statistic, z, p): signed-rank test of the differences against 0; zeros dropped, normal
     approximation with tie correction and without continuity correction. Null figures below least non-zero differences."""
     x = df.select(*keys, finite(F.col(delta)).alias("d")).filter("d is not null and d <> 0")
-    c = x.groupBy(*keys, F.abs("d").alias("a")).agg(F.count_if(F.col("d") > 0).alias("pos"), F.count("*").alias("t"))
+    c = durable(x.groupBy(*keys, F.abs("d").alias("a")).agg(F.count_if(F.col("d") > 0).alias("pos"), F.count("*").alias("t")))
     r = average_ranks(c, keys, "a", "t").select(*keys, "a", "rank")
     j = c.join(r, [*keys, "a"])
     t = F.col("t").cast("double")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import formal, questions, values, vectors
 from ..functions.stats import normal_tail_sql
 from ..operators import algebra, corpus, harness, latent, pairing, profiles, stats, transform, triples
+from ..session import durable, spread
 from ..sources import sinks, tables
 
 QUERIES: dict = {}
@@ -37,12 +38,12 @@ LATENT = ["seconds", "confidence", "prompt_len", "answer_len", "rate"]
 
 def formal_corpus(spark, d) -> DataFrame:
     p = read(spark, d, "paired_examples").select("example_id", "domain", "nlq", "sparql")
-    return formal.query_features(p.filter(F.length(F.trim("sparql")) > 10), "sparql")
+    return formal.query_features(spread(p.filter(F.length(F.trim("sparql")) > 10)), "sparql")
 
 
 def question_corpus(spark, d) -> DataFrame:
     p = tables.corpus(read(spark, d, "paired_examples").select("example_id", "domain", "nlq"), "nlq", 3)
-    return questions.surface_features(p, "text")
+    return questions.surface_features(spread(p), "text")
 
 
 def long_metrics(spark, d) -> DataFrame:
@@ -485,7 +486,7 @@ def zscore(spark, d):
 
 
 def _angles(spark, d):
-    return latent.signed_angles(latent.zscores(latent_rows(spark, d), LATENT), LATENT, "seconds")
+    return latent.signed_angles(latent.zscores(durable(latent_rows(spark, d)), LATENT), LATENT, "seconds")
 
 
 @query(f"WITH {_ANG} SELECT domain, model, method, query_id, round(angle, 3) AS angle FROM an")

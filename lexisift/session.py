@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -43,3 +44,23 @@ def spread(df, per_core: int = 2):
     Only for plans without a shuffle of their own: counting the partitions of an adaptive plan would run it."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores * per_core)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in spark.checkpoint.dir; one of this machine only where none is set (tests)."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if current.isEmpty():
+            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lexisift-"))
+            current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        named = current.get()
+    return named.rstrip("/")
+
+
+def durable(df):
+    """The rows as a table written once to the shared folder and read again: lineage is cut, nothing is computed twice, and a lost
+    executor loses nothing. (A reliable checkpoint computes its input a second time.)"""
+    path = f"{shared_folder(df.sparkSession)}/lexisift/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
