@@ -1,15 +1,13 @@
-"""Shared pieces of the training-data operators: table readers, the predicate for empty values, durable checkpoints."""
+"""Shared pieces of the training-data operators: table readers and the predicate for empty values."""
 
 from __future__ import annotations
 
 import functools
-import os
-import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import spread  # noqa: F401
+from ..session import durable, spread  # noqa: F401
 
 RESPONSE_FIELDS = ("nlq_response", "nlq_cot_response", "sparql_response", "sparql_cot_response")
 
@@ -31,14 +29,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names in spark.checkpoint.dir; one is set only where none is (tests)."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexisift-ckpt-"))
-    return df.checkpoint(eager=eager)
-
-
 def _alt(words) -> str:
     return "|".join("\\Q" + w + "\\E" for w in sorted(words, key=len, reverse=True))
 

@@ -144,7 +144,7 @@ def wrong_figures(features: DataFrame, summary: DataFrame) -> DataFrame:
     ones are counted exactly in a second pass over the values of their groups. A null or NaN figure is wrong; a group without
     values refutes nothing."""
     keys = ["release_tag", "dkey", "metric"]
-    values = durable(feature_values(features), eager=False)
+    values = durable(feature_values(features))
     day_keys = [*keys, "day"]
     daily = merge_digests(partial_digests(values, day_keys, "v"), day_keys)
     merged = durable(merge_digests(daily, keys))

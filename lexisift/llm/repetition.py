@@ -10,7 +10,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_empty, spread
+from .common import durable, is_empty, spread
 
 WORDS, CHARS = 4, 8  # shortest passage, in words or, in scripts without spaces, in characters
 _UNIT = regex.compile(r"(?P<u>[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}ー])|(?P<n>\p{N}+(?:[.,:/]\p{N}+)*)|(?P<w>[\p{L}\p{M}\p{N}]+(?:['’‑-][\p{L}\p{M}\p{N}]+)*)")
@@ -111,4 +111,4 @@ def repetition(values: DataFrame, threshold: float = 0.5) -> DataFrame:
     real = values.filter(~is_empty(F.col("value")))
     rows = shares(real, ["resp_id", "field", "model"]).withColumn("failed", (F.col("units") > 0) & (F.col("share") >= threshold))
     rows = rows.withColumn("model", F.coalesce("model", F.lit("")))
-    return host_verdicts(rows, ["model", "field"], "failed")
+    return host_verdicts(durable(rows), ["model", "field"], "failed")
