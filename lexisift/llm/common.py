@@ -38,13 +38,21 @@ def visible(col: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(F.coalesce(col, F.lit("")), INVISIBLE + "+", " ")))
 
 
+LONG = 400  # characters; longer values can only be notices or all marks, which their start tells
+
+
 def is_empty(col: Column) -> Column:
-    """True for null, blank or invisible-only values, markers of a missing value, bare answer tags and notices of a failed or degenerate run."""
-    v = visible(col)
+    """True for null, blank or invisible-only values, markers of a missing value, bare answer tags and notices of a failed or degenerate run.
+
+    Values of more than LONG characters between their invisible ends are not searched for markers and tags, which are shorter."""
+    ends = F.regexp_replace(col, "^" + INVISIBLE + "+|" + INVISIBLE + "+$", "")
+    core = F.when(F.length(col) <= LONG, col).otherwise(ends)
+    v = visible(F.when(F.length(core) <= LONG, core))
     tag = r"^[\p{P}\p{S}\s]*(?:" + _alt(ANSWER_TAGS) + r")[*_\s]*[:：][\p{P}\p{S}\s]*$|^(?:#+\s*|\*\*|<)(?:" + _alt(ANSWER_TAGS) + r")[\p{P}\p{S}\s]*$"
     punctuation = r"^[\p{P}\p{S}\s]*$"
     failed = r"^[\[\(<]?(?:" + _alt(h.lstrip("[<") for h in FAILURE_HEADS) + r")(?:\s*[:\]\)>]|\s+(?:processing|while|during|in|at|code|after|occurred)\b|$)"
-    return v.isin(*MISSING_MARKERS) | v.rlike(punctuation) | v.rlike(tag) | v.rlike(failed)
+    short = v.isin(*MISSING_MARKERS) | v.rlike(punctuation) | v.rlike(tag) | v.rlike(failed)
+    return F.when(F.length(core) > LONG, core.rlike(punctuation) | F.lower(F.substring(core, 1, 100)).rlike(failed)).otherwise(short)
 
 
 def response_values(spark: SparkSession, sf_dir: str) -> DataFrame:

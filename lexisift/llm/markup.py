@@ -6,6 +6,7 @@ containers of a page; the paths of a host's values are voted on in Spark, and va
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 from collections import defaultdict
@@ -63,6 +64,7 @@ _MD_RULE = re.compile(r"(?m)^[ \t]*(?:\*[ \t]*){3,}$|^[ \t]*(?:_[ \t]*){3,}$")
 _ANSWER_TAG = re.compile(
     r"(?im)^[ \t]*(?:#{1,6}[ \t]+)?(?:\*\*|__)?(?:final answer|short answer|answer|response|antwort|réponse|respuesta|resposta|ответ|答案|回答|答え|คำตอบ|उत्तर)[ \t]*(?:\*\*|__)?[ \t]*(?:[:：](?:\*\*|__)?|(?=$))(?:[ \t]*(?:\*\*|__)(?=[ \t]|$))?"
 )
+MARKS = ("<", "&", "\\", "$", "*", "#", "[", "{", "`", "~", "_", "=", "'", ">", "---")  # no markup is without one of these
 PASSIVE = ("script", "style", "noscript", "nav", "footer", "aside", "form", "select", "button", "iframe", "template", "head")
 
 
@@ -309,7 +311,7 @@ def path_votes(values: DataFrame, host: str, value: str = "value") -> DataFrame:
 def extract(values: DataFrame, keys: list[str], host: str = "model", value: str = "value", least_votes: int = 3) -> DataFrame:
     """(keys, kinds, clean_text) of the values that carry markup. A path loses for its host if its mean score is below zero in at
     least least_votes values; text of all other paths is kept. Empty values are none."""
-    real = values.filter(~is_empty(F.col(value))).filter(F.col(value).rlike(r"[<&\\$*#\[{`~_=']|(?m)^>|^---"))
+    real = values.filter(~is_empty(F.col(value))).filter(functools.reduce(lambda a, c: a | F.contains(F.col(value), F.lit(c)), MARKS, F.lit(False)))
     losing = path_votes(real, host, value).filter((F.col("votes") >= least_votes) & (F.col("score") < 0)).groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("_losing"))
     j = spread(real.select(*keys, F.col(host).cast("string").alias("host"), F.col(value).alias("_v"))).join(losing, "host", "left")
     src = j.select(*keys, "_v", "_losing")

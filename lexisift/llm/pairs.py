@@ -78,16 +78,19 @@ _ACT = r"(?:help|assist|answer|respond|reply|comment|advise|give|offer|provide|d
 _STRONG = {
     "en": r"\b(?:i|we|this (?:assistant|model|system|service)|the (?:assistant|model|system))\b(?:['’](?:m|re|ve|d|ll))?[^.!?]{0,30}?(?:\bcan(?:not|['’]t| not)|\bcould not|couldn['’]t|\bunable to|\bnot able to|\bwo(?:n['’]t| not)|\bwill not|\bwould(?:n['’]t| not| rather not)|\bmay not|\bmust not|\bnot (?:allowed|permitted|authori[sz]ed|designed|equipped|qualified|entitled|in a position|going|willing|comfortable)(?: to| with)?|\bchosen not to|\bprefer not to|\bdecided not to)(?:\s+(?:be|in|to|any|further|really|directly|currently|therefore|unfortunately))*\s+(?:\w+\s+){0,1}?" + _ACT
     + r"|\b(?:i|we)\b[^.!?]{0,25}\b(?:must|have to|need to|shall|will|would like to|am going to|choose to|'ll|’ll)\s+(?:\w+ly\s+)?(?:decline|pass on|abstain|refrain|refuse)|\b(?:i|we)\s+(?:\w+\s+)?(?:decline|refuse|abstain)\b"
-    + r"|\b(?:not (?:permit|allow)|prevent|prohibit|forbid|bar)(?:s|ted|ed)?\s+(?:me|us|this assistant|the model)\b|\b(?:outside|beyond)(?: of)? (?:what i|my|the scope of (?:what|my)|our)|\bno comment\b|\b(?:have|there is|see) no (?:way|means|authority|permission|mandate|possibility)(?: for me)? (?:to|of)\s+(?:\w+\s+){0,1}?" + _ACT + r"(?:ing)?\b|\b(?:no (?:answer|advice|opinion|comment|statement|help|reply|response|information)\b[^.!?]{0,60}\b(?:can|will|may|could)|(?:can(?:not|['’]t)|will not|may not)) be (?:given|answered|provided|offered|discussed|commented|made)\b[^.!?]{0,20}\b(?:by (?:me|us|this|the)|here|from me)|\b(?:beyond|outside|not within) (?:of )?(?:my|our|the assistant['’]s) (?:remit|scope|competence|abilities|powers|role|limits)|\b(?:not|in)\s*(?:be )?appropriate for (?:me|us|an? (?:ai|assistant|model))|\b(?:hold|have|offer) no (?:opinion|view|comment)|\bi(?:['’]m| am) (?:only |just |merely )?an? (?:ai|(?:large )?language model|assistant)\b|\bas an? (?:ai|(?:large )?language model|assistant)\b[^.!?]{0,60}(?:not|n['’]t|unable|no )|\bagainst my (?:guidelines|policy|policies)|\bnot something (?:i|we)\b|\bsomething (?:i|we)(?:['’]m|['’]re| am| are)? (?:cannot|can['’]t|not|unable)|\b(?:do not|don['’]t|lack) (?:have )?(?:enough|sufficient|the) (?:information|data|context|expertise|knowledge) to\b",
-    "de": r"\b(?:ich|wir)\b[^.!?]{0,60}\b(?:nicht|keine?n?|leider)\b[^.!?]{0,50}\b(?:helfen|beantworten|antworten|auskunft|äußern|weiterhelfen|beraten|rat|kommentieren|stellung|geben|machen|unterstützen|sagen|eingehen|bearbeiten)|\b(?:kann|darf|können|dürfen|möchte|werde)\s+(?:ich|wir)\b[^.!?]{0,30}\b(?:nicht|keine?n?)\b|\bmuss ich (?:leider )?(?:ablehnen|passen)|\blehne ich ab|\bist es mir nicht (?:möglich|erlaubt|gestattet)|\bals (?:ki|assistent|sprachmodell)\b[^.!?]{0,60}(?:nicht|kein)",
-    "fr": r"\bje (?:ne|n['’])[^.!?]{0,20}(?:peux|puis|suis|pourrai|saurais|souhaite|veux)[^.!?]{0,12}(?:pas|point)?[^.!?]{0,40}(?:répondre|aider|donner|fournir|commenter|conseiller|autorisé|habilité|en mesure|me prononcer|traiter|discuter)|\bil m['’]est (?:impossible|interdit)|\bne m['’]est pas (?:permis|possible)|\bje (?:dois|préfère) (?:décliner|refuser|m['’]abstenir|ne pas)|\bnous ne (?:pouvons|sommes)[^.!?]{0,30}(?:répondre|aider|donner|mesure)|\ben tant qu['’](?:assistant|ia|intelligence)\b[^.!?]{0,60}(?:impossible|pas)",
-    "es": r"\bno (?:puedo|podemos|podré|me es posible|me está permitid[oa]|se me permite|estoy (?:autorizad[oa]|en condiciones|capacitad[oa])|tengo permitido|me corresponde|voy a|quiero|deseo)\b[^.!?]{0,40}(?:ayudar|responder|contestar|opinar|dar|ofrecer|comentar|aconsejar|asesorar|hablar|pronunciar|atender|proporcionar)?|\bdebo (?:declinar|rechazar|abstenerme)|\bprefiero no (?:responder|opinar|comentar)|\bcomo (?:asistente|ia|modelo)\b[^.!?]{0,60}\bno\b",
-    "pt": r"\bnão (?:posso|podemos|poderei|me é (?:possível|permitido)|estou (?:autorizad[oa]|em condições|habilitad[oa])|tenho permissão|me cabe|vou|quero|consigo)\b[^.!?]{0,40}(?:ajudar|responder|opinar|dar|oferecer|comentar|aconselhar|falar|pronunciar|atender|fornecer)?|\btenho de (?:recusar|declinar)|\bprefiro não (?:responder|opinar|comentar)|\bcomo (?:assistente|ia|modelo)\b[^.!?]{0,60}\bnão\b",
-    "ru": r"\bя\b[^.!?]{0,20}\bне\s+(?:могу|смогу|вправе|имею права|уполномочен\w*|готов\w*|в состоянии|стану|буду)\b|\bмы\b[^.!?]{0,20}\bне\s+(?:можем|вправе)\b|\bмне не (?:разрешено|позволено|положено)|\b(?:вынужден\w*|должен|должна) отказать\w*|\bне могу (?:помочь|ответить|дать|комментировать|обсуждать)|\bкак (?:ассистент|помощник|модель)\b[^.!?]{0,60}\bне\b",
-    "zh": r"(?:我|本助手|我们|作为(?:助手|人工智能|语言模型)|模型)[^。！？]{0,14}(?:无法|不能|不便|不可以|没有权限|不被允许|无权|不予|拒绝|不会)[^。！？]{0,14}(?:回答|帮助|协助|提供|评论|讨论|建议|答复|处理|回应|发表|给出|满足)|(?:无法|不能)(?:回答|提供|协助)(?:这|该|此|您)",
-    "ja": r"(?:お答え|回答|お手伝い|助言|アドバイス|コメント|ご案内|お応え|お話し?|対応|提供|意見|ご相談|お力)[^。！？]{0,14}(?:できません|できかねます|いたしかねます|出来ません|控え|差し控え|しかねます|許可されてい|になれません|遠慮)",
+    + r"|\b(?:not (?:permit|allow)|prevent|prohibit|forbid|bar)(?:s|ted|ed)?\s+(?:me|us|this assistant|the model)\b|\b(?:outside|beyond)(?: of)? (?:what i|my|the scope of (?:what|my)|our)|\bno comment\b|\b(?:have|there is|see) no (?:way|means|authority|permission|mandate|possibility)(?: for me)? (?:to|of)\s+(?:\w+\s+){0,1}?" + _ACT + r"(?:ing)?\b|\b(?:no (?:answer|advice|opinion|comment|statement|help|reply|response|information)\b[^.!?]{0,60}\b(?:can|will|may|could)|(?:can(?:not|['’]t)|will not|may not)) be (?:given|answered|provided|offered|discussed|commented|made)\b[^.!?]{0,20}\b(?:by (?:me|us|this|the)|here|from me)|\b(?:beyond|outside|not within) (?:of )?(?:my|our|the assistant['’]s) (?:remit|scope|competence|abilities|powers|role|limits)|\b(?:not|in)\s*(?:be )?appropriate for (?:me|us|an? (?:ai|assistant|model))|\b(?:hold|have|offer) no (?:opinion|view|comment)|\bi(?:['’]m| am) (?:only |just |merely )?an? (?:ai|(?:large )?language model|assistant)\b|\bas an? (?:ai|(?:large )?language model|assistant)\b[^.!?]{0,60}(?:not|n['’]t|unable|no )|\bagainst my (?:guidelines|policy|policies)|\bnot something (?:i|we)\b|\bsomething (?:i|we)(?:['’]m|['’]re| am| are)? (?:cannot|can['’]t|not|unable)|\b(?:do not|don['’]t|lack) (?:have )?(?:enough|sufficient|the) (?:information|data|context|expertise|knowledge) to\b"
+    + r"|\b(?:i|we|my (?:role|instructions|rules|policy|remit|training))\b[^.!?]{0,30}\b(?:lacks?|(?:do|does) not (?:have|hold|cover|extend|allow|include|let)|don['’]t have|doesn['’]t (?:cover|extend|allow|include|let)|have no|hold no|without)\b[^.!?]{0,25}\b(?:authority|permission|mandate|right|clearance|competence|expertise|means|power|standing|ability|licen[cs]e|basis|qualification)s?\s+(?:to|for|of)\b"
+    + r"|\bnot at liberty to\b|\b(?:i|we)(?:['’]m|['’]ve| am| are| have been| was| were)?\s+(?:\w+ly\s+)?(?:barred|prevented|prohibited|forbidden|restricted|excluded|precluded|kept|instructed not|told not|asked not|advised not)\b|\b(?:i|we)\b[^.!?]{0,15}\b(?:refrain from|abstain from|steer clear of|stay out of|keep out of|shy away from|pass over)\b"
+    + r"|\b(?:i|we)(?:['’]d| would| do| will| must| shall)?\s+(?:much\s+)?(?:rather|prefer)\s+(?:not\b|to leave|to stay)|\bnot (?:for me|my place|up to me|my role|my job) to\b|\b(?:nothing|little) (?:i|we) (?:can|could|may) (?:say|tell|offer|add|do)\b|\b(?:have|has) nothing to (?:say|offer|contribute) (?:on|about|to)\b|\boff[- ]limits (?:for|to) (?:me|us)\b|\b(?:you will|you['’]ll) (?:not|have to do without)[^.!?]{0,20}\b(?:answer|reply|advice|opinion)\b[^.!?]{0,20}\bfrom (?:me|us|this)\b|\bno (?:answer|advice|opinion|reply|statement)s?\b[^.!?]{0,40}\bfrom (?:me|us|this assistant|this model|the model)\b|\bnot (?:a|the) (?:topic|subject|matter|question|thing)s? (?:that |which )?(?:i|we) (?:can|may|discuss|cover|answer|comment|advise|handle|touch)",
+    "de": r"\b(?:ich|wir)\b[^.!?]{0,60}\b(?:nicht|keine?n?|leider)\b[^.!?]{0,50}\b(?:helfen|beantworten|antworten|auskunft|äußern|weiterhelfen|beraten|rat|kommentieren|stellung|geben|machen|unterstützen|sagen|eingehen|bearbeiten)|\b(?:kann|darf|können|dürfen|möchte|werde)\s+(?:ich|wir)\b[^.!?]{0,30}\b(?:nicht|keine?n?)\b|\bmuss ich (?:leider )?(?:ablehnen|passen)|\blehne ich ab|\b(?:steht|fehlt|obliegt)\b[^.!?]{0,20}\b(?:mir|uns)\b[^.!?]{0,30}\b(?:nicht|befugnis|recht|erlaubnis)|\bbin ich nicht (?:befugt|berechtigt|ermächtigt|in der lage)|\bich (?:enthalte mich|habe (?:keine befugnis|kein recht|keine erlaubnis))|\bist es mir nicht (?:möglich|erlaubt|gestattet)|\bals (?:ki|assistent|sprachmodell)\b[^.!?]{0,60}(?:nicht|kein)",
+    "fr": r"\bje (?:ne|n['’])[^.!?]{0,20}(?:peux|puis|suis|pourrai|saurais|souhaite|veux)[^.!?]{0,12}(?:pas|point)?[^.!?]{0,40}(?:répondre|aider|donner|fournir|commenter|conseiller|autorisé|habilité|en mesure|me prononcer|traiter|discuter)|\bil m['’]est (?:impossible|interdit)|\bje n['’]ai (?:pas|ni|aucun)[^.!?]{0,20}(?:droit|autorisation|autorité|compétence|qualité)|\bil ne m['’]appartient pas|\bne m['’]est pas (?:permis|possible)|\bje (?:dois|préfère) (?:décliner|refuser|m['’]abstenir|ne pas)|\bnous ne (?:pouvons|sommes)[^.!?]{0,30}(?:répondre|aider|donner|mesure)|\ben tant qu['’](?:assistant|ia|intelligence)\b[^.!?]{0,60}(?:impossible|pas)",
+    "es": r"\bno (?:puedo|podemos|podré|me es posible|me está permitid[oa]|se me permite|estoy (?:autorizad[oa]|en condiciones|capacitad[oa])|tengo permitido|me corresponde|voy a|quiero|deseo)\b[^.!?]{0,40}(?:ayudar|responder|contestar|opinar|dar|ofrecer|comentar|aconsejar|asesorar|hablar|pronunciar|atender|proporcionar)?|\bno tengo (?:autoridad|autorización|permiso|competencia|derecho)|\bno me compete|\bdebo (?:declinar|rechazar|abstenerme)|\bprefiero no (?:responder|opinar|comentar)|\bcomo (?:asistente|ia|modelo)\b[^.!?]{0,60}\bno\b",
+    "pt": r"\bnão (?:posso|podemos|poderei|me é (?:possível|permitido)|estou (?:autorizad[oa]|em condições|habilitad[oa])|tenho permissão|me cabe|vou|quero|consigo)\b[^.!?]{0,40}(?:ajudar|responder|opinar|dar|oferecer|comentar|aconselhar|falar|pronunciar|atender|fornecer)?|\bnão tenho (?:autoridade|autorização|competência|direito)|\bnão me compete|\btenho de (?:recusar|declinar)|\bprefiro não (?:responder|opinar|comentar)|\bcomo (?:assistente|ia|modelo)\b[^.!?]{0,60}\bnão\b",
+    "ru": r"\bя\b[^.!?]{0,20}\bне\s+(?:могу|смогу|вправе|имею права|уполномочен\w*|готов\w*|в состоянии|стану|буду)\b|\bмы\b[^.!?]{0,20}\bне\s+(?:можем|вправе)\b|у меня нет (?:права|прав|полномочий|разрешения)|\bвоздержусь|\bмне не (?:разрешено|позволено|положено)|\b(?:вынужден\w*|должен|должна) отказать\w*|\bне могу (?:помочь|ответить|дать|комментировать|обсуждать)|\bкак (?:ассистент|помощник|модель)\b[^.!?]{0,60}\bне\b",
+    "zh": r"(?:我|本助手|我们|作为(?:助手|人工智能|语言模型)|模型)[^。！？]{0,14}(?:无法|不能|不便|不可以|没有(?:权限|资格|权利)|不被允许|无权|不予|拒绝|不会)[^。！？]{0,14}(?:回答|帮助|协助|提供|评论|讨论|建议|答复|处理|回应|发表|给出|满足)|(?:无法|不能)(?:回答|提供|协助)(?:这|该|此|您)",
+    "ja": r"(?:お答え|回答|お手伝い|助言|アドバイス|コメント|ご案内|お応え|お話し?|対応|提供|意見|ご相談|お力|発言|判断)[^。！？]{0,14}(?:できません|できかねます|いたしかねます|出来ません|控え|差し控え|しかねます|許可されてい|になれません|遠慮)|権限(?:が|は)(?:ありません|ございません)",
     "hi": r"(?:मैं|मुझे|हम|हमें)[^।!?]{0,60}(?:नहीं (?:दे|कर|बता) ?(?:सकता|सकती|सकते|पाऊ)|अनुमति नहीं|असमर्थ|सक्षम नहीं|में असमर्थ|उचित नहीं|इनकार|मदद नहीं|उत्तर नहीं|टिप्पणी नहीं)",
-    "th": r"(?:ฉัน|ผม|ดิฉัน|เรา|ระบบ|ขออภัย|ขอโทษ|เสียใจ)[^.!?]{0,30}(?:ไม่สามารถ|ไม่ได้รับอนุญาต|ไม่อาจ|ไม่มีสิทธิ์|ขอไม่|ไม่ขอ|ปฏิเสธ)[^.!?]{0,30}(?:ตอบ|ช่วย|ให้|แสดง|แนะนำ|พูด|ดำเนิน|คำ)",
+    "th": r"(?:ฉัน|ผม|ดิฉัน|เรา|ระบบ|ขออภัย|ขอโทษ|เสียใจ)[^.!?]{0,30}(?:ไม่สามารถ|ไม่ได้รับอนุญาต|ไม่อาจ|ไม่มีสิทธิ์|ไม่มีอำนาจ|ขอไม่|ไม่ขอ|ปฏิเสธ)[^.!?]{0,30}(?:ตอบ|ช่วย|ให้|แสดง|แนะนำ|พูด|ดำเนิน|คำ)",
 }
 # Courtesies that go with declining.
 _SOFT = (
@@ -100,7 +103,7 @@ _REFUSE_LATIN = regex.compile("|".join(f"(?:{_STRONG[k]})" for k in _LATIN), reg
 _REFUSE_OTHER = regex.compile("|".join(f"(?:{x})" for k, x in _STRONG.items() if k not in _LATIN), regex.I)
 # Words of which at least one stands in every refusal that the patterns for Latin script describe.
 _HINT = re.compile(
-    r"\b(?:i|we|me|us|my|our|this|assistant|assistent|assistente|asistente|model|system|service|comment|opinion|appropriate|ai|ki|ia|language|by|here|ich|wir|mir|sprachmodell|je|m|nous|no|não|tenho|debo|prefiero|prefiro|modelo)\b|lehne ich", re.I
+    r"\b(?:i|we|me|us|my|our|this|assistant|assistent|assistente|asistente|model|system|service|comment|opinion|appropriate|ai|ki|ia|language|by|here|ich|wir|mir|sprachmodell|je|m|nous|no|não|nothing|from|you|tenho|debo|prefiero|prefiro|modelo)\b|lehne ich", re.I
 )
 
 
