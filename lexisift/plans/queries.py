@@ -227,14 +227,15 @@ def inferred_questions(spark, d):
 
 @query(
     "WITH t AS (SELECT example_id, domain, list_distinct(regexp_extract_all(lower(sparql), '[a-z_]\\w*')) AS w FROM paired_examples), "
-    "p AS (SELECT example_id, domain, w, lag(w) OVER (PARTITION BY domain ORDER BY example_id) AS v FROM t) "
-    "SELECT domain, count(*) AS n, round(avg(CASE WHEN len(list_distinct(list_concat(v, w))) = 0 THEN 1.0 ELSE len(list_intersect(v, w)) / len(list_distinct(list_concat(v, w))) END), 4) AS jaccard_mean FROM p WHERE v IS NOT NULL GROUP BY domain"
+    "p AS (SELECT a.domain, a.w AS v, b.w FROM t a JOIN t b ON a.domain = b.domain AND a.example_id // 2 = b.example_id // 2 AND a.example_id % 2 = 0 AND b.example_id % 2 = 1) "
+    "SELECT domain, count(*) AS n, round(avg(CASE WHEN len(list_distinct(list_concat(v, w))) = 0 THEN 1.0 ELSE len(list_intersect(v, w)) / len(list_distinct(list_concat(v, w))) END), 4) AS jaccard_mean FROM p GROUP BY domain"
 )
-def jaccard_neighbours(spark, d):
-    """Mean Jaccard similarity of each query with the one before it in its domain: linear in the rows, where all pairs are not."""
-    p = read(spark, d, "paired_examples").select("example_id", "domain", "sparql")
-    n = p.withColumn("before", F.lag("sparql").over(Window.partitionBy("domain").orderBy("example_id"))).filter("before is not null")
-    return n.groupBy("domain").agg(F.count("*").alias("n"), F.round(F.avg(formal.jaccard_tokens(F.col("before"), F.col("sparql"))), 4).alias("jaccard_mean"))
+def jaccard_pairs(spark, d):
+    """Mean Jaccard similarity of the queries of a domain whose ids are 2k and 2k + 1: disjoint pairs by an equi-join, linear in the rows."""
+    p = read(spark, d, "paired_examples").select("domain", "example_id", "sparql", F.expr("example_id div 2").alias("k"))
+    a = p.filter("example_id % 2 = 0").select("domain", "k", F.col("sparql").alias("a"))
+    n = a.join(p.filter("example_id % 2 = 1").select("domain", "k", F.col("sparql").alias("b")), ["domain", "k"])
+    return n.groupBy("domain").agg(F.count("*").alias("n"), F.round(F.avg(formal.jaccard_tokens(F.col("a"), F.col("b"))), 4).alias("jaccard_mean"))
 
 
 # ---- questions -----------------------------------------------------------------------------------------------------------------
@@ -772,3 +773,61 @@ def graph_describe(spark, d):
 def graph_construct(spark, d):
     t = graph(spark, d)
     return algebra.construct(algebra.bgp(t, ("?c", "inNation", "?n"), ("?n", "inRegion", "?r")), ("?c", "residesIn", "?r"))
+
+
+# ---- value functions ---------------------------------------------------------------------------------------------------------------
+
+
+@query(
+    "SELECT resp_id, query_mode, CASE WHEN isfinite(confidence_score) THEN greatest(-1e8, least(1e8, confidence_score)) ELSE 0.5 END AS guarded, round(CASE WHEN generation_time_seconds > 0 THEN log10(generation_time_seconds) END, 6) AS log_seconds, "
+    "round(coalesce(CAST(generated_length AS DOUBLE) / nullif(CAST(input_length AS DOUBLE), 0), 0.0), 6) AS rate FROM inference_metrics"
+)
+def safe_numbers(spark, d):
+    m = read(spark, d, "inference_metrics")
+    rate = values.safe_div(F.col("generated_length").cast("double"), F.col("input_length").cast("double"))
+    return m.select("resp_id", "query_mode", values.guarded(F.col("confidence_score")).alias("guarded"), F.round(values.log10_safe(F.col("generation_time_seconds")), 6).alias("log_seconds"), F.round(rate, 6).alias("rate"))
+
+
+@query(f"WITH {LONG_SQL} SELECT model, method, query_id, arg_min(recall, seen_at) FILTER (isfinite(recall)) AS recall FROM m GROUP BY ALL")
+def first_per_key(spark, d):
+    m = long_metrics(spark, d).withColumn("recall", values.finite(F.col("recall")))
+    return latent.first_per_key(m, ["model", "method", "query_id"], "at", ["recall"])
+
+
+@query(f"WITH {_LAT} SELECT model, domain, method, query_id, {', '.join(f'round({c}, 6) AS {c}' for c in LATENT)} FROM l")
+def latent_imputed(spark, d):
+    return latent_rows(spark, d).select("model", "domain", "method", "query_id", *[F.round(c, 6).alias(c) for c in LATENT])
+
+
+@query("SELECT vec_id, round(list_avg(list_transform(embedding[-3:], lambda x : CAST(x AS DOUBLE))), 6) AS confidence, CAST(len(list_filter(embedding, lambda x : x <> 0)) AS INTEGER) AS kept, round(coalesce(list_avg(list_transform(list_filter(embedding, lambda x : x <> 0), lambda x : greatest(-8.0, least(0.0, CAST(x AS DOUBLE))))), 0.0), 6) AS masked_mean FROM embeddings")
+def score_arrays(spark, d):
+    e = read(spark, d, "embeddings").withColumn("m", values.mask_padding(F.col("embedding")))
+    mean = F.aggregate("m", F.lit(0.0), lambda s, x: s + x) / F.size("m")
+    return e.select("vec_id", F.round(values.confidence(F.col("embedding")), 6).alias("confidence"), F.size("m").alias("kept"), F.round(F.coalesce(mean, F.lit(0.0)), 6).alias("masked_mean"))
+
+
+@query("WITH e AS (SELECT vec_id, list_transform(embedding, lambda x : CAST(x AS DOUBLE)) AS v FROM embeddings) SELECT a.vec_id, round(list_cosine_similarity(a.v, b.v), 5) AS cosine, round(degrees(acos(greatest(-1.0, least(1.0, list_cosine_similarity(a.v, b.v))))), 3) AS angle FROM e a JOIN e b ON b.vec_id = a.vec_id + 1")
+def vector_angles(spark, d):
+    e = read(spark, d, "embeddings").select("vec_id", "embedding")
+    b = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b"))
+    return e.join(b, "vec_id").select("vec_id", F.round(vectors.cosine(F.col("embedding"), F.col("b")), 5).alias("cosine"), F.round(vectors.angle(F.col("embedding"), F.col("b")), 3).alias("angle"))
+
+
+@query(f"WITH {_ANG}, st AS (SELECT domain, model, method, avg(angle) / stddev_samp(angle) AS cd FROM an GROUP BY ALL) SELECT domain, model, method, CASE WHEN abs(cd) >= 0.8 THEN 'large' WHEN abs(cd) >= 0.5 THEN 'medium' ELSE 'small' END AS d_size FROM st")
+def effect_labels(spark, d):
+    s = _angles(spark, d).groupBy("domain", "model", "method").agg((F.avg("angle") / F.stddev_samp("angle")).alias("cd"))
+    return s.select("domain", "model", "method", values.effect_size(F.col("cd")).alias("d_size"))
+
+
+@query(f"WITH {_G} SELECT p, count(*) AS n FROM (SELECT DISTINCT s, p, o FROM t) GROUP BY p")
+def triple_dedup(spark, d):
+    return graph(spark, d).dropDuplicates(["s", "p", "o"]).groupBy("p").agg(F.count("*").alias("n"))
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(avg(value), 4) AS mean FROM events GROUP BY ALL")
+def windowed_events(spark, d):
+    """The batch form of the streaming operator: tumbling day windows by kind of event."""
+    from ..streaming.resume import windowed_metrics
+
+    w = windowed_metrics(read(spark, d, "events"), "ts", ["event_type"], "value")
+    return w.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("mean", 4).alias("mean"))
