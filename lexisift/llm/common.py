@@ -56,9 +56,9 @@ def is_empty(col: Column) -> Column:
 
 
 def response_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per response value: resp_id, model, query_id, question, field, value. Null values stay."""
+    """One row per response value: resp_id, model (empty if null), query_id, question, field, value. Null values stay."""
     r = table(spark, sf_dir, "all_models_responses")
-    return r.select("resp_id", "model", "query_id", "question", *RESPONSE_FIELDS).unpivot(
+    return r.select("resp_id", F.coalesce("model", F.lit("")).alias("model"), "query_id", "question", *RESPONSE_FIELDS).unpivot(
         ["resp_id", "model", "query_id", "question"], list(RESPONSE_FIELDS), "field", "value"
     )
 
@@ -68,7 +68,7 @@ def answer_values(spark: SparkSession, sf_dir: str, fields=("ground_truth", *RES
     parts = []
     wide = [f for f in fields if f != "ground_truth"]
     if wide:
-        r = table(spark, sf_dir, "all_models_responses").select("resp_id", "model", "question", *wide)
+        r = table(spark, sf_dir, "all_models_responses").select("resp_id", F.coalesce("model", F.lit("")).alias("model"), "question", *wide)
         parts.append(r.unpivot(["resp_id", "model", "question"], wide, "field", "value").select("field", F.col("resp_id").alias("row_id"), "model", "question", "value"))
     if "ground_truth" in fields:
         q = table(spark, sf_dir, "raw_qa")

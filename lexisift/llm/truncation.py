@@ -258,7 +258,7 @@ def continuations(values: DataFrame, value: str = "value", flush: int = 400_000)
 
 
 def broken_off(values: DataFrame, keys: list[str], source: list[str], limits: DataFrame | None = None, value: str = "value", more: DataFrame | None = None) -> DataFrame:
-    """values (keys and source columns) with truncated, p_end, ending, length and base: the verdict on each value.
+    """values (keys and source columns, which must not be null) with truncated, p_end, ending, length and base: the verdict on each value.
 
     limits: optional rows (keys, at_limit) of values that used up their token limit. Empty values are no case and must be left out
     by the caller. more: other complete texts of the corpus (column value). Every value is judged; equal tails are looked up once per order by a join on the tail's key."""

@@ -168,3 +168,33 @@ def test_repaired_table(spark):
     df = spark.createDataFrame([(1, "caf\u00c3\u00a9 open"), (2, None), (3, ""), (4, "café"), (1, "caf\u00c3\u00a9 open")], "doc_id long, text string").withColumn("restored", F.lit("clash"))
     got = encoding.repaired(df).collect()
     assert [(r["doc_id"], r["restored"]) for r in got] == [(1, "café open")] * 2
+
+
+def test_queries_on_dirty_tables(spark, tmp_path):
+    """Nulls in every column, repeated rows and empty tables run through the registered queries."""
+    import datetime as dt
+
+    from lexisift.llm.queries import QUERIES
+
+    at = dt.datetime(2031, 3, 1)
+    tables = {
+        "all_models_responses": ("resp_id long, model string, domain string, query_id long, question string, sparql_query string, nlq_response string, nlq_cot_response string, sparql_response string, sparql_cot_response string, parsed_at timestamp, field string", [(1, None, None, None, None, None, "Yes.", None, "", "<b>x</b>", None, "clash"), (2, "m", "d", 1, "Why?", None, "I cannot answer this question.", "nan", "no end in", "Why?", at, None)]),
+        "raw_qa": ("qa_id long, query_id string, domain string, institute string, document string, query_type string, question string, ground_truth string, loaded_at timestamp", [(1, None, None, None, None, None, None, None, None), (2, "2", "d", "i", "x", "t", "Why?", "Because. It is.", at)]),
+        "inference_metrics": ("resp_id long, query_id long, model string, query_mode string, input_length int, generated_length int, generation_time_seconds double, confidence_score double, processing_timestamp timestamp", [(None, None, None, None, None, None, None, None, None), (2, 1, "m", "SPARQL", 5, 9, 1.0, float("nan"), at)] * 2),
+        "model_config": ("name string, generation_max_new_tokens int", [("m", 9), (None, None)]),
+        "paired_examples": ("example_id long, domain string, nlq string", [(1, None, None), (2, "d", "nan"), (3, "d", "[Auto-inferred] x"), (4, "d", "blue sky, BLUE sea"), (5, "d", "???")]),
+        "sparql_features": ("feature_id long, release_tag string, run_date timestamp, ingested_at timestamp, domain string, doc_ref string, query_form string, complexity_level string, complexity_score double, compositional_score double, char_count long", [(None, None, None, None, None, None, None, None, None, None, None), (1, "r", at, at, " A", "x", "s", "l", float("inf"), 2.0, 3)] * 2),
+        "scalar_summary": ("release_tag string, metric string, domain string, n long, mean double, median double, std double, min double, max double, p25 double, p75 double", [("r", "char_count", "a", 1, 3.0, 3.0, None, 3.0, 3.0, 3.0, 9.0), (None,) * 11]),
+        "documents": ("doc_id long, text string, lang string", [(1, None, None), (2, "", "en"), (3, "caf\u00c3\u00a9", "fr"), (3, "caf\u00c3\u00a9", "fr")]),
+    }
+    for kind in ("full", "none"):
+        for name, (schema, rows) in tables.items():
+            spark.createDataFrame(rows if kind == "full" else [], schema).write.parquet(f"{tmp_path}/{kind}/{name}.parquet")
+    got = {name: f(spark, f"{tmp_path}/full").collect() for name, f in QUERIES.items()}
+    assert [tuple(r) for r in got["p1_found"]] == [(4, "blue")]
+    assert {tuple(r) for r in got["p7_found"]} >= {("nlq_response", 2, "refusal"), ("nlq_cot_response", 2, "empty"), ("sparql_cot_response", 2, "copy")}
+    assert [tuple(r) for r in got["p6_found"]] == [(1, "sparql_cot_response", "html")]
+    assert ("sparql_response", 2) in {(r["field"], r["resp_id"]) for r in got["p4_found"]}
+    assert [tuple(r) for r in got["p5_found"]] == [("r", "char_count", "a")]
+    assert sorted(r["doc_id"] for r in got["p10_found"]) == [3, 3] and len(got["p9_containers"]) == 4
+    assert all(len(f(spark, f"{tmp_path}/none").collect()) == 0 for f in QUERIES.values())
