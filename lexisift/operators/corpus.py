@@ -170,3 +170,55 @@ def sliced_wasserstein(df: DataFrame, group: str, vector: str, slices: int = 50,
     a, b = q.select(F.col("g").alias("group_a"), "i", F.col("q").alias("qa")), q.select(F.col("g").alias("group_b"), "i", F.col("q").alias("qb"))
     dist = F.aggregate(F.zip_with("qa", "qb", lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x) / grid
     return a.join(b, "i").filter("group_a < group_b").groupBy("group_a", "group_b").agg(F.round(F.avg(dist), 4).alias("wasserstein"))
+
+
+def mean_jaccard(df: DataFrame, group: str, tokens: Column, block: int = 2048) -> DataFrame:
+    """(group, n, jaccard_mean): mean Jaccard similarity of the token sets of all row pairs of a group; two empty sets count 1. n counts
+    the pairs; those with a null set have no similarity. Groups of one row and null groups have no pairs.
+
+    Equal sets are combined with their counts. The distinct sets of a group fall into blocks by hash, and each pair of blocks is one
+    task's matrix of intersections: the work is quadratic in the distinct sets of a group, no pair of rows is ever a row. Tokens must
+    not hold blanks."""
+    x = df.filter(F.col(group).isNotNull()).select(F.col(group).alias("group"), F.array_join(F.array_sort(F.array_distinct(tokens)), " ").alias("_w"))
+    sets = x.groupBy("group", "_w").agg(F.count("*").alias("_c"))
+    known = F.when(F.col("_w").isNotNull(), F.col("_c"))
+    totals = sets.groupBy("group").agg(F.sum("_c").alias("_n"), F.coalesce(F.sum(known), F.lit(0)).alias("_k"), F.ceil(F.count("_w") / block).cast("int").alias("_b"))
+    placed = sets.filter("_w is not null").join(totals.select("group", "_b"), "group").withColumn("_i", F.expr("cast(pmod(xxhash64(_w), _b) as int)"))
+    copies = placed.withColumn("_j", F.explode(F.expr("sequence(0, _b - 1)"))).select("group", F.least("_i", "_j").alias("_x"), F.greatest("_i", "_j").alias("_y"), "_i", "_w", "_c")
+
+    def one(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        a, b = g[g["_i"] == key[1]], g[g["_i"] == key[2]]
+        ca, cb = a["_c"].to_numpy(float), b["_c"].to_numpy(float)
+        total = ca @ _jaccard(a["_w"], b["_w"]) @ cb if len(a) and len(b) else 0.0
+        if key[1] == key[2]:
+            total = (total - ca.sum()) / 2  # each pair of rows once, no row with itself
+        return pd.DataFrame({"group": [key[0]], "_s": [total]})
+
+    kind = x.schema["group"].dataType.simpleString()
+    sums = copies.groupBy("group", "_x", "_y").applyInPandas(one, f"group {kind}, _s double").groupBy("group").agg(F.sum("_s").alias("_s"))
+    pairs = lambda c: F.col(c) * (F.col(c) - 1) / 2
+    return totals.filter("_n > 1").join(sums, "group", "left").select(F.col("group").alias(group), pairs("_n").cast("bigint").alias("n"), F.try_divide("_s", pairs("_k")).alias("jaccard_mean"))
+
+
+def _jaccard(a: pd.Series, b: pd.Series) -> np.ndarray:
+    """Jaccard similarities of two lists of sets, each one string of different tokens: frequent tokens by a product of 0/1 matrices, the
+    others pair by pair."""
+    where = []
+    for sets in (a, b):
+        at: dict[str, list[int]] = {}
+        for i, w in enumerate(sets):
+            for t in w.split():
+                at.setdefault(t, []).append(i)
+        where.append(at)
+    size = [np.array([len(w.split()) for w in s], float) for s in (a, b)]
+    shared = [t for t in where[0] if t in where[1]]
+    dense = [t for t in shared if 200 * len(where[0][t]) * len(where[1][t]) > len(a) * len(b)]
+    m = [np.zeros((len(s), len(dense)), np.float32) for s in (a, b)]
+    for k, t in enumerate(dense):
+        for x, at in zip(m, where):
+            x[at[t], k] = 1
+    both = (m[0] @ m[1].T).astype(float)
+    for t in set(shared).difference(dense):
+        both[np.ix_(where[0][t], where[1][t])] += 1
+    union = size[0][:, None] + size[1][None, :] - both
+    return np.where(union == 0, 1.0, both / np.maximum(union, 1))

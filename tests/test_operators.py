@@ -77,6 +77,19 @@ def test_self_bleu_is_the_naive_one(spark):
     assert got == pytest.approx(sum(scores) / len(scores), abs=2e-4)
 
 
+def test_mean_jaccard_takes_all_pairs(spark):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices("abcdefgh", k=rng.randint(0, 6))) for _ in range(40)] + [None, None]
+    rows = [("g", t) for t in texts] + [("one", "a"), ("void", None), ("void", "a"), (None, "a"), (None, "a")]
+    df = spark.createDataFrame(rows, "g string, t string")
+    tokens = F.regexp_extract_all(F.lower("t"), F.lit(r"[a-z_]\w*"), F.lit(0))
+    sims = [len(a & b) / len(a | b) if a | b else 1.0 for a, b in itertools.combinations([set(t.split()) for t in texts if t is not None], 2)]
+    for block in (3, 2048):
+        got = {r["g"]: r for r in corpus.mean_jaccard(df, "g", tokens, block).collect()}
+        assert set(got) == {"g", "void"} and (got["void"]["n"], got["void"]["jaccard_mean"]) == (1, None)
+        assert got["g"]["n"] == math.comb(42, 2) and got["g"]["jaccard_mean"] == pytest.approx(sum(sims) / len(sims))
+
+
 def test_lexical_diversity_streams_as_defined(spark):
     rng = random.Random(4)
     docs = [[rng.choice("abcdefghijklmnop") for _ in range(rng.randint(0, 30))] for _ in range(9)]
