@@ -34,12 +34,18 @@ def units(text: str) -> tuple[list[str], bool]:
 def repeated_flags(u: list[str], least: int) -> list[bool]:
     """Which units lie in a passage of at least that many units said more than once.
 
-    Passages are grown from pairs of equal windows along a diagonal; an exchanged, added or dropped single unit does not end a
-    passage if the text agrees again behind it. Every window start is linked to the previous start of the same window only, so
-    the work is linear in the text, however often a passage comes back."""
+    Every window of the shortest length that comes back is marked in all its places. Passages with changes are grown from pairs of
+    equal shorter windows along a diagonal, each linked to the previous start of the same window."""
     n = len(u)
     said = [False] * n
     seed = max(2, least // 2)
+    ends: dict[tuple, list[int]] = {}  # window of the shortest length -> its first and last start
+    for i in range(n - least + 1):
+        ends.setdefault(tuple(u[i : i + least]), [i, i])[1] = i
+    for i in range(n - least + 1):
+        first, final = ends[tuple(u[i : i + least])]
+        if i - first >= seed or final - i >= seed:
+            said[i : i + least] = [True] * least
     last: dict[tuple, int] = {}
     links: dict[int, list[int]] = defaultdict(list)  # distance -> starts of windows equal to the one that far before
     for i in range(n - seed + 1):

@@ -133,6 +133,11 @@ def test_repeated_flags_find_exact_passages():
         assert all(flags[at : at + n]) and all(flags[30:])
 
 
+def test_repeated_flags_with_parts_said_in_between():
+    flags = repetition.repeated_flags("the shop closes at noon today closes at noon sharp the shop closes at noon".split(), 4)
+    assert all(flags[:5]) and all(flags[10:])
+
+
 @pytest.mark.parametrize(
     "text,kinds",
     [
