@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import unicodedata
-from collections import defaultdict
+from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 import regex
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from .common import durable, is_empty, spread
 
 WORDS, CHARS = 4, 8  # shortest passage, in words or, in scripts without spaces, in characters
+CHANGED_WORDS, CHANGED_CHARS = 1, 4  # longest change within it: a word
 _UNIT = regex.compile(r"(?P<u>[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}ー])|(?P<n>\p{N}+(?:[.,:/]\p{N}+)*)|(?P<w>[\p{L}\p{M}\p{N}]+(?:['’‑-][\p{L}\p{M}\p{N}]+)*)")
 _LIST_MARK = regex.compile(r"(?m)^[ \t]*(?:[-*+•#>]+|\(?(?:\p{N}{1,3}|[a-zA-Z]|[ivxIVX]{1,4})[.):])[ \t]+")
 
@@ -31,46 +33,44 @@ def units(text: str) -> tuple[list[str], bool]:
     return [s for _, s in got], False
 
 
-def repeated_flags(u: list[str], least: int) -> list[bool]:
-    """Which units lie in a passage of at least that many units said more than once.
+def repeated_flags(u: list[str], least: int, change: int = 1) -> list[bool]:
+    """Which units lie in a passage of at least that many units said more than once; in each place up to change units may be
+    exchanged, added or dropped at one point within so many equal ones.
 
-    Every window of the shortest length that comes back is marked in all its places. Passages with changes are grown from pairs of
-    equal shorter windows along a diagonal, each linked to the previous start of the same window."""
+    A passage is a row of windows of the shortest length, so windows that come back mark all their places. A changed window is two
+    pieces with a gap of 0 to change units between them; it comes back where the same pieces stand with any such gap. Only units and
+    neighbours that come back themselves can stand in one, which leaves few windows in usual texts. The work is linear in the text."""
     n = len(u)
-    said = [False] * n
-    seed = max(2, least // 2)
-    ends: dict[tuple, list[int]] = {}  # window of the shortest length -> its first and last start
+    number: dict[str, int] = {}
+    for x in u:
+        number.setdefault(x, len(number))
+    s = "".join(chr(number[x]) for x in u) if len(number) < 0x110000 else tuple(u)  # slices of strings are cheap
+    one, two = Counter(s), Counter(s[i : i + 2] for i in range(n - 1))
+    back = [0] * (n + 1)  # units from here on of which each neighbouring pair comes back
+    for i in range(n - 1, -1, -1):
+        if one[s[i]] > 1:
+            back[i] = back[i + 1] + 1 if i + 1 < n and two[s[i : i + 2]] > 1 else 1
+    seed = max(2, least // 2)  # windows that start closer to their own kind are no repetition of it
+    ends: dict[tuple, list[int]] = {}  # pieces -> first and last start
+    places = []
     for i in range(n - least + 1):
-        ends.setdefault(tuple(u[i : i + least]), [i, i])[1] = i
-    for i in range(n - least + 1):
-        first, final = ends[tuple(u[i : i + least])]
-        if i - first >= seed or final - i >= seed:
-            said[i : i + least] = [True] * least
-    last: dict[tuple, int] = {}
-    links: dict[int, list[int]] = defaultdict(list)  # distance -> starts of windows equal to the one that far before
-    for i in range(n - seed + 1):
-        w = tuple(u[i : i + seed])
-        j = last.get(w)
-        if j is None:
-            last[w] = i
-        elif i - j >= seed:  # windows that overlap their own kind wait for the next one clear of it
-            links[i - j].append(i)
-            last[w] = i
-    for d, starts in links.items():
-        runs: list[list[int]] = []
-        for i in starts:
-            if runs and i <= runs[-1][1]:
-                runs[-1][1] = i + seed
-            elif runs and i == runs[-1][1] + 1:  # one unit exchanged
-                runs[-1][1] = i + seed
-                runs[-1][2] += 1
-            else:
-                runs.append([i, i + seed, 0])
-        for s, e, changed in runs:
-            if e - s - changed >= least and changed * least <= e - s:
-                for k in range(s, e):
-                    said[k] = said[k - d] = True
-    return said
+        if back[i] >= least:
+            at = ends.setdefault((0, s[i : i + least]), [i, i])
+            at[1] = i
+            places.append((i, i + least, at))
+        for k in range(1, min(back[i], least - 1) + 1):
+            rest = least - k
+            for j in range(i + k, min(i + k + change, n - rest) + 1):
+                if back[j] >= rest:
+                    at = ends.setdefault((k, s[i : i + k] + s[j : j + rest]), [i, i])
+                    at[1] = i
+                    places.append((i, j + rest, at))
+    steps = [0] * (n + 1)
+    for start, end, (first, final) in places:
+        if start - first >= seed or final - start >= seed:
+            steps[start] += 1
+            steps[end] -= 1
+    return [x > 0 for x in accumulate(steps[:n])]
 
 
 def repeated_share(text: str | None) -> tuple[int, int]:
@@ -78,7 +78,7 @@ def repeated_share(text: str | None) -> tuple[int, int]:
     if not text:
         return 0, 0
     u, chars = units(text)
-    return len(u), sum(repeated_flags(u, CHARS if chars else WORDS))
+    return len(u), sum(repeated_flags(u, CHARS, CHANGED_CHARS) if chars else repeated_flags(u, WORDS, CHANGED_WORDS))
 
 
 def shares(values: DataFrame, keys: list[str], value: str = "value") -> DataFrame:

@@ -138,6 +138,17 @@ def test_repeated_flags_with_parts_said_in_between():
     assert all(flags[:5]) and all(flags[10:])
 
 
+def test_repeated_passages_with_a_changed_word():
+    r = repetition.repeated_share
+    assert r("the bank must repay the fee the bank must always repay the fee") == (13, 13)
+    assert r("we never close at noon. We close at noon") == (9, 9)
+    assert r("the red cat sleeps here, the red cat two three sleeps here")[1] == 0
+    n, k = r("请不要重启这个路由器。请不要关闭这个路由器。")
+    assert k == n == 20
+    n, k = r("今天天气很好。银行收取费用。")
+    assert k == 0
+
+
 @pytest.mark.parametrize(
     "text,kinds",
     [
