@@ -31,6 +31,7 @@ LEGACY_PAIRS = (
 SHOWN_BEFORE = r"(?:sequences?|characters?|chars?|symbols?|signs?|strings?|prints?|printed|shows?|showed|showing|shown|displays?|displayed|appears? as|looks? like|reads?|letters?|code|glyphs?|bytes?|garbled|mojibake|zeichen(?:folge)?|caract[eè]res?|signes?|s[ií]mbolos?|car[aá]cter(?:es)?|сочетани\w+|символ\w*|знак\w*|последовательност\w+|字符|符号|乱码|文字|記号|文字化け|อักขระ|อักษร|वर्ण|अक्षर|चिह्न)"
 SHOWN_AFTER = r"(?:signs?|symbols?|characters?|sequences?|glyphs?|instead|in place of|in (?:old|some|our|the)|wherever|where (?:an?|the)|stands? for|means?|should be|for an?|as an?|zeichen|statt|anstelle|au lieu|à la place|en lugar|en vez|em vez|no lugar|вместо|代替|而不是|の代わり|แทน|के स्थान|की जगह)"
 REPLACED = "�"
+LEAST_GAIN = 5  # frequent letter pairs that garbled Cyrillic gains at least when turned back; fewer may be chance
 
 
 def _decode(data: bytes, enc: str) -> str | None:
@@ -207,23 +208,73 @@ class Garbled:
                 else:
                     out.append((m.start(), m.end(), [best[1]], True))
         for m in self.cyrillic.finditer(text):
-            w = m.group(0)
-            if len(w) < 12 or russian(w) > 0.45:
+            out += self.cyrillic_spans(m.group(0), m.start())
+        return out
+
+    def cyrillic_spans(self, run: str, at: int) -> list[tuple[int, int, list, bool]]:
+        """Stretches of words that gain frequent letter pairs when turned back; clean words around them lose some, which ends a stretch."""
+        words = [(w.start(), w.end(), *pairs_of(w.group(0))) for w in re.finditer(r"[^ ,.;:!?\d\n-]+", run)]
+        if all(good > 0.45 * n for _, _, good, n in words if n > 1):
+            return []
+        found = []
+        for written, read in LEGACY_PAIRS:
+            if read in ("latin-1", "cp1252"):
                 continue
-            best = None
-            for written, read in LEGACY_PAIRS:
-                if read in ("latin-1", "cp1252"):
+            turned = run.translate(_cyrillic_table(written, read))
+            new = [pairs_of(turned[s:e]) if "\0" not in turned[s:e] else None for s, e, _, _ in words]
+            gain = [-99 if x is None else x[0] - w[2] + usual_case(turned[w[0] : w[1]]) - usual_case(run[w[0] : w[1]]) for x, w in zip(new, words)]
+            inside = lambda i, j: not re.search(r"[.!?\n]", run[words[i][1] : words[j][0]])
+            first = 0
+            while first < len(words):
+                if gain[first] <= 0:
+                    first += 1
                     continue
-                b = _encode(w, read)
-                t = b and _decode(b, written)
-                score = russian(t) if t else 0
-                if score > max(0.55, russian(w) + 0.25) and (best is None or score > best[0]):
-                    best = (score, (written, read))
-            if best:
-                out.append((m.start(), m.end(), [best[1]], True))
+                total = best = 0
+                last = k = first
+                while k < len(words) and total > best - 3:
+                    total += gain[k]
+                    if total > best:
+                        best, last = total, k
+                    k += 1
+                good, n, was, pairs = (sum(x) for x in zip(*(new[i] + words[i][2:] for i in range(first, last + 1))))
+                before = was / pairs if pairs else 0.0
+                if good - was >= LEAST_GAIN and before <= 0.45 and good / n > max(0.55, before + 0.25):
+                    i, j = first, last  # words without a sign of their own belong to the sentence
+                    while i and gain[i - 1] == 0 and inside(i - 1, i):
+                        i -= 1
+                    while j + 1 < len(words) and gain[j + 1] == 0 and inside(j, j + 1):
+                        j += 1
+                    found.append((best, at + words[i][0], at + words[j][1], [(written, read)], True))
+                first = last + 1
+        out = []
+        for _, *span in sorted(found, key=lambda x: -x[0]):
+            if all(span[1] <= o[0] or o[1] <= span[0] for o in out):
+                out.append(tuple(span))
         return out
 
 
+@functools.lru_cache(None)
+def _cyrillic_table(written: str, read: str) -> dict[int, str]:
+    """Cyrillic letters and signs of the regex as they turn back; those that the reader doesn't have become NUL."""
+    t = _back_table(read)
+    return {c: _one(t[chr(c)], written) if chr(c) in t else "\0" for c in (*range(0x400, 0x460), *range(0x2500, 0x25A0), 0xB0, 0xB1)}
+
+
+def usual_case(word: str) -> int:
+    """2 for small letters behind the first, 1 for capitals throughout, 0 for a mixture."""
+    return 2 if word[1:].islower() else int(len(word) > 1 and word.isupper())
+
+
+@functools.lru_cache(1 << 16)
+def pairs_of(word: str) -> tuple[int, int]:
+    """Letter pairs of the word that are frequent in Russian, and all of them."""
+    good = n = 0
+    for w in re.findall("[а-яё]{2,}", word.lower().replace("ё", "е")):
+        n += len(w) - 1
+        good += sum(w[i : i + 2] in RUSSIAN_PAIRS for i in range(len(w) - 1))
+    return good, n
+
+
 def one_script(g: str) -> bool:
     """Only letters and signs of the Russian alphabet, of Thai, of Devanagari, of kana or Hangul."""
     if all("А" <= c <= "я" or c in "Ёё" for c in g):
@@ -239,10 +290,7 @@ RUSSIAN_PAIRS = frozenset(
 
 def russian(t: str) -> float:
     """Share of letter pairs of the words that are frequent in Russian."""
-    good = n = 0
-    for w in re.findall("[а-яё]{2,}", t.lower().replace("ё", "е")):
-        n += len(w) - 1
-        good += sum(w[i : i + 2] in RUSSIAN_PAIRS for i in range(len(w) - 1))
+    good, n = pairs_of(t)
     return good / n if n else 0.0
 
 

@@ -195,6 +195,17 @@ def test_garbled_twice_and_legacy():
     assert encoding.repair("银行应将客户文件保存很多年".encode("gbk").decode("latin-1"))[1] == "银行应将客户文件保存很多年"
 
 
+@pytest.mark.parametrize("written,read", [("koi8-r", "cp1251"), ("cp1251", "koi8-r")])
+def test_garbled_cyrillic_inside_clean(written, read):
+    clean = "Банк обязан вернуть комиссию до конца месяца. Договор можно расторгнуть в любое время без штрафа. Клиент получает письменное уведомление от оператора."
+    text = "Абонент вправе отказаться от услуги, если оператор изменил тариф."
+    bad = text.encode(written).decode(read)
+    for before, after in ((clean + " ", " " + clean), ("", ""), (clean + "\n", "")):
+        assert encoding.repair(before + bad + after)[:2] == (True, before + text + after)
+    assert encoding.repair("договор".encode(written).decode(read))[:2] == (True, "договор")
+    assert encoding.repair(clean)[0] is False
+
+
 @pytest.mark.parametrize("text", [None, "", "plain", "NÃO É PERMITIDA A CESSÃO", "São Tomé, Ångström, ÂGE, CÔTÉ", "the sequence â€™ in old exports stands for an apostrophe", "It prints “Ã©” wherever an é should be", "Tree: ├── a └── b", "the portal showed a \ufffd sign", "Комиссия не взимается, если срок был соблюдён.", "ผู้ค้ำประกันต้องรับผิดชอบ", "如果按时付款，则不收取任何罚金。", "«СССР»"])
 def test_clean_text_stays(text):
     assert encoding.repair(text)[0] is False
