@@ -20,6 +20,7 @@ from .common import spread
 
 # Single-byte and double-byte encodings that UTF-8 is read as, and pairs of legacy encodings.
 UTF8_READERS = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1250", "iso8859-15", "cp1254", "cp1251", "koi8-r", "cp866", "mac_cyrillic", "cp874", "gb18030", "shift_jis", "big5", "euc_kr")
+DOUBLE_READERS = ("gb18030", "shift_jis", "big5", "euc_kr")
 CYRILLIC_READERS = ("cp1251", "koi8-r", "cp866", "mac_cyrillic")
 LEGACY_PAIRS = (
     ("cp1251", "latin-1"), ("cp1251", "cp1252"), ("koi8-r", "latin-1"), ("koi8-r", "cp1252"), ("cp866", "cp1252"), ("iso8859-5", "latin-1"),
@@ -102,7 +103,7 @@ class Garbled:
         for c in alphabet:
             data = c.encode("utf-8")
             for enc in UTF8_READERS:
-                if enc in ("gb18030", "shift_jis", "big5", "euc_kr"):
+                if enc in DOUBLE_READERS:
                     continue
                 g = _decode(data, enc)
                 if g and g != c and len(g) > 1:
@@ -117,6 +118,8 @@ class Garbled:
                     g = _decode(b + bytes([lead]), enc) if lead >= 0x80 else None
                     if g and len(g) == 2 and all(ord(x) > 0x7F for x in g):
                         pairs.setdefault(g, set()).add(("utf-8", enc))
+        self.alphabet = frozenset(alphabet) | frozenset(map(chr, range(0x386, 0x3CF)))
+        self.high_run = re.compile(r"[^\x00-\x7f]+")
         self.automaton = ahocorasick.Automaton()
         for g, ps in pairs.items():
             if one_script(g):
@@ -211,6 +214,37 @@ class Garbled:
             out += self.cyrillic_spans(m.group(0), m.start())
         return out
 
+    def double_spans(self, text: str) -> list[tuple[int, int, list, bool]]:
+        """Runs above ASCII whose bytes in a double-byte encoding are UTF-8 of one script, but for what U+FFFD stands for. Sure are runs of
+        three letters, and accented Latin letters inside a word; clean text of that encoding is hardly ever UTF-8 for so long."""
+        out = []
+        for m in self.high_run.finditer(text):
+            run, best = m.group(0), None
+            if max(run.replace(REPLACED, ""), default="") < "⺀":
+                continue
+            for enc in DOUBLE_READERS:
+                b = _encode(run.replace(REPLACED, "\x7f"), enc)
+                if b is None:
+                    continue
+                t = b.replace(b"\x7f", b"\xff").decode("utf-8", "replace")
+                kept = [c for c in t if c != REPLACED]
+                lost, holes = len(t) - len(kept), run.count(REPLACED)
+                kinds = {script(c) for c in kept} - {""}
+                if not kept or lost > 3 * holes or lost > len(kept) or len(kinds) != 1 or not self.alphabet.issuperset(kept):
+                    continue
+                if kinds == {"latin"}:
+                    if len(kept) > 3 or lost:
+                        continue
+                    around = text[m.start() - 1 : m.start()], text[m.end() : m.end() + 1]
+                    strong = all(c.isalpha() for c in around)
+                else:
+                    strong = len(kept) >= (4 if lost else 3)
+                if best is None or len(kept) - lost > best[0]:
+                    best = (len(kept) - lost, [("utf-8", enc)], strong)
+            if best:
+                out.append((m.start(), m.end(), *best[1:]))
+        return out
+
     def cyrillic_spans(self, run: str, at: int) -> list[tuple[int, int, list, bool]]:
         """Stretches of words that gain frequent letter pairs when turned back; clean words around them lose some, which ends a stretch."""
         words = [(w.start(), w.end(), *pairs_of(w.group(0))) for w in re.finditer(r"[^ ,.;:!?\d\n-]+", run)]
@@ -253,6 +287,16 @@ class Garbled:
         return out
 
 
+def script(c: str) -> str:
+    """The script of a letter or mark, of those in the alphabet; empty for other signs."""
+    if unicodedata.category(c)[0] not in "LM":
+        return ""
+    for name, lo, hi in (("greek", 0x370, 0x3FF), ("cyrillic", 0x400, 0x45F), ("devanagari", 0x900, 0x97F), ("thai", 0xE00, 0xE7F), ("east asian", 0x2E80, 0xFFFF)):
+        if lo <= ord(c) <= hi:
+            return name
+    return "latin"
+
+
 @functools.lru_cache(None)
 def _cyrillic_table(written: str, read: str) -> dict[int, str]:
     """Cyrillic letters and signs of the regex as they turn back; those that the reader doesn't have become NUL."""
@@ -370,8 +414,8 @@ def _turn_back(s: str, pairs) -> str | None:
             except UnicodeDecodeError:
                 continue
     for written, read in pairs:
-        if read == "gb18030":
-            b = b"".join(c.encode("gb18030") if c != REPLACED else b"?" for c in s)
+        if read in DOUBLE_READERS and written == "utf-8" and (read == "gb18030" or _encode(s.replace(REPLACED, ""), read) is not None):
+            b = b"".join(c.encode(read) if c != REPLACED else b"?" for c in s)
             return b.decode("utf-8", "replace")
     return None
 
@@ -397,6 +441,7 @@ def repair(text: str | None) -> tuple[bool, str | None, str | None]:
             cover = lambda x: sum(max(0, min(x[1], f[1]) - max(x[0], f[0])) for f in found)
             legacy = [x for x in legacy if cover(x) < 0.8 * (x[1] - x[0])]
             found = [f for f in found if not any(f[0] < x[1] and x[0] < f[1] for x in legacy)]
+        found += [x for x in g.double_spans(cur) if not any(f[0] < x[1] and x[0] < f[1] for f in found + legacy)]
         spans = found + legacy
         if not spans:
             break

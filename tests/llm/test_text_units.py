@@ -206,6 +206,18 @@ def test_garbled_cyrillic_inside_clean(written, read):
     assert encoding.repair(clean)[0] is False
 
 
+def test_utf8_read_as_double_byte_text():
+    for text in ("Договор действует до конца года", "Größe über Nacht", "Ο καταναλωτής πληρώνει"):
+        assert encoding.repair(text.encode().decode("gb18030"))[:2] == (True, text)
+    for enc in ("shift_jis", "euc_kr", "big5"):
+        assert encoding.repair("Die Hörer".encode().decode(enc))[:2] == (True, "Die Hörer")
+    thai = "ทนายความต้องแจ้งผู้เช่า"
+    back = encoding.repair(thai.encode().decode("gb18030", "replace"))
+    assert back[0] and sum(c in thai for c in back[1]) > len(thai) / 2
+    for clean in ("使用Wi-Fi每月付款", "他每天很忙，没时间。", "안녕하세요 계약을 확인해 주세요", "ﾃﾞｰﾀを確認してください", "契約書を確認してください。", "請確認合約內容"):
+        assert encoding.repair(clean)[0] is False
+
+
 @pytest.mark.parametrize("text", [None, "", "plain", "NÃO É PERMITIDA A CESSÃO", "São Tomé, Ångström, ÂGE, CÔTÉ", "the sequence â€™ in old exports stands for an apostrophe", "It prints “Ã©” wherever an é should be", "Tree: ├── a └── b", "the portal showed a \ufffd sign", "Комиссия не взимается, если срок был соблюдён.", "ผู้ค้ำประกันต้องรับผิดชอบ", "如果按时付款，则不收取任何罚金。", "«СССР»"])
 def test_clean_text_stays(text):
     assert encoding.repair(text)[0] is False
