@@ -49,8 +49,10 @@ def language(text: str) -> tuple[str | None, float]:
     if not text.isascii():
         other = _FOREIGN_SCRIPT.findall(text)
         if other:
-            by = Counter(next(code for code, a, b in _SCRIPTS if a <= c <= b) for c in other[:400])
-            latin = sum(c.isalpha() for c in text[:1200]) - sum(c.isalpha() for c in other[:400])
+            by = Counter()
+            for c, n in Counter(other).items():
+                by[next(code for code, a, b in _SCRIPTS if a <= c <= b)] += n
+            latin = sum(map(str.isalpha, text)) - sum(map(str.isalpha, other))
             code, n = by.most_common(1)[0]
             if code == "zh" and by.get("ja", 0) >= 0.06 * (n + by["ja"]):
                 code, n = "ja", n + by["ja"]

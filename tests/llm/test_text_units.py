@@ -238,6 +238,12 @@ def test_pairs():
     assert j("Wann endet die Garantie?", "Das darf ich Ihnen leider nicht sagen. Bitte wenden Sie sich an einen Anwalt.") in ("refusal", None)
 
 
+def test_language_of_long_clauses():
+    for code, word in (("ru", "договор аренды "), ("th", "สัญญาเช่าบ้าน"), ("hi", "किराया समय पर ")):
+        assert pairs.language(word * 100)[0] == code
+    assert pairs.language("договор аренды " * 40 + "the tenant has to pay for it " * 100)[0] == "en"
+
+
 def test_field_marginals_and_best_path():
     import numpy as np
 
