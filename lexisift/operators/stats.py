@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions import stats as S
 from ..functions.values import finite
@@ -79,21 +81,32 @@ def dunn(df: DataFrame, metrics: list[str], group: str, least: int = 3) -> DataF
     return j.select(F.col("a.metric").alias("metric"), F.col("a.group").alias("group_a"), F.col("b.group").alias("group_b"), F.round(z, 4).alias("z"), F.round(F.least(F.lit(1.0), 2 * S.normal_tail(z) * m), 5).alias("p_adj"), F.round(d, 4).alias("d"))
 
 
-def wilcoxon(df: DataFrame, keys: list[str], delta: str, least: int = 5) -> DataFrame:
-    """(keys, n_nonzero, w_plus, w_minus, statistic, z, p): signed-rank test of the differences against 0; zeros dropped, normal
-    approximation with tie correction and without continuity correction. Null figures below least non-zero differences."""
-    x = df.select(*keys, finite(F.col(delta)).alias("d")).filter("d is not null and d <> 0")
-    c = durable(x.groupBy(*keys, F.abs("d").alias("a")).agg(F.count_if(F.col("d") > 0).alias("pos"), F.count("*").alias("t")))
+def wilcoxon(df: DataFrame, keys: list[str], delta: str, least: int = 5, most_exact: int = 50) -> DataFrame:
+    """(keys, n_nonzero, w_plus, w_minus, statistic, z, p): signed-rank test of the differences against 0; zeros dropped. p is exact
+    up to most_exact differences without ties or zeros, else the normal approximation with tie correction and without continuity correction,
+    as z always is. Null figures below least non-zero differences."""
+    x = df.select(*keys, finite(F.col(delta)).alias("d")).filter("d is not null")
+    every = durable(x.groupBy(*keys, F.abs("d").alias("a")).agg(F.count_if(F.col("d") > 0).alias("pos"), F.count("*").alias("t")))
+    c = every.filter("a <> 0")
+    zeros = every.filter("a = 0").select(*[F.col(k).alias(f"_z{i}") for i, k in enumerate(keys)], F.col("t").alias("_zeros"))
     r = average_ranks(c, keys, "a", "t").select(*keys, "a", "rank")
     j = c.join(r, [*keys, "a"])
     t = F.col("t").cast("double")
     s = j.groupBy(*keys).agg(F.sum("t").alias("n_nonzero"), F.sum(F.col("pos") * F.col("rank")).alias("w_plus"), F.sum((F.col("t") - F.col("pos")) * F.col("rank")).alias("w_minus"), F.sum(t * t * t - t).alias("_t3"))
+    same = [s[k].eqNullSafe(zeros[f"_z{i}"]) for i, k in enumerate(keys)]
+    s = s.join(zeros, functools.reduce(lambda a, b: a & b, same), "left")
     n = F.col("n_nonzero").cast("double")
     se = F.sqrt((n * (n + 1) * (2 * n + 1) - F.col("_t3") / 2.0) / 24.0)
     stat = F.least("w_plus", "w_minus")
     z = (stat - n * (n + 1) / 4.0) / se
     ok = F.col("n_nonzero") >= least
-    return s.select(*keys, "n_nonzero", "w_plus", "w_minus", F.when(ok, F.round(stat, 4)).alias("statistic"), F.when(ok, F.round(z, 4)).alias("z"), F.when(ok, F.round(2 * S.normal_tail(z), 6)).alias("p"))
+    exact = ok & (F.col("n_nonzero") <= most_exact) & (F.col("_t3") == 0) & F.col("_zeros").isNull()
+    return s.select(*keys, "n_nonzero", "w_plus", "w_minus", F.when(ok, F.round(stat, 4)).alias("statistic"), F.when(ok, F.round(z, 4)).alias("z"), F.when(ok, F.round(F.when(exact, _exact_p(F.when(exact, F.col("n_nonzero")), stat)).otherwise(2 * S.normal_tail(z)), 6)).alias("p"))
+
+
+@F.pandas_udf(DoubleType())
+def _exact_p(n: pd.Series, statistic: pd.Series) -> pd.Series:
+    return pd.Series([exact_wilcoxon_p(int(k), float(w)) if k == k else None for k, w in zip(n, statistic)], dtype="float64")
 
 
 def exact_wilcoxon_p(n: int, statistic: float) -> float:

@@ -448,6 +448,13 @@ def _deltas(spark, d):
 
 @query(f"WITH {_SIGNED.replace('sparql - nlq AS d', 'round(sparql - nlq, 12) AS d').replace('nlq_cot - nlq FROM', 'round(nlq_cot - nlq, 12) FROM').replace('sparql_cot - nlq FROM', 'round(sparql_cot - nlq, 12) FROM')}, {_WILCOXON.format(k='domain, model, method')} SELECT domain, model, method, n_nonzero, w_plus, w_minus, CASE WHEN n_nonzero >= 5 THEN round(least(w_plus, w_minus), 4) END AS statistic, CASE WHEN n_nonzero >= 5 THEN round(z, 4) END AS z, CASE WHEN n_nonzero >= 5 THEN round(2 * {normal_tail_sql('z')}, 6) END AS p FROM zz")
 def wilcoxon_signed_rank(spark, d):
+    """With the normal approximation for groups of any size, as its SQL has it."""
+    return stats.wilcoxon(_deltas(spark, d), ["domain", "model", "method"], "d", most_exact=0)
+
+
+@query()
+def wilcoxon_signed_rank_exact(spark, d):
+    """The same with exact probabilities for small groups without ties or zeros."""
     return stats.wilcoxon(_deltas(spark, d), ["domain", "model", "method"], "d")
 
 
@@ -512,6 +519,12 @@ def angle_stats(spark, d):
     return latent.angle_stats(_angles(spark, d)).drop("statistic", "p")
 
 
+@query()
+def angle_signed_rank(spark, d):
+    """The signed-rank test of the angles, which the SQL of angle_stats leaves out."""
+    return latent.angle_stats(_angles(spark, d)).select("domain", "model", "method", "n", "statistic", "p")
+
+
 @query(f"WITH {_ANG}, st AS (SELECT domain, model, method, round(avg(angle), 4) AS mean FROM an GROUP BY ALL) SELECT model, domain, method, mean FROM st WHERE method = 'sparql' ORDER BY abs(mean) DESC, model, domain LIMIT 1")
 def largest_displacement(spark, d):
     return latent.largest_displacement(latent.angle_stats(_angles(spark, d)))

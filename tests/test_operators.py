@@ -48,6 +48,16 @@ def test_wilcoxon_and_exact(spark):
     assert stats.exact_wilcoxon_p(n, stat) == pytest.approx(min(1, 2 * ways / 2**n))
 
 
+def test_wilcoxon_is_exact_for_small_groups(spark):
+    d = [1.0, -2.0, 3.0, 4.0, 5.0, -6.0, 7.0]
+    rows = [("plain", x) for x in d] + [("zero", x) for x in [*d, 0.0]] + [("tied", x) for x in [*d, 7.0]] + [("few", 1.0)]
+    r = {x["g"]: x for x in stats.wilcoxon(spark.createDataFrame(rows, "g string, d double"), ["g"], "d").collect()}
+    assert r["plain"]["p"] == pytest.approx(stats.exact_wilcoxon_p(7, 8), abs=1e-6) and r["few"]["p"] is None
+    assert r["zero"]["z"] == r["plain"]["z"] and r["zero"]["p"] != r["plain"]["p"]
+    for g in ("zero", "tied"):
+        assert r[g]["p"] == pytest.approx(math.erfc(abs(r[g]["z"]) / math.sqrt(2)), abs=1e-4)
+
+
 def test_bootstrap(spark):
     v = list(np.random.default_rng(1).normal(size=50))
     df = spark.createDataFrame([("g", i, float(x)) for i, x in enumerate(v)] + [("s", 0, 2.0)], "g string, i int, v double")
