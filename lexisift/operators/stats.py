@@ -13,7 +13,7 @@ from pyspark.sql.types import DoubleType
 
 from ..functions import stats as S
 from ..functions.values import finite
-from ..session import durable
+from ..session import durable, spec
 
 BUCKETS = 64
 
@@ -125,7 +125,7 @@ def bootstrap_ci(df: DataFrame, keys: list[str], value: str, order: str, draws:
     A group's values are combined to a histogram first, and resampled by multinomial counts over it, so a task holds a group's
     distinct values, not its rows. Groups up to 5,000 rows are resampled row by row in the given order instead, which repeats the
     draws of a seeded generator exactly."""
-    spec = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in keys) + ", n bigint, mean double, lo double, hi double"
+    head = spec(df, keys) + ", n bigint, mean double, lo double, hi double"
     x = df.select(*keys, F.col(order).alias("_o"), finite(F.col(value)).alias("_v")).filter("_v is not null")
     sizes = x.groupBy(*keys).agg(F.count("*").alias("_n"))
     j = x.join(sizes, keys)
@@ -149,4 +149,4 @@ def bootstrap_ci(df: DataFrame, keys: list[str], value: str, order: str, draws:
         lo, hi = np.percentile(means, [a, 100 - a])
         return pd.DataFrame([[*key, n, mean, float(lo), float(hi)]], columns=[*keys, "n", "mean", "lo", "hi"])
 
-    return small.unionByName(large).groupBy(*keys).applyInPandas(one, spec)
+    return small.unionByName(large).groupBy(*keys).applyInPandas(one, head)

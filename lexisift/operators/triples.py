@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..session import spec, spread
 
 CONFIDENT = 0.75
 GATE = 0.60
@@ -91,7 +91,7 @@ def pattern_triples(text: str, voc: Vocabulary) -> list[tuple[str, str, str, flo
 
 def extract(df: DataFrame, keys: list[str], text: str, surfaces: dict[str, str]) -> DataFrame:
     """(keys, subject, predicate, object, confidence, step): triples of each text, read whole. surfaces is a vocabulary of bounded size."""
-    spec = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in keys)
+    head = spec(df, keys)
     k = len(keys)
 
     def run(batches):
@@ -105,12 +105,12 @@ def extract(df: DataFrame, keys: list[str], text: str, surfaces: dict[str, str])
             idx, cols = pa.array(at, pa.int32()), list(zip(*rows)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([*[c.take(idx) for c in b.columns[:k]], *[pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.string(), pa.float64(), pa.string()))]], [*keys, "subject", "predicate", "object", "confidence", "step"])
 
-    return spread(df.select(*keys, text)).mapInArrow(run, f"{spec}, subject string, predicate string, object string, confidence double, step string")
+    return spread(df.select(*keys, text)).mapInArrow(run, f"{head}, subject string, predicate string, object string, confidence double, step string")
 
 
 def entity_spans(df: DataFrame, keys: list[str], text: str, surfaces: dict[str, str]) -> DataFrame:
     """(keys, start, end, name, negated): vocabulary entities of each text."""
-    spec = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in keys)
+    head = spec(df, keys)
     k = len(keys)
 
     def run(batches):
@@ -124,7 +124,7 @@ def entity_spans(df: DataFrame, keys: list[str], text: str, surfaces: dict[str,
             idx, cols = pa.array(at, pa.int32()), list(zip(*rows)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([*[c.take(idx) for c in b.columns[:k]], *[pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.string(), pa.bool_()))]], [*keys, "start", "end", "name", "negated"])
 
-    return spread(df.select(*keys, text)).mapInArrow(run, f"{spec}, start int, end int, name string, negated boolean")
+    return spread(df.select(*keys, text)).mapInArrow(run, f"{head}, start int, end int, name string, negated boolean")
 
 
 def contained_form(df: DataFrame, text: str, vocabulary: DataFrame) -> DataFrame:

@@ -38,6 +38,11 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def spec(df, keys: list[str]) -> str:
+    """The keys with their types as a schema string, in the order of keys: Arrow batches are matched to it by place."""
+    return ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+
+
 def spread(df, per_core: int = 2):
     """Balance the rows of a scan before CPU-heavy Python when it gives fewer splits than there are cores; larger scans pass unshuffled.
 

@@ -253,3 +253,10 @@ def test_resumable_stream(spark, tmp_path):
     spark.createDataFrame([(3,)], "k int").coalesce(1).write.mode("append").parquet(src)
     resume.process_new(spark, src, "k int", step, sink, ck)
     assert sorted(r["d"] for r in spark.read.parquet(sink).collect()) == [2, 4, 6]
+
+
+def test_keys_may_stand_in_any_order(spark):
+    df = spark.createDataFrame([("A", "B", "The bond is regulated by the bank.", 1, 2.0)], "x string, y string, text string, o int, v double")
+    for keys in (["x", "y"], ["y", "x"]):
+        for got in (triples.extract(df, keys, "text", {"bond": "Bond", "bank": "Bank"}), triples.entity_spans(df, keys, "text", {"bond": "Bond"}), stats.bootstrap_ci(df, keys, "v", "o")):
+            assert {(r["x"], r["y"]) for r in got.collect()} == {("A", "B")}
