@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import durable, spread  # noqa: F401
+from ..session import durable, spec, spread  # noqa: F401
 
 RESPONSE_FIELDS = ("nlq_response", "nlq_cot_response", "sparql_response", "sparql_cot_response")
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from .common import durable
+from .common import durable, spec
 
 DELTA = 200  # about half as many centroids a digest
 QUANTILES = (0.25, 0.5, 0.75)
@@ -52,8 +52,8 @@ def _squeeze(frames: list[pd.DataFrame], keys: list[str], delta: int) -> pd.Data
 def _digest(rows: DataFrame, keys: list[str], delta: int, buffer: int) -> DataFrame:
     """Digest of the rows (keys, n, mean, lo, hi) of each partition, clustered whenever buffer rows have come, so a worker's memory is
     bounded by the buffer and the digests of the keys it meets."""
-    spec = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys) + ", n bigint, mean double, lo double, hi double"
-    schema = to_arrow_schema(_parse_datatype_string(spec))
+    head = spec(rows, keys) + ", n bigint, mean double, lo double, hi double"
+    schema = to_arrow_schema(_parse_datatype_string(head))
 
     def run(batches):
         held, size, kept = [], 0, 0
@@ -69,7 +69,7 @@ def _digest(rows: DataFrame, keys: list[str], delta: int, buffer: int) -> DataFr
             for at in range(0, len(out), 10_000):
                 yield pa.RecordBatch.from_pandas(out.iloc[at : at + 10_000], preserve_index=False, schema=schema)
 
-    return rows.select(*keys, "n", "mean", "lo", "hi").mapInArrow(run, spec)
+    return rows.select(*keys, "n", "mean", "lo", "hi").mapInArrow(run, head)
 
 
 def partial_digests(values: DataFrame, keys: list[str], value: str, delta: int = DELTA, buffer: int = 200_000) -> DataFrame:

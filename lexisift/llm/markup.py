@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_empty, spread
+from .common import is_empty, spec, spread
 
 KINDS = ("html", "markdown", "wiki", "latex")
 # Element names of HTML, and the commands and environments of LaTeX that text uses.
@@ -315,7 +315,7 @@ def extract(values: DataFrame, keys: list[str], host: str = "model", value: str
     losing = path_votes(real, host, value).filter((F.col("votes") >= least_votes) & (F.col("score") < 0)).groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("_losing"))
     j = spread(real.select(*keys, F.col(host).cast("string").alias("host"), F.col(value).alias("_v"))).join(losing, "host", "left")
     src = j.select(*keys, "_v", "_losing")
-    spec = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields if f.name in keys)
+    head = spec(src, keys)
 
     def run(batches):
         for b in batches:
@@ -330,4 +330,4 @@ def extract(values: DataFrame, keys: list[str], host: str = "model", value: str
             at = pa.array(keep, pa.int32())
             yield pa.RecordBatch.from_arrays([*[c.take(at) for c in b.columns[: len(keys)]], pa.array(kinds, pa.list_(pa.string())), pa.array(out, pa.string())], [*keys, "kinds", "clean_text"])
 
-    return src.mapInArrow(run, f"{spec}, kinds array<string>, clean_text string")
+    return src.mapInArrow(run, f"{head}, kinds array<string>, clean_text string")

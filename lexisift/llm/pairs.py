@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import INVISIBLE, is_empty
+from .common import INVISIBLE, is_empty, spec
 from .seed_sentences import SEED
 from .sentences import sentence_ends
 
@@ -363,7 +363,7 @@ def defects(pairs: DataFrame, cut: DataFrame, keys: list[str]) -> DataFrame:
     real = pairs.filter(usable_question(F.col("question")))
     flagged = real.withColumn("empty", is_empty(F.col("value"))).join(cut.select(*keys, F.col("truncated").alias("_cut")), keys, "left")
     src = flagged.select(*keys, "empty", F.coalesce("_cut", F.lit(False)).alias("_cut"), "question", F.col("value").alias("_v"))
-    spec = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields if f.name in keys)
+    head = spec(src, keys)
     w, t = trained()
     k = len(keys)
 
@@ -376,4 +376,4 @@ def defects(pairs: DataFrame, cut: DataFrame, keys: list[str]) -> DataFrame:
                 cov.append(x)
             yield pa.RecordBatch.from_arrays([*b.columns[:k], pa.array(out, pa.string()), *[pa.array([x[i] for x in cov], pa.float64()) for i in range(len(TAGS))]], [*keys, "defect", *TAGS])
 
-    return src.mapInArrow(run, f"{spec}, defect string, " + ", ".join(f"{x} double" for x in TAGS))
+    return src.mapInArrow(run, f"{head}, defect string, " + ", ".join(f"{x} double" for x in TAGS))

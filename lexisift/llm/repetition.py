@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, is_empty, spread
+from .common import durable, is_empty, spec, spread
 
 WORDS, CHARS = 4, 8  # shortest passage, in words or, in scripts without spaces, in characters
 CHANGED_WORDS, CHANGED_CHARS = 1, 4  # longest change within it: a word
@@ -84,7 +84,7 @@ def repeated_share(text: str | None) -> tuple[int, int]:
 def shares(values: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """values with units, repeated and share (0 for texts without units). Each text is measured whole, by itself."""
     src = spread(values)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields if f.name in keys)
+    head = spec(src, keys)
 
     def run(batches):
         for b in batches:
@@ -93,7 +93,7 @@ def shares(values: DataFrame, keys: list[str], value: str = "value") -> DataFram
             share = pa.array([y / x if x else 0.0 for x, y in got], pa.float64())
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], n, k, share], [*keys, "units", "repeated", "share"])
 
-    return src.select(*keys, value).mapInArrow(run, f"{kinds}, units int, repeated int, share double")
+    return src.select(*keys, value).mapInArrow(run, f"{head}, units int, repeated int, share double")
 
 
 def host_verdicts(rows: DataFrame, host: list[str], failed: str) -> DataFrame:

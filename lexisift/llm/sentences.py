@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_empty, spread
+from .common import is_empty, spec, spread
 from .seed_sentences import SEED
 
 # Abbreviations by how they behave: before a name, before a number or reference, within a sentence only, or also at its end.
@@ -331,7 +331,7 @@ def sentences(values: DataFrame, keys: list[str], value: str = "value") -> DataF
     """(keys, sent_start, sent_end, posterior): one row per sentence of every value that is not empty. Texts are read whole."""
     real = values.filter(~is_empty(F.col(value)))
     src = spread(real.select(*keys, F.col(value).alias("_v")))
-    spec = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields if f.name in keys)
+    head = spec(src, keys)
 
     def run(batches):
         for b in batches:
@@ -345,4 +345,4 @@ def sentences(values: DataFrame, keys: list[str], value: str = "value") -> DataF
             idx = pa.array(at, pa.int32())
             yield pa.RecordBatch.from_arrays([*[c.take(idx) for c in b.columns[: len(keys)]], pa.array(s, pa.int64()), pa.array(e, pa.int64()), pa.array(p, pa.float64())], [*keys, "sent_start", "sent_end", "posterior"])
 
-    return src.mapInArrow(run, f"{spec}, sent_start bigint, sent_end bigint, posterior double")
+    return src.mapInArrow(run, f"{head}, sent_start bigint, sent_end bigint, posterior double")

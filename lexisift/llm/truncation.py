@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, is_empty, spread
+from .common import durable, is_empty, spec, spread
 from .sentences import ABBREVIATIONS
 
 _INNER_ABBR = frozenset(w for k in ("title", "cite", "mid") for w in ABBREVIATIONS[k]) - {"no", "p", "s", "min", "max", "art", "sec", "par", "ex", "fr", "v", "f", "ed", "st", "col", "hon", "pt"}
@@ -192,7 +192,7 @@ def tails(text: str) -> list[int]:
 def look(values: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """(keys, ending, tail, length, coded, few, unmarked) for every value. coded: the last unit holds a number; few: no more than two words; unmarked: it ends in a script without terminators."""
     src = spread(values.select(*keys, F.col(value).alias("_v")))
-    spec = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields if f.name in keys)
+    head = spec(src, keys)
 
     def run(batches):
         for b in batches:
@@ -208,7 +208,7 @@ def look(values: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
                 c.append(bool(regex.search(r"[\p{N}][^\s]*\s*$|^\W*\p{Lu}[\w ]{0,30}:\s*\S+\s*\Z", s[-60:])) or bool(regex.search(r"[,:]\n[^\n.!?]{1,40}\Z", s)))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], pa.array(e, pa.string()), pa.array(t, pa.list_(pa.int64())), pa.array(n, pa.int32()), pa.array(c, pa.bool_()), pa.array(few, pa.bool_()), pa.array(um, pa.bool_())], [*keys, "ending", "tail", "length", "coded", "few", "unmarked"])
 
-    return src.mapInArrow(run, f"{spec}, ending string, tail array<bigint>, length int, coded boolean, few boolean, unmarked boolean")
+    return src.mapInArrow(run, f"{head}, ending string, tail array<bigint>, length int, coded boolean, few boolean, unmarked boolean")
 
 
 def continuations(values: DataFrame, value: str = "value", flush: int = 400_000) -> DataFrame:

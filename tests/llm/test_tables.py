@@ -198,3 +198,18 @@ def test_queries_on_dirty_tables(spark, tmp_path):
     assert [tuple(r) for r in got["p5_found"]] == [("r", "char_count", "a")]
     assert sorted(r["doc_id"] for r in got["p10_found"]) == [3, 3] and len(got["p9_containers"]) == 4
     assert all(len(f(spark, f"{tmp_path}/none").collect()) == 0 for f in QUERIES.values())
+
+
+def test_keys_may_stand_in_any_order(spark):
+    src = values_table(spark, ["One rule <b>holds</b>. One rule holds. One rule holds. It holds fo", "I cannot answer this question."])
+    want = {(i, "nlq_response", "m2" if i == 0 else "m1") for i in (0, 1)}
+    for keys in (["resp_id", "field", "model"], ["model", "field", "resp_id"], ["field", "model", "resp_id"]):
+        cut = src.select(*keys, F.lit(True).alias("truncated")).limit(0)
+        made = [
+            repetition.shares(src, keys), sentences.sentences(src, keys), truncation.look(src, keys), truncation.broken_off(src, keys, ["model", "field"]), pairs.defects(src, cut, keys),
+            markup.extract(src.withColumn("host", F.lit("h")), keys, host="host"),
+        ]
+        for got in made:
+            assert {(r["resp_id"], r["field"], r["model"]) for r in got.collect()} <= want
+    got = repetition.repetition(src).collect()
+    assert {(r["resp_id"], r["field"], r["model"]) for r in got} == want
