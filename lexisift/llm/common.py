@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,21 +39,27 @@ def visible(col: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(F.coalesce(col, F.lit("")), INVISIBLE + "+", " ")))
 
 
-LONG = 400  # characters; longer values can only be notices or all marks, which their start tells
+def _words(phrases) -> str:
+    """Alternation of literal phrases, any invisible run between their words."""
+    return "|".join((INVISIBLE + "+").join("\\Q" + w + "\\E" for w in p.split()) for p in sorted(phrases, key=len, reverse=True))
+
+
+_LETTER = r"[\p{L}\p{M}\p{N}]"
+#: More letters and digits than any marker or tag has: at least so many stand in the text. Anchored and possessive, so it reads no further.
+_SAYS_MORE = r"^(?:[^\p{L}\p{M}\p{N}]*+" + _LETTER + "){" + str(1 + max(len(regex.sub(r"[^\p{L}\p{M}\p{N}]", "", w)) for w in (*MISSING_MARKERS, *ANSWER_TAGS))) + "}"
+_FAILED = r"^(?i)" + INVISIBLE + r"*+[\[\(<]?(?:" + _words(h.lstrip("[<") for h in FAILURE_HEADS) + r")(?:" + INVISIBLE + r"*[:\]\)>]|" + INVISIBLE + r"+(?:processing|while|during|in|at|code|after|occurred)\b|" + INVISIBLE + r"*\z)"
+_NOTHING = (
+    r"^(?:[\p{P}\p{S}\s]*+|" + _alt(MISSING_MARKERS)
+    + r"|[\p{P}\p{S}\s]*(?:" + _alt(ANSWER_TAGS) + r")[*_\s]*[:：][\p{P}\p{S}\s]*|(?:#+\s*|\*\*|<)(?:" + _alt(ANSWER_TAGS) + r")[\p{P}\p{S}\s]*)$"
+)
 
 
 def is_empty(col: Column) -> Column:
     """True for null, blank or invisible-only values, markers of a missing value, bare answer tags and notices of a failed or degenerate run.
 
-    Values of more than LONG characters between their invisible ends are not searched for markers and tags, which are shorter."""
-    ends = F.regexp_replace(col, "^" + INVISIBLE + "+|" + INVISIBLE + "+$", "")
-    core = F.when(F.length(col) <= LONG, col).otherwise(ends)
-    v = visible(F.when(F.length(core) <= LONG, core))
-    tag = r"^[\p{P}\p{S}\s]*(?:" + _alt(ANSWER_TAGS) + r")[*_\s]*[:：][\p{P}\p{S}\s]*$|^(?:#+\s*|\*\*|<)(?:" + _alt(ANSWER_TAGS) + r")[\p{P}\p{S}\s]*$"
-    punctuation = r"^[\p{P}\p{S}\s]*$"
-    failed = r"^[\[\(<]?(?:" + _alt(h.lstrip("[<") for h in FAILURE_HEADS) + r")(?:\s*[:\]\)>]|\s+(?:processing|while|during|in|at|code|after|occurred)\b|$)"
-    short = v.isin(*MISSING_MARKERS) | v.rlike(punctuation) | v.rlike(tag) | v.rlike(failed)
-    return F.when(F.length(core) > LONG, core.rlike(punctuation) | F.lower(F.substring(core, 1, 100)).rlike(failed)).otherwise(short)
+    Holds for values of any length. Most values are settled by their first letters: they have more of them than any marker or tag."""
+    short = F.when(col.rlike(_SAYS_MORE), False).otherwise(visible(col).rlike(_NOTHING))
+    return F.coalesce(short | col.rlike(_FAILED), F.lit(True))
 
 
 def response_values(spark: SparkSession, sf_dir: str) -> DataFrame:

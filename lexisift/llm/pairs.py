@@ -19,7 +19,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import INVISIBLE, is_empty, spec
+from .common import INVISIBLE, is_empty, spec, spread
+from .refusals import labelled, learn, score
 from .seed_sentences import SEED
 from .sentences import sentence_ends
 
@@ -75,47 +76,12 @@ def language(text: str) -> tuple[str | None, float]:
     return first[0], first[1] - 0.5 * second[1]
 
 
-# Ways to decline, by language: a speaker that cannot or will not, and the act of speaking, helping or judging.
-_ACT = r"(?:help|assist|answer|respond|reply|comment|advise|give|offer|provide|discuss|talk|speak|go into|weigh in|engage|share|say|tell|complete|fulfil+|comply|process|support|address|handle|continue|judge|take (?:a )?position|form an? (?:opinion|view)|express|recommend|do (?:that|this|so))"
-_STRONG = {
-    "en": r"\b(?:i|we|this (?:assistant|model|system|service)|the (?:assistant|model|system))\b(?:['’](?:m|re|ve|d|ll))?[^.!?]{0,30}?(?:\bcan(?:not|['’]t| not)|\bcould not|couldn['’]t|\bunable to|\bnot able to|\bwo(?:n['’]t| not)|\bwill not|\bwould(?:n['’]t| not| rather not)|\bmay not|\bmust not|\bnot (?:allowed|permitted|authori[sz]ed|designed|equipped|qualified|entitled|in a position|going|willing|comfortable)(?: to| with)?|\bchosen not to|\bprefer not to|\bdecided not to)(?:\s+(?:be|in|to|any|further|really|directly|currently|therefore|unfortunately))*\s+(?:\w+\s+){0,1}?" + _ACT
-    + r"|\b(?:i|we)\b[^.!?]{0,25}\b(?:must|have to|need to|shall|will|would like to|am going to|choose to|'ll|’ll)\s+(?:\w+ly\s+)?(?:decline|pass on|abstain|refrain|refuse)|\b(?:i|we)\s+(?:\w+\s+)?(?:decline|refuse|abstain)\b"
-    + r"|\b(?:not (?:permit|allow)|prevent|prohibit|forbid|bar)(?:s|ted|ed)?\s+(?:me|us|this assistant|the model)\b|\b(?:outside|beyond)(?: of)? (?:what i|my|the scope of (?:what|my)|our)|\bno comment\b|\b(?:have|there is|see) no (?:way|means|authority|permission|mandate|possibility)(?: for me)? (?:to|of)\s+(?:\w+\s+){0,1}?" + _ACT + r"(?:ing)?\b|\b(?:no (?:answer|advice|opinion|comment|statement|help|reply|response|information)\b[^.!?]{0,60}\b(?:can|will|may|could)|(?:can(?:not|['’]t)|will not|may not)) be (?:given|answered|provided|offered|discussed|commented|made)\b[^.!?]{0,20}\b(?:by (?:me|us|this|the)|here|from me)|\b(?:beyond|outside|not within) (?:of )?(?:my|our|the assistant['’]s) (?:remit|scope|competence|abilities|powers|role|limits)|\b(?:not|in)\s*(?:be )?appropriate for (?:me|us|an? (?:ai|assistant|model))|\b(?:hold|have|offer) no (?:opinion|view|comment)|\bi(?:['’]m| am) (?:only |just |merely )?an? (?:ai|(?:large )?language model|assistant)\b|\bas an? (?:ai|(?:large )?language model|assistant)\b[^.!?]{0,60}(?:not|n['’]t|unable|no )|\bagainst my (?:guidelines|policy|policies)|\bnot something (?:i|we)\b|\bsomething (?:i|we)(?:['’]m|['’]re| am| are)? (?:cannot|can['’]t|not|unable)|\b(?:do not|don['’]t|lack) (?:have )?(?:enough|sufficient|the) (?:information|data|context|expertise|knowledge) to\b"
-    + r"|\b(?:i|we|my (?:role|instructions|rules|policy|remit|training))\b[^.!?]{0,30}\b(?:lacks?|(?:do|does) not (?:have|hold|cover|extend|allow|include|let)|don['’]t have|doesn['’]t (?:cover|extend|allow|include|let)|have no|hold no|without)\b[^.!?]{0,25}\b(?:authority|permission|mandate|right|clearance|competence|expertise|means|power|standing|ability|licen[cs]e|basis|qualification)s?\s+(?:to|for|of)\b"
-    + r"|\bnot at liberty to\b|\b(?:i|we)(?:['’]m|['’]ve| am| are| have been| was| were)?\s+(?:\w+ly\s+)?(?:barred|prevented|prohibited|forbidden|restricted|excluded|precluded|kept|instructed not|told not|asked not|advised not)\b|\b(?:i|we)\b[^.!?]{0,15}\b(?:refrain from|abstain from|steer clear of|stay out of|keep out of|shy away from|pass over)\b"
-    + r"|\b(?:i|we)(?:['’]d| would| do| will| must| shall)?\s+(?:much\s+)?(?:rather|prefer)\s+(?:not\b|to leave|to stay)|\bnot (?:for me|my place|up to me|my role|my job) to\b|\b(?:nothing|little) (?:i|we) (?:can|could|may) (?:say|tell|offer|add|do)\b|\b(?:have|has) nothing to (?:say|offer|contribute) (?:on|about|to)\b|\boff[- ]limits (?:for|to) (?:me|us)\b|\b(?:you will|you['’]ll) (?:not|have to do without)[^.!?]{0,20}\b(?:answer|reply|advice|opinion)\b[^.!?]{0,20}\bfrom (?:me|us|this)\b|\bno (?:answer|advice|opinion|reply|statement)s?\b[^.!?]{0,40}\bfrom (?:me|us|this assistant|this model|the model)\b|\bnot (?:a|the) (?:topic|subject|matter|question|thing)s? (?:that |which )?(?:i|we) (?:can|may|discuss|cover|answer|comment|advise|handle|touch)",
-    "de": r"\b(?:ich|wir)\b[^.!?]{0,60}\b(?:nicht|keine?n?|leider)\b[^.!?]{0,50}\b(?:helfen|beantworten|antworten|auskunft|äußern|weiterhelfen|beraten|rat|kommentieren|stellung|geben|machen|unterstützen|sagen|eingehen|bearbeiten)|\b(?:kann|darf|können|dürfen|möchte|werde)\s+(?:ich|wir)\b[^.!?]{0,30}\b(?:nicht|keine?n?)\b|\bmuss ich (?:leider )?(?:ablehnen|passen)|\blehne ich ab|\b(?:steht|fehlt|obliegt)\b[^.!?]{0,20}\b(?:mir|uns)\b[^.!?]{0,30}\b(?:nicht|befugnis|recht|erlaubnis)|\bbin ich nicht (?:befugt|berechtigt|ermächtigt|in der lage)|\bich (?:enthalte mich|habe (?:keine befugnis|kein recht|keine erlaubnis))|\bist es mir nicht (?:möglich|erlaubt|gestattet)|\bals (?:ki|assistent|sprachmodell)\b[^.!?]{0,60}(?:nicht|kein)",
-    "fr": r"\bje (?:ne|n['’])[^.!?]{0,20}(?:peux|puis|suis|pourrai|saurais|souhaite|veux)[^.!?]{0,12}(?:pas|point)?[^.!?]{0,40}(?:répondre|aider|donner|fournir|commenter|conseiller|autorisé|habilité|en mesure|me prononcer|traiter|discuter)|\bil m['’]est (?:impossible|interdit)|\bje n['’]ai (?:pas|ni|aucun)[^.!?]{0,20}(?:droit|autorisation|autorité|compétence|qualité)|\bil ne m['’]appartient pas|\bne m['’]est pas (?:permis|possible)|\bje (?:dois|préfère) (?:décliner|refuser|m['’]abstenir|ne pas)|\bnous ne (?:pouvons|sommes)[^.!?]{0,30}(?:répondre|aider|donner|mesure)|\ben tant qu['’](?:assistant|ia|intelligence)\b[^.!?]{0,60}(?:impossible|pas)",
-    "es": r"\bno (?:puedo|podemos|podré|me es posible|me está permitid[oa]|se me permite|estoy (?:autorizad[oa]|en condiciones|capacitad[oa])|tengo permitido|me corresponde|voy a|quiero|deseo)\b[^.!?]{0,40}(?:ayudar|responder|contestar|opinar|dar|ofrecer|comentar|aconsejar|asesorar|hablar|pronunciar|atender|proporcionar)?|\bno tengo (?:autoridad|autorización|permiso|competencia|derecho)|\bno me compete|\bdebo (?:declinar|rechazar|abstenerme)|\bprefiero no (?:responder|opinar|comentar)|\bcomo (?:asistente|ia|modelo)\b[^.!?]{0,60}\bno\b",
-    "pt": r"\bnão (?:posso|podemos|poderei|me é (?:possível|permitido)|estou (?:autorizad[oa]|em condições|habilitad[oa])|tenho permissão|me cabe|vou|quero|consigo)\b[^.!?]{0,40}(?:ajudar|responder|opinar|dar|oferecer|comentar|aconselhar|falar|pronunciar|atender|fornecer)?|\bnão tenho (?:autoridade|autorização|competência|direito)|\bnão me compete|\btenho de (?:recusar|declinar)|\bprefiro não (?:responder|opinar|comentar)|\bcomo (?:assistente|ia|modelo)\b[^.!?]{0,60}\bnão\b",
-    "ru": r"\bя\b[^.!?]{0,20}\bне\s+(?:могу|смогу|вправе|имею права|уполномочен\w*|готов\w*|в состоянии|стану|буду)\b|\bмы\b[^.!?]{0,20}\bне\s+(?:можем|вправе)\b|у меня нет (?:права|прав|полномочий|разрешения)|\bвоздержусь|\bмне не (?:разрешено|позволено|положено)|\b(?:вынужден\w*|должен|должна) отказать\w*|\bне могу (?:помочь|ответить|дать|комментировать|обсуждать)|\bкак (?:ассистент|помощник|модель)\b[^.!?]{0,60}\bне\b",
-    "zh": r"(?:我|本助手|我们|作为(?:助手|人工智能|语言模型)|模型)[^。！？]{0,14}(?:无法|不能|不便|不可以|没有(?:权限|资格|权利)|不被允许|无权|不予|拒绝|不会)[^。！？]{0,14}(?:回答|帮助|协助|提供|评论|讨论|建议|答复|处理|回应|发表|给出|满足)|(?:无法|不能)(?:回答|提供|协助)(?:这|该|此|您)",
-    "ja": r"(?:お答え|回答|お手伝い|助言|アドバイス|コメント|ご案内|お応え|お話し?|対応|提供|意見|ご相談|お力|発言|判断)[^。！？]{0,14}(?:できません|できかねます|いたしかねます|出来ません|控え|差し控え|しかねます|許可されてい|になれません|遠慮)|権限(?:が|は)(?:ありません|ございません)",
-    "hi": r"(?:मैं|मुझे|हम|हमें)[^।!?]{0,60}(?:नहीं (?:दे|कर|बता) ?(?:सकता|सकती|सकते|पाऊ)|अनुमति नहीं|असमर्थ|सक्षम नहीं|में असमर्थ|उचित नहीं|इनकार|मदद नहीं|उत्तर नहीं|टिप्पणी नहीं)",
-    "th": r"(?:ฉัน|ผม|ดิฉัน|เรา|ระบบ|ขออภัย|ขอโทษ|เสียใจ)[^.!?]{0,30}(?:ไม่สามารถ|ไม่ได้รับอนุญาต|ไม่อาจ|ไม่มีสิทธิ์|ไม่มีอำนาจ|ขอไม่|ไม่ขอ|ปฏิเสธ)[^.!?]{0,30}(?:ตอบ|ช่วย|ให้|แสดง|แนะนำ|พูด|ดำเนิน|คำ)",
-}
 # Courtesies that go with declining.
 _SOFT = (
     r"\b(?:please|kindly|you (?:should|might|may|could)(?: want to)?|i (?:suggest|recommend))\b[^.!?]{0,30}\b(?:consult|contact|ask|speak|talk|seek|see|refer|turn|reach)|\b(?:sorry|apologi[sz]e|apologies|unfortunately|regret)\b|\bhope (?:you|this|that)[^.!?]{0,12}understand|\bthank(?:s| you)\b|\b(?:anything|something) else\b|\bqualified (?:professional|adviser|advisor|expert)|\btry (?:rephrasing|again|asking)|\brephras|\blet me know\b|\bfeel free\b|\bfor your understanding"
     r"|\b(?:leider|tut mir leid|bedaure|entschuldig\w+|bitte wenden|wenden sie sich|fachperson|fachmann|anwalt|verständnis)\b|\b(?:désolée?|malheureusement|regrette|veuillez|consultez|adressez-vous|contactez|professionnel)\b|\b(?:lo siento|lamento|lamentablemente|disculpe|consulte|diríjase|póngase en contacto|profesional)\b|\b(?:desculpe|infelizmente|lamento|consulte|dirija-se|contacte|profissional)\b"
     r"|к сожалению|извините|простите|сожалею|обратитесь|проконсультируйтесь|специалист|抱歉|对不起|遗憾|请咨询|请联系|专业人士|申し訳|すみません|残念|恐れ入り|ご相談ください|お問い合わせ|専門家|क्षमा|खेद|माफ़|कृपया किसी|विशेषज्ञ से|ขออภัย|ขอโทษ|เสียใจ|โปรดปรึกษา|กรุณาติดต่อ|ผู้เชี่ยวชาญ"
 )
-_LATIN = ("en", "de", "fr", "es", "pt")
-_REFUSE_LATIN = regex.compile("|".join(f"(?:{_STRONG[k]})" for k in _LATIN), regex.I)
-_REFUSE_OTHER = regex.compile("|".join(f"(?:{x})" for k, x in _STRONG.items() if k not in _LATIN), regex.I)
-# Words of which at least one stands in every refusal that the patterns for Latin script describe.
-_HINT = re.compile(
-    r"\b(?:i|we|me|us|my|our|this|assistant|assistent|assistente|asistente|model|system|service|comment|opinion|appropriate|ai|ki|ia|language|by|here|ich|wir|mir|sprachmodell|je|m|nous|no|não|nothing|from|you|tenho|debo|prefiero|prefiro|modelo)\b|lehne ich", re.I
-)
-
-
-def declines(clause: str) -> bool:
-    """Whether a clause says that its speaker cannot or will not answer."""
-    if _HINT.search(clause) and _REFUSE_LATIN.search(clause):
-        return True
-    return not clause.isascii() and bool(_FOREIGN_SCRIPT.search(clause)) and bool(_REFUSE_OTHER.search(clause))
-
-
 _COURTESY = regex.compile(_SOFT, regex.I)
 # Heads that announce a repeated question.
 _ECHO_HEAD = regex.compile(r"^[\W_]*(?:(?:the |your |my )?(?:question|query|prompt)(?: (?:is|was|asked|reads))?|you (?:asked|wrote|want to know|are asking)|q|i was asked|(?:die |ihre )?frage(?: lautet)?|sie fragten|(?:la |votre )?question(?: est)?|vous (?:demandez|avez demandé)|(?:la |su )?pregunta(?: es)?|usted pregunt\w+|(?:a |sua )?pergunta(?: é)?|você perguntou|вопрос|вы спросили|问题|问|您问|質問|問|प्रश्न|सवाल|คำถาม)\s*[:：\-–—]", regex.I)
@@ -144,14 +110,15 @@ def clauses(text: str) -> list[str]:
     return out
 
 
-FEATURES = ("bias", "strong", "soft", "echo_full", "echo_most", "echo_some", "echo_none", "echo_head", "other_language", "same_language", "no_language", "cut", "first", "last", "short", "digits", "after_strong", "long")
-
+FEATURES = ("bias", "declines", "may_decline", "soft", "echo_full", "echo_most", "echo_some", "echo_none", "echo_head", "echo_whole", "other_language", "same_language", "no_language", "cut", "first", "last", "short", "digits", "after_refusal", "long")
+DECLINES, MAY_DECLINE = 1.0, -0.5  # log-odds of the learned word scores
 
 _AT = {name: i for i, name in enumerate(FEATURES)}
+_DIGIT = regex.compile(r"\p{N}")
 
 
-def features(cs: list[str], question: str, cut: bool) -> np.ndarray:
-    """One row of 0/1 features per clause."""
+def features(cs: list[str], question: str, value: str, words: dict[int, float]) -> np.ndarray:
+    """One row of 0/1 features per clause of the value, but for cut. words: learned scores of declining."""
     _, qset, qpairs = _question(question)
     ql, _ = language(question)
     whole = Counter()
@@ -161,18 +128,20 @@ def features(cs: list[str], question: str, cut: bool) -> np.ndarray:
             whole[k] += w
     main = whole.most_common(1)[0][0] if whole else None
     x = np.zeros((len(cs), len(FEATURES)))
-    strongs = [declines(c) for c in cs]
-    refused = any(strongs)  # courtesies mean something only beside a refusal
+    scores = [score(c, words) for c in cs]
+    refused = any(s > DECLINES for s in scores)  # courtesies mean something only beside a refusal
+    repeats = _only_question(question, value)
     seen = False
     for i, c in enumerate(cs):
-        body = _ECHO_HEAD.sub("", _TAG_HEAD.sub("", c))
+        tagless = _TAG_HEAD.sub("", c)
+        body = _ECHO_HEAD.sub("", tagless)
         u = _units(body)
         shared = sum(w in qset for w in u) / len(u) if u else 0.0
         pairs = sum(p in qpairs for p in zip(u, u[1:])) / (len(u) - 1) if len(u) > 1 else 0.0
         lang, weight = known[i] if body == c else language(body)
-        strong = strongs[i]
+        no = scores[i] > DECLINES
         f = ["bias"]
-        f += ["strong"] * strong + ["soft"] * (refused and bool(_COURTESY.search(c))) + ["echo_head"] * bool(_ECHO_HEAD.match(_TAG_HEAD.sub("", c)))
+        f += ["declines"] * no + ["may_decline"] * (MAY_DECLINE < scores[i] <= DECLINES) + ["soft"] * (refused and bool(_COURTESY.search(c))) + ["echo_head"] * (body != tagless) + ["echo_whole"] * repeats
         f.append("echo_full" if shared >= 0.85 and pairs >= 0.7 else "echo_most" if shared >= 0.65 and pairs >= 0.4 else "echo_some" if shared >= 0.4 else "echo_none")
         # a clause speaks another language only if the response as a whole does, so that quotations do not count
         if ql and lang and lang != ql and main != ql and (weight >= 2 or main == lang and weight >= 1):
@@ -181,9 +150,9 @@ def features(cs: list[str], question: str, cut: bool) -> np.ndarray:
             f.append("same_language")
         else:
             f.append("no_language")
-        f += ["cut"] * (cut and i == len(cs) - 1) + ["first"] * (i == 0) + ["last"] * (i == len(cs) - 1)
-        f += ["short"] * (len(u) <= 4) + ["long"] * (len(u) >= 12) + ["digits"] * bool(regex.search(r"\p{N}", c)) + ["after_strong"] * seen
-        seen = seen or strong
+        f += ["first"] * (i == 0) + ["last"] * (i == len(cs) - 1)
+        f += ["short"] * (len(u) <= 4) + ["long"] * (len(u) >= 12) + ["digits"] * bool(_DIGIT.search(c)) + ["after_refusal"] * seen
+        seen = seen or no
         x[i, [_AT[name] for name in f]] = 1.0
     return x
 
@@ -202,21 +171,21 @@ _REFUSALS = {
     "th": ["ขออภัย ฉันไม่สามารถช่วยได้", "ฉันไม่สามารถให้คำตอบได้"],
 }
 _QUESTIONS = {
-    "en": ["When does the library open on Sundays?", "Who pays for the broken window of the rented flat?", "Can I return a coat after 30 days?", "Why is my bill higher than last month?"],
-    "de": ["Wann öffnet die Bibliothek am Sonntag?", "Wer zahlt für das Fenster der Wohnung?"],
+    "en": ["When does the library open on Sundays?", "Who pays for the broken window of the rented flat?", "Can I return a coat after 30 days?", "Why is my bill higher than last month?", "What applies to a loan of 250 credits after 12 months?"],
+    "de": ["Wann öffnet die Bibliothek am Sonntag?", "Wer zahlt für das Fenster der Wohnung?", "Welche Regel gilt nach 18 Monaten?"],
     "fr": ["Quand la bibliothèque ouvre-t-elle le dimanche ?", "Qui paie pour la fenêtre de l’appartement ?"],
     "es": ["¿Cuándo abre la biblioteca los domingos?", "¿Quién paga la ventana del piso?"],
     "pt": ["Quando abre a biblioteca aos domingos?", "Quem paga a janela do apartamento?"],
-    "ru": ["Когда библиотека открыта в воскресенье?", "Кто платит за окно квартиры?"],
-    "zh": ["图书馆星期天几点开门？", "谁支付公寓的窗户？"],
-    "ja": ["図書館は日曜日に何時に開きますか？", "アパートの窓は誰が払いますか？"],
+    "ru": ["Когда библиотека открыта в воскресенье?", "Кто платит за окно квартиры?", "Что делать через 18 месяцев?"],
+    "zh": ["图书馆星期天几点开门？", "谁支付公寓的窗户？", "18个月后退租要付什么费用？"],
+    "ja": ["図書館は日曜日に何時に開きますか？", "アパートの窓は誰が払いますか？", "18か月後の返金にはどの規則がありますか？"],
     "hi": ["पुस्तकालय रविवार को कब खुलता है?", "फ्लैट की खिड़की का भुगतान कौन करेगा?"],
     "th": ["ห้องสมุดเปิดกี่โมงในวันอาทิตย์", "ใครจ่ายค่าหน้าต่างของห้องเช่า"],
 }
 _TRAPS = ["Sorry to hear that.", "Unfortunately the shop is closed on Sundays.", "I cannot see your file, but the rule is simple.", "The bank cannot refuse this.", "Thank you for asking.", "Please contact the desk by 5 p.m.", "No advice is needed here.", "The tenant is unable to leave before May.", "I am not aware of any limit, so the answer is yes."]
 
 
-def _training() -> list[tuple[np.ndarray, list[int]]]:
+def _training(words: dict[int, float]) -> list[tuple[np.ndarray, list[int]]]:
     """Labelled responses: sound ones, also short ones, ones that repeat the question first and ones with trap phrases; refusals; copies;
     foreign and unfinished ones."""
     rng, data = random.Random(11), []
@@ -231,11 +200,14 @@ def _training() -> list[tuple[np.ndarray, list[int]]]:
             cs += got
             ys += [tag[t]] * len(got)
         if cs:
+            x = features(cs, q, " ".join(text for text, _ in parts), words)
             if cut:
-                ys[-1] = tag["unfinished"]
-            data.append((features(cs, q, cut), ys))
+                ys[-1], x[-1, _AT["cut"]] = tag["unfinished"], 1.0
+            data.append((x, ys))
 
-    for _ in range(700):
+    composed = [x for x, y in labelled([]) if y]
+    by_language = {k: [x for x in composed if (language(x)[0] or "en") == k] for k in langs}
+    for _ in range(900):
         k = rng.choice(langs) if rng.random() < 0.6 else "en"
         q = rng.choice(_QUESTIONS[k])
         some = [(x, "answer") for x in rng.sample(body[k], rng.randint(1, 4))]
@@ -247,7 +219,7 @@ def _training() -> list[tuple[np.ndarray, list[int]]]:
         elif kind < 0.47:
             add([(rng.choice(_TRAPS), "answer"), *some] if rng.random() < 0.7 else [*some, (rng.choice(_TRAPS), "answer")], q if k == "en" else rng.choice(_QUESTIONS["en"]))if k == "en" else add(some, q)
         elif kind < 0.65:
-            add([(rng.choice(_REFUSALS[k]), "refusal")], q)
+            add([(rng.choice(_REFUSALS[k] if rng.random() < 0.5 or not by_language[k] else by_language[k]), "refusal")], q)
         elif kind < 0.77:
             dress = rng.choice([q, q.upper(), q.lower(), "“" + q + "”", "Question: " + q, q.rstrip("?？") + ".", "You asked: " + q])
             add([(dress, "echo")], q)
@@ -261,9 +233,11 @@ def _training() -> list[tuple[np.ndarray, list[int]]]:
 
 
 @functools.lru_cache(1)
-def trained() -> tuple[np.ndarray, np.ndarray]:
-    """(emission weights, transition weights) of the field, by Adagrad on the log-likelihood; the same on every machine."""
-    data = _training()
+def trained() -> tuple[np.ndarray, np.ndarray, dict[int, float]]:
+    """(emission weights, transition weights, word scores of declining) of the field, the former by Adagrad on the log-likelihood; the
+    same on every machine."""
+    words = learn([x for v in SEED.values() for x in v.split("\n") if x] + _TRAPS)
+    data = _training(words)
     n, d = len(TAGS), len(FEATURES)
     w, t = np.zeros((d, n)), np.zeros((n, n))
     gw, gt = np.full((d, n), 1e-2), np.full((n, n), 1e-2)
@@ -281,7 +255,7 @@ def trained() -> tuple[np.ndarray, np.ndarray]:
             gt += dt * dt
             w += 0.3 * dw / np.sqrt(gw)
             t += 0.3 * dt / np.sqrt(gt)
-    return w, t
+    return w, t, words
 
 
 def _logsumexp(a: np.ndarray, axis: int) -> np.ndarray:
@@ -317,25 +291,41 @@ def best_tags(e: np.ndarray, t: np.ndarray) -> list[int]:
     return out[::-1]
 
 
-def judge(question: str, value: str, cut: bool, w: np.ndarray, t: np.ndarray) -> tuple[str | None, list[float]]:
-    """(defect, coverage of each tag by characters) of a pair whose value is not empty."""
-    cs = clauses(_TAG_HEAD.sub("", value, count=1))
+def read_pair(question: str, value: str, w: np.ndarray, t: np.ndarray, words: dict[int, float]) -> list[tuple[str | None, list[float]]]:
+    """(defect, coverage of each tag by characters) of a pair whose value is not empty: if it is whole, and if it was broken off."""
+    body = _TAG_HEAD.sub("", value, count=1)
+    cs = clauses(body)
     if not cs:
-        return ("truncated" if cut else None), [0.0] * len(TAGS)
-    tags = best_tags(features(cs, question, cut) @ w, t)
-    cover = [0.0] * len(TAGS)
+        return [(None, [0.0] * len(TAGS)), ("truncated", [0.0] * len(TAGS))]
+    e = features(cs, question, body, words) @ w
     total = sum(map(len, cs))
-    for c, y in zip(cs, tags):
-        cover[y] += len(c) / total
-    answer, refusal, echo, foreign, unfinished = cover
-    said, asked = len(_units(value)), len(_question(question)[0])
-    if echo and not refusal and answer + foreign + unfinished < 0.05 and said >= 0.5 * asked or _only_question(question, value):
-        return "copy", cover
-    if refusal and answer + foreign < 0.05 and refusal >= unfinished:
-        return "refusal", cover
-    if foreign >= 0.6 and foreign > answer + refusal:
-        return "wrong_language", cover
-    return ("truncated" if cut else None), cover
+    said, asked = len(_units(body)), len(_question(question)[0])
+    out, before = [], None
+    for cut in (False, True):
+        if cut:
+            e[-1] += w[_AT["cut"]]
+        tags = best_tags(e, t)
+        if tags == before:
+            out.append(out[-1])
+            continue
+        before = tags
+        cover = [0.0] * len(TAGS)
+        for c, y in zip(cs, tags):
+            cover[y] += len(c) / total
+        answer, refusal, echo, foreign, unfinished = cover
+        if echo and not refusal and answer + foreign + unfinished < 0.05 and said >= 0.5 * asked:
+            out.append(("copy", cover))
+        elif refusal and answer + foreign < 0.05 and refusal >= unfinished:
+            out.append(("refusal", cover))
+        elif foreign >= 0.6 and foreign > answer + refusal:
+            out.append(("wrong_language", cover))
+        else:
+            out.append(("truncated" if unfinished else None, cover))
+    return out
+
+
+def judge(question: str, value: str, cut: bool, w: np.ndarray, t: np.ndarray, words: dict[int, float]) -> tuple[str | None, list[float]]:
+    return read_pair(question, value, w, t, words)[cut]
 
 
 def _only_question(question: str, value: str) -> bool:
@@ -359,21 +349,27 @@ def defects(pairs: DataFrame, cut: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, defect, and the coverage of each tag) of all pairs with a question; defect is null for sound pairs.
 
     pairs: keys, question, value; cut: keys, truncated. Pairs without a question are sound and left out. Empty values are found
-    by the JVM; all others are read whole, each on its own."""
+    by the JVM; all others are read whole, each on its own, where they were scanned: the field decides for either state of cut, and
+    only the short verdicts are shuffled to meet it."""
     real = pairs.filter(usable_question(F.col("question")))
-    flagged = real.withColumn("empty", is_empty(F.col("value"))).join(cut.select(*keys, F.col("truncated").alias("_cut")), keys, "left")
-    src = flagged.select(*keys, "empty", F.coalesce("_cut", F.lit(False)).alias("_cut"), "question", F.col("value").alias("_v"))
+    src = spread(real.select(*keys, is_empty(F.col("value")).alias("_empty"), "question", F.col("value").alias("_v")))
     head = spec(src, keys)
-    w, t = trained()
+    model = trained()
     k = len(keys)
 
     def run(batches):
         for b in batches:
-            out, cov = [], []
-            for e, c, q, v in zip(*[b.column(k + i).to_pylist() for i in range(4)]):
-                d, x = ("empty", [0.0] * len(TAGS)) if e else judge(q, v, c, w, t)
-                out.append(d)
-                cov.append(x)
-            yield pa.RecordBatch.from_arrays([*b.columns[:k], pa.array(out, pa.string()), *[pa.array([x[i] for x in cov], pa.float64()) for i in range(len(TAGS))]], [*keys, "defect", *TAGS])
-
-    return src.mapInArrow(run, f"{head}, defect string, " + ", ".join(f"{x} double" for x in TAGS))
+            read = [[("empty", _NONE)] * 2 if e else read_pair(q, v, *model) for e, q, v in zip(*[b.column(k + i).to_pylist() for i in range(3)])]
+            cols = [[x[c][0] for x in read] for c in (0, 1)]
+            cover = [[[x[c][1][i] for x in read] for i in range(len(TAGS))] for c in (0, 1)]
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns[:k], *[pa.array(c, pa.string()) for c in cols], *[pa.array(x, pa.float32()) for c in cover for x in c]], [*keys, "_d0", "_d1", *[f"_{x}{c}" for c in (0, 1) for x in TAGS]]
+            )
+
+    both = src.mapInArrow(run, f"{head}, _d0 string, _d1 string, " + ", ".join(f"_{x}{c} float" for c in (0, 1) for x in TAGS))
+    j = both.join(cut.filter("truncated").select(*keys, F.lit(True).alias("_cut")), keys, "left")
+    pick = lambda name: F.when(F.col("_cut"), F.col(f"_{name}1")).otherwise(F.col(f"_{name}0"))
+    return j.select(*keys, pick("d").alias("defect"), *[pick(x).cast("double").alias(x) for x in TAGS])
+
+
+_NONE = [0.0] * len(TAGS)

@@ -36,7 +36,8 @@ _KIND = {w: k for k in ("end", "mid", "cite", "title") for w in ABBREVIATIONS[k]
 _NEWLINES = regex.compile(r"[\n\r\x0b\x0c\x85  ]")
 
 _TOKEN = regex.compile(
-    r"""(?P<url>(?:https?://|www\.)\S*[^\s.,;:!?)\]"'”’»]|[\w-]+(?:\.[\w-]+)+/[^\s,;]*[^\s.,;:!?)\]"'”’»]|[\w.+-]+@[\w-]+(?:\.[\w-]+)+)
+    r"""(?P<run>(?:\p{Ll}+[ ])+(?=\p{Ll}))
+    |(?P<url>(?:https?://|www\.)\S*[^\s.,;:!?)\]"'”’»]|[\w-]+(?:\.[\w-]+)+/[^\s,;]*[^\s.,;:!?)\]"'”’»]|[\w.+-]+@[\w-]+(?:\.[\w-]+)+)
     |(?P<num>\p{N}+(?:[.,:/-]\p{N}+)*)
     |(?P<cjk>[\p{Han}\p{Hiragana}\p{Katakana}ー々]+)
     |(?P<thai>[\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]+)
@@ -113,6 +114,10 @@ def candidates(text: str) -> list[dict]:
     last_sym = ""
     while i < n:
         kind, s, a, b = toks[i]
+        if kind == "run":  # small words with single blanks behind them: no event can stand among them
+            words += s.count(" ")
+            i += 1
+            continue
         if kind in ("word", "num", "url", "cjk", "thai"):
             words += 1 if kind not in ("cjk", "thai") else max(1, len(s) // 2)
             i += 1

@@ -103,9 +103,7 @@ def ending(text: str) -> str:
     t = text.rstrip()
     if not t:
         return "closed"
-    if _BROKEN_END.search(t[-200:]):
-        return "broken"
-    if open_at_end(t):
+    if _BROKEN_END.search(t) or open_at_end(t):
         return "broken"
     if _CLOSING_MARKUP.search(t):
         return "closed"
@@ -180,17 +178,52 @@ def _key(units: list[str]) -> int:
     return xxhash.xxh64_intdigest("\x00".join(units).encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
+def _last_units(text: str, most: int) -> list[str]:
+    """The last units of a text, so many at most: from its end, as far back as they reach."""
+    back = 64
+    while True:
+        part = text[-back:]
+        u = [x for x, _ in _stream(part)]
+        if len(part) == len(text):
+            return u[-most:]
+        if len(u) > most:  # the first one of a part may lack its head
+            return u[-most:]
+        back *= 4
+
+
 def tails(text: str) -> list[int]:
     """Keys of the last 1, 2 and 3 words of a text (of that many steps of characters in scripts without spaces); fewer for short texts."""
-    u = [x for x, _ in _stream(text[-400:] if len(text) > 400 else text)]
+    u = _last_units(text, ORDERS[-1])
     if not u:
         return []
     step = _step(u[-1])
+    if step > 1:
+        u = _last_units(text, ORDERS[-1] * step)
     return [_key([str(o), *u[-o * step :]]) for o in ORDERS if len(u) >= o * step]
 
 
+_NUMBERED = regex.compile(r"\p{N}")
+_LABELLED = regex.compile(r"\W*\p{Lu}[\w ]{0,30}:\s*\S+\s*")
+_SALUTED = re.compile(r"[^.!?]{1,40}")
+
+
+def coded(text: str) -> bool:
+    """Whether the last unit holds a number, the last line is a label with one word, or a short line under a colon or comma."""
+    words, lines = text.rsplit(None, 1), text.split("\n")
+    if words and _NUMBERED.search(words[-1]) or _LABELLED.fullmatch(lines[-1]):
+        return True
+    return len(lines) > 1 and lines[-2][-1:] in (",", ":") and bool(_SALUTED.fullmatch(lines[-1]))
+
+
+def unmarked(text: str) -> bool:
+    """Whether the last letter is of a script without terminators."""
+    c = next((c for c in reversed(text) if c.isalpha()), " ")
+    return "\u0e00" <= c <= "\u0eff" or "\u1000" <= c <= "\u109f" or "\u1780" <= c <= "\u17ff"
+
+
 def look(values: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
-    """(keys, ending, tail, length, coded, few, unmarked) for every value. coded: the last unit holds a number; few: no more than two words; unmarked: it ends in a script without terminators."""
+    """(keys, ending, tail, length, coded, few, unmarked) for every value; what follows length is looked for only where the ending is bare
+    or an item. coded: see coded(); few: no more than two words; unmarked: it ends in a script without terminators."""
     src = spread(values.select(*keys, F.col(value).alias("_v")))
     head = spec(src, keys)
 
@@ -200,21 +233,41 @@ def look(values: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
             for v in b.column(len(keys)):
                 s = v.as_py() or ""
                 kind = ending(s)
+                open_end = kind in ("bare", "item")
+                tail = tails(s) if open_end else []
                 e.append(kind)
-                t.append(tails(s) if kind in ("bare", "item") else [])
+                t.append(tail)
                 n.append(len(s))
-                um.append(bool(regex.search(r"[\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]\P{L}*$", s[-20:])))
-                few.append(len(s) < 40 and len(tails(s)) < 3)
-                c.append(bool(regex.search(r"[\p{N}][^\s]*\s*$|^\W*\p{Lu}[\w ]{0,30}:\s*\S+\s*\Z", s[-60:])) or bool(regex.search(r"[,:]\n[^\n.!?]{1,40}\Z", s)))
+                um.append(open_end and unmarked(s))
+                few.append(open_end and len(s) < 40 and len(tail) < 3)
+                c.append(open_end and coded(s))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], pa.array(e, pa.string()), pa.array(t, pa.list_(pa.int64())), pa.array(n, pa.int32()), pa.array(c, pa.bool_()), pa.array(few, pa.bool_()), pa.array(um, pa.bool_())], [*keys, "ending", "tail", "length", "coded", "few", "unmarked"])
 
     return src.mapInArrow(run, f"{head}, ending string, tail array<bigint>, length int, coded boolean, few boolean, unmarked boolean")
 
 
-def continuations(values: DataFrame, value: str = "value", flush: int = 400_000) -> DataFrame:
+FILTER_BITS, BITMAP_BITS = 1 << 23, 1 << 15  # one bit a key: 1 MB whatever the data; bitmaps of 4 KB are what the aggregate builds
+
+
+def key_filter(wanted: DataFrame, key: str = "key") -> bytes:
+    """A one-probe Bloom filter of the keys as FILTER_BITS / 8 bytes. Bits are set by partial aggregates, so the driver gets at most 256
+    bitmaps of 4 KB. A key without its bit is surely not wanted; the more keys, the fewer others it tells apart."""
+    h = F.pmod(F.col(key), F.lit(FILTER_BITS))
+    parts = wanted.select(F.floor(h / BITMAP_BITS).cast("int").alias("at"), (h % BITMAP_BITS).alias("bit")).groupBy("at").agg(F.expr("bitmap_construct_agg(bit)").alias("bits")).collect()
+    out = bytearray(FILTER_BITS // 8)
+    for r in parts:
+        out[r["at"] * BITMAP_BITS // 8 : (r["at"] + 1) * BITMAP_BITS // 8] = r["bits"]
+    return bytes(out)
+
+
+def continuations(values: DataFrame, value: str = "value", flush: int = 400_000, only: bytes | None = None) -> DataFrame:
     """(key, seen, ended, at_text_end): how often each run of 1, 2 or 3 words of the corpus occurs, is followed by the end of a sentence or
-    line, or ends a text without a mark. Counted over all values, summed per partition before the shuffle."""
+    line, or ends a text without a mark. Counted over all values, summed per partition before the shuffle.
+
+    only: a filter as key_filter() makes it; runs that are not in it are left out. A longer run can be in it only if the shorter
+    runs at its end are, so most words of the corpus cost one look-up."""
     src = spread(values.select(value))
+    sent = src.sparkSession.sparkContext.broadcast(only) if only is not None else None
 
     def out(c: dict):
         k = pa.array(c.keys(), pa.int64())
@@ -222,8 +275,9 @@ def continuations(values: DataFrame, value: str = "value", flush: int = 400_000)
         return pa.RecordBatch.from_arrays([k, *[pa.array(x, pa.int64()) for x in cols]], ["key", "seen", "ended", "at_text_end"])
 
     def run(batches):
+        bits = sent.value if sent is not None else None
         c: dict[int, list[int]] = {}
-        ids: dict[tuple, int] = {}
+        ids: dict[tuple, list[int] | None] = {}  # run -> its counts; None for runs that are not wanted
         for b in batches:
             for v in b.column(0):
                 s = v.as_py()
@@ -238,18 +292,20 @@ def continuations(values: DataFrame, value: str = "value", flush: int = 400_000)
                         if i + 1 < w:
                             break
                         gram = (o, *u[i + 1 - w : i + 1])
-                        k = ids.get(gram)
-                        if k is None:
-                            k = ids[gram] = _key([str(o), *gram[1:]])
-                        e = c.get(k)
+                        e = ids.get(gram, 0)
+                        if e == 0:
+                            k = _key([str(o), *gram[1:]])
+                            h = k % FILTER_BITS
+                            e = c.setdefault(k, [0, 0, 0]) if bits is None or bits[h >> 3] >> (h & 7) & 1 else None
+                            ids[gram] = e
                         if e is None:
-                            e = c[k] = [0, 0, 0]
+                            break
                         e[0] += 1
                         if nxt == "end":
                             e[1] += 1
                         elif nxt == "text":
                             e[2] += 1
-                if len(c) > flush:
+                if len(ids) > flush:
                     yield out(c)
                     c, ids = {}, {}
         yield out(c)
@@ -267,8 +323,8 @@ def broken_off(values: DataFrame, keys: list[str], source: list[str], limits: Da
     corpus = values.select(value)
     if more is not None:
         corpus = corpus.unionByName(more.select(F.concat(F.col("value"), F.lit("\n.")).alias(value)))
-    counts = continuations(corpus, value)
     wanted = seen.filter("ending in ('bare', 'item')").select(*keys, F.posexplode("tail").alias("o", "key"))
+    counts = continuations(corpus, value, only=key_filter(wanted))
     stats = counts.join(wanted.select("key").distinct(), "key", "left_semi")
     # the value's own end is not evidence for itself
     got = wanted.join(stats, "key").select(*keys, "o", (F.col("seen") - 1).alias("n"), (F.col("ended") + F.when(F.col("seen") - F.col("at_text_end") > 0, F.least(F.col("at_text_end") - 1, (F.col("seen") - F.col("at_text_end")) * 2) * 0.5).otherwise(0.0)).alias("e"), (F.col("seen") - F.col("at_text_end")).alias("elsewhere"))

@@ -15,6 +15,11 @@ def test_empty_predicate(spark):
     yes = [None, "", " \n", "\u200b\u200b", "NaN", "n/a", "[EMPTY]", "-", "...", "**Answer**:", "ANSWER:", "## Answer", "ERROR: out of memory", "ERROR processing query: timeout after 120 s", "DEGENERATE_OUTPUT: repeated token 'the' ×9", "答案："]
     no = ["No.", "Yes.", "Errors were found in the file.", "Answer: yes", "Nana called.", "0", "Error rates fell in May.", "A: yes"]
     df = spark.createDataFrame([(i, x) for i, x in enumerate(yes + no)], "i int, x string")
+    # a size of the value changes no verdict
+    for n in (300, 5000):
+        yes += ["-" * n, "Answer: " + "-" * n, " " * n + "nan", "ERROR: " + "x y " * n, " \u200b" * n]
+        no += ["a" * n, "- " * n + "the rule holds for a year", "Answer: " + "yes " * n]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(yes + no)], "i int, x string")
     got = [r[0] for r in df.orderBy("i").select(is_empty(F.col("x"))).collect()]
     assert got == [True] * len(yes) + [False] * len(no)
 
@@ -164,6 +169,23 @@ def test_defects_table(spark):
     assert got == {1: "empty", 2: "empty", 3: "refusal"}
 
 
+def test_cut_pairs_keep_one_row(spark):
+    v = values_table(spark, ["The warranty ends after two ye", "I cannot help with this request.", "It ends in May after two full years."]).withColumn("question", F.lit("When does it end?"))
+    cut = v.filter("resp_id < 2").select("resp_id", "field", F.lit(True).alias("truncated"))
+    got = {r["resp_id"]: r["defect"] for r in pairs.defects(v, cut, ["resp_id", "field"]).collect()}
+    assert got == {0: "truncated", 1: "refusal", 2: None}
+
+
+def test_continuations_leave_out_only_what_is_not_wanted(spark):
+    texts = ["The bank may keep the fee. The bank must pay", "银行应将客户文件保存很多年。银行应当付款", "the fee the bank", None, ""] * 3
+    df = spark.createDataFrame([(t,) for t in texts], "value string")
+    wanted = spark.createDataFrame([(k,) for t in ("The bank must pay", "应当付款", "the bank") for k in truncation.tails(t)], "key long")
+    whole = {r["key"]: tuple(r)[1:] for r in truncation.continuations(df).collect()}
+    some = {r["key"]: tuple(r)[1:] for r in truncation.continuations(df, only=truncation.key_filter(wanted)).collect()}
+    keys = {r["key"] for r in wanted.collect()}
+    assert keys <= set(some) and len(some) < len(whole) and all(whole[k] == x for k, x in some.items())
+
+
 def test_repaired_table(spark):
     df = spark.createDataFrame([(1, "caf\u00c3\u00a9 open"), (2, None), (3, ""), (4, "café"), (1, "caf\u00c3\u00a9 open")], "doc_id long, text string").withColumn("restored", F.lit("clash"))
     got = encoding.repaired(df).collect()

@@ -224,8 +224,8 @@ def test_clean_text_stays(text):
 
 
 def test_pairs():
-    w, t = pairs.trained()
-    j = lambda q, v, cut=False: pairs.judge(q, v, cut, w, t)[0]
+    model = pairs.trained()
+    j = lambda q, v, cut=False: pairs.judge(q, v, cut, *model)[0]
     q = "When does the warranty for the kettle end?"
     assert j(q, "I'm sorry, but I can't help with that. Please ask a lawyer.") == "refusal"
     assert j(q, "Sorry to hear that. The warranty ends after two years.") is None
@@ -238,6 +238,26 @@ def test_pairs():
     assert j("Wann endet die Garantie?", "Das darf ich Ihnen leider nicht sagen. Bitte wenden Sie sich an einen Anwalt.") in ("refusal", None)
 
 
+@pytest.mark.parametrize(
+    "text",
+    ["I do not know anything about that topic at all.", "My programming keeps me away from such topics.", "This matter is beyond my competence.", "Je ne suis pas en mesure de vous répondre.", "К сожалению, я не вправе обсуждать это.", "我无权评论此事。", "ขออภัย ฉันไม่อาจให้คำแนะนำ"],
+)
+def test_refusals_not_in_the_training(text):
+    q = {"J": "Quand le bail prend-il fin ?", "К": "Когда заканчивается договор?", "我": "合同什么时候结束？", "ข": "สัญญาสิ้นสุดเมื่อใด"}.get(text[0], "When does the lease end?")
+    assert pairs.judge(q, text, False, *pairs.trained())[0] == "refusal"
+
+
+@pytest.mark.parametrize("text", ["The bank cannot refuse this claim.", "I cannot find a clause against it, so the lease ends in May.", "Nobody may comment on the file before June.", "The court has no authority to change the fee."])
+def test_sound_answers_with_words_of_refusal(text):
+    assert pairs.judge("When does the lease end?", text, False, *pairs.trained())[0] is None
+
+
+@pytest.mark.parametrize("n", [50, 250, 5000])
+def test_cut_markup_of_any_length(n):
+    assert truncation.ending('See <a href="' + "x" * n) == "broken" and truncation.ending("so {{Box|" + "y " * n) == "broken"
+    assert len(truncation.tails("The end of it is n" + "o" * n)) == 3
+
+
 def test_language_of_long_clauses():
     for code, word in (("ru", "договор аренды "), ("th", "สัญญาเช่าบ้าน"), ("hi", "किराया समय पर ")):
         assert pairs.language(word * 100)[0] == code
