@@ -30,24 +30,13 @@ def normal_tail_sql(z: str) -> str:
     return f"(exp(-({z}) * ({z}) / 2.0) / {math.sqrt(2 * math.pi)} * {poly})"
 
 
-def chi2_tail(x: Column, df: Column, most: int = 24) -> Column:
-    """P(X > x) for whole degrees of freedom up to most, by the finite series."""
-    half, out = x / 2.0, F.lit(None).cast("double")
-    root = F.sqrt(x)
-    even = term = F.exp(-half)
-    odd = 2.0 * normal_tail(root)
-    oterm = 2.0 * F.exp(-half) / math.sqrt(2 * math.pi) * root
-    out = F.when(df == 1, odd).when(df == 2, even)
-    for k in range(3, most + 1):
-        if k % 2 == 0:
-            term = term * half / (k // 2 - 1)
-            even = even + term
-            out = out.when(df == k, even)
-        else:
-            odd = odd + oterm
-            oterm = oterm * x / k
-            out = out.when(df == k, odd)
-    return out
+def chi2_tail(x: Column, df: Column) -> Column:
+    """P(X > x) for whole degrees of freedom, by the finite series; its terms are folded over a sequence, so the expression stays small."""
+    half, root, m = x / 2.0, F.sqrt(x), F.floor(df / 2)
+    steps = F.filter(F.sequence(F.lit(1).cast("bigint"), F.greatest(m, F.lit(1))), lambda i: i <= F.when(df % 2 == 0, m - 1).otherwise(m))
+    even = F.aggregate(steps, F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s")), lambda a, i: F.struct((a["t"] * half / i).alias("t"), (a["s"] + a["t"] * half / i).alias("s")), lambda a: a["s"])
+    odd = F.aggregate(steps, F.struct(root.alias("t"), F.lit(0.0).alias("s")), lambda a, i: F.struct((a["t"] * x / (2 * i + 1)).alias("t"), (a["s"] + a["t"]).alias("s")), lambda a: a["s"])
+    return F.when(df % 2 == 0, F.exp(-half) * even).otherwise(2.0 * normal_tail(root) + 2.0 * F.exp(-half) / math.sqrt(2 * math.pi) * odd)
 
 
 def cohens_d(n1: Column, m1: Column, v1: Column, n2: Column, m2: Column, v2: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -54,6 +54,65 @@ def exists(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.join(right, _shared(left, right), "left_semi")
 
 
+def minus(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Solutions of left that no solution of right agrees with; without a shared variable nothing is taken away."""
+    shared = _shared(left, right)
+    return left.join(right.select(*shared).distinct(), shared, "left_anti") if shared else left
+
+
+def subquery(solutions: DataFrame, inner: DataFrame) -> DataFrame:
+    """Solutions joined with those of a query of their own, on the variables that both have; there must be one."""
+    shared = _shared(solutions, inner)
+    if not shared:
+        raise ValueError("the subquery shares no variable")
+    return solutions.join(inner, shared)
+
+
+def string(term) -> Column:
+    """STR(): the lexical form of a literal, or the address of a resource without its angle brackets."""
+    quoted = F.regexp_extract(term, r'(?s)^"(.*)"(?:@[A-Za-z-]+|\^\^\S+)?$', 1)
+    return F.when(term.rlike(r'(?s)^".*"(?:@[A-Za-z-]+|\^\^\S+)?$'), F.replace(quoted, F.lit('\\"'), F.lit('"'))).otherwise(F.regexp_replace(term, "^<|>$", ""))
+
+
+def literal(value, lang: str | None = None, datatype: str | None = None) -> Column:
+    """A literal as a term, quotes escaped, with its language or datatype."""
+    return F.concat(F.lit('"'), F.replace(value, F.lit('"'), F.lit('\\"')), F.lit('"' + (f"@{lang}" if lang else f"^^{datatype}" if datatype else "")))
+
+
+def lang(term) -> Column:
+    """LANG(): the language of a literal, empty without one."""
+    return F.regexp_extract(term, r'(?s)^".*"@([A-Za-z-]+)$', 1)
+
+
+def datatype(term) -> Column:
+    """DATATYPE(): the datatype of a literal, xsd:string without one; null for resources."""
+    kind = F.regexp_extract(term, r'(?s)^".*"\^\^(\S+)$', 1)
+    return F.when(term.rlike('(?s)^".*"'), F.when(kind != "", kind).otherwise("xsd:string"))
+
+
+def blank(*parts) -> Column:
+    """A blank node of its own for every value of the parts."""
+    return F.concat(F.lit("_:b"), F.hex(F.xxhash64(*parts)))
+
+
+def expanded(term, prefixes: dict[str, str]) -> Column:
+    """A prefixed name as its full address in angle brackets; other terms stay."""
+    out = term
+    for k, base in prefixes.items():
+        out = F.when(F.startswith(term, F.lit(k + ":")), F.concat(F.lit("<" + base), F.substring(term, len(k) + 2, 1 << 20), F.lit(">"))).otherwise(out)
+    return out
+
+
+def starts(solutions: DataFrame, variable: str, text: str) -> DataFrame:
+    """FILTER(STRSTARTS(STR(?variable), text))"""
+    return solutions.filter(F.startswith(string(F.col(variable)), F.lit(text)))
+
+
+def matches(solutions: DataFrame, variable: str, pattern: str, ignore_case: bool = False) -> DataFrame:
+    """FILTER(REGEX(STR(?variable), pattern))"""
+    return solutions.filter(string(F.col(variable)).rlike(("(?i)" if ignore_case else "") + pattern))
+
+
 def ask(solutions: DataFrame) -> DataFrame:
     """One row: whether there is a solution. Reads no more than one."""
     return solutions.limit(1).agg((F.count("*") > 0).alias("answer"))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..session import durable
+from .stats import null_safe
 
 
 def tfidf(df: DataFrame, group: str, tokens: Column, most: int | None = 5000, min_df: int = 1) -> DataFrame:
@@ -68,70 +70,84 @@ def self_bleu(df: DataFrame, id_col: str, group: str, tokens: Column) -> DataFra
     return j.groupBy("g").agg(F.count("*").alias("n"), F.round(F.avg(score), 4).alias("self_bleu")).withColumnRenamed("g", group)
 
 
-def mtld(tokens: list[str], threshold: float = 0.72) -> float:
-    """Measure of textual lexical diversity, both directions; NaN below ten tokens."""
-    if len(tokens) < 10:
-        return float("nan")
-
-    def one(seq) -> float:
-        factors, seen, n = 0.0, set(), 0
-        for w in seq:
-            seen.add(w)
-            n += 1
-            if len(seen) / n <= threshold:
-                factors, seen, n = factors + 1, set(), 0
-        if n:
-            r = len(seen) / n
-            factors += (1 - r) / (1 - threshold) if r < 1 else 0
-        return len(tokens) / factors if factors else float(len(tokens))
-
-    return round((one(tokens) + one(reversed(tokens))) / 2, 3)
+def numbered_tokens(t: DataFrame, parts: int | None = None) -> DataFrame:
+    """(g, pos, w): the tokens of each group's texts read one after the other in id order, with their place from 0. t: g, id, t.
+
+    Texts are sorted over ranges of (g, id); places are prefix sums over ranges and inside them, so no task reads a whole group."""
+    spark = t.sparkSession
+    parts = parts or max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    src = durable(t.filter(F.size("t") > 0).repartitionByRange(parts, "g", "id").withColumn("_p", F.spark_partition_id()))
+    size = F.size("t").cast("bigint")
+    base = src.groupBy("g", "_p").agg(F.sum(size).alias("_c"))
+    base = base.withColumn("_off", F.coalesce(F.sum("_c").over(Window.partitionBy("g").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
+    inside = F.coalesce(F.sum(size).over(Window.partitionBy("g", "_p").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    j = null_safe(src.withColumn("_in", inside), base, ["g", "_p"])
+    return j.select("g", (F.col("_off") + F.col("_in")).alias("_at"), F.posexplode("t").alias("_i", "w")).select("g", (F.col("_at") + F.col("_i")).alias("pos"), "w")
+
+
+def corpus_mattr(tokens: DataFrame, window: int = 50, chunk: int = 20_000) -> DataFrame:
+    """(g, mattr): moving-average type-token ratio over numbered tokens; the plain ratio for groups shorter than the window.
+
+    Tokens go to chunks of their place; the first window - 1 tokens of a chunk also go to the chunk before it, so that every window
+    lies in one chunk. A task holds a chunk, never a group."""
+    k = F.floor(F.col("pos") / chunk)
+    tail = (F.col("pos") % chunk < window - 1) & (k > 0)
+    placed = tokens.withColumn("_k", F.explode(F.when(tail, F.array(k, k - 1)).otherwise(F.array(k))))
+
+    def one(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        w = f.sort_values("pos")["w"].tolist()
+        own = int((f["pos"] // chunk == key[1]).sum())
+        count: dict = {}
+        total = wins = 0
+        for i, x in enumerate(w):
+            count[x] = count.get(x, 0) + 1
+            if i >= window:
+                y = w[i - window]
+                count[y] -= 1
+                if not count[y]:
+                    del count[y]
+            if i >= window - 1:
+                total, wins = total + len(count), wins + 1
+        return pd.DataFrame([[key[0], own, total, wins, len(set(w))]], columns=["g", "own", "total", "wins", "types"])
+
+    kind = tokens.schema["g"].dataType.simpleString()
+    parts = placed.groupBy("g", "_k").applyInPandas(one, f"g {kind}, own bigint, total bigint, wins bigint, types bigint")
+    s = parts.groupBy("g").agg(F.sum("own").alias("n"), F.sum("total").alias("total"), F.sum("wins").alias("wins"), F.max("types").alias("types"))
+    return s.select("g", F.when(F.col("n") < window, F.col("types") / F.col("n")).otherwise(F.col("total") / F.col("wins") / window).alias("mattr"))
 
 
 def lexical_diversity(df: DataFrame, id_col: str, group: str, tokens: Column, window: int = 50) -> DataFrame:
     """(group, n, corpus_ttr, corpus_mattr, corpus_mtld): diversity of a group's texts read one after the other in id order.
 
-    MATTR and MTLD are sequential; a group's tokens are streamed through one task in id order with bounded state (a window, and the
-    types of the open factor), never held at once. The reverse direction reads the group in descending order."""
+    MATTR is counted over chunks of the tokens. MTLD is sequential by definition: where a factor begins depends on all tokens before it,
+    so a group's tokens are streamed through one task per direction in id order, with the types of the open factor as the only state."""
     t = df.select(F.col(group).alias("g"), F.col(id_col).alias("id"), tokens.alias("t"))
     ttr = t.select("g", F.explode("t").alias("w")).groupBy("g", "w").agg(F.count("*").alias("c")).groupBy("g").agg(F.count("*").alias("types"), F.sum("c").alias("tokens"))
     n = t.groupBy("g").agg(F.count("*").alias("n"))
+    kind = t.schema["g"].dataType.simpleString()
 
     def scan(batches):
-        state: dict = {}
+        """Factors of the streams of a partition, in the order they come: a factor ends where its type-token ratio falls to 0.72."""
+        open_: dict = {}  # stream -> tokens, full factors, types and tokens of the open one
         for b in batches:
             for g, rev, toks in zip(b["g"], b["rev"], b["t"]):
-                s = state.setdefault((g, rev), {"n": 0, "ring": [], "at": 0, "cnt": {}, "sum": 0.0, "wins": 0, "f": 0.0, "seen": set(), "k": 0})
-                for w in toks[::-1] if rev else toks:
-                    s["n"] += 1
-                    s["seen"].add(w)
-                    s["k"] += 1
-                    if len(s["seen"]) / s["k"] <= 0.72:
-                        s["f"], s["seen"], s["k"] = s["f"] + 1, set(), 0
-                    if not rev:
-                        if len(s["ring"]) == window:
-                            old = s["ring"][s["at"]]
-                            s["cnt"][old] -= 1
-                            if not s["cnt"][old]:
-                                del s["cnt"][old]
-                            s["ring"][s["at"]] = w
-                            s["at"] = (s["at"] + 1) % window
-                        else:
-                            s["ring"].append(w)
-                        s["cnt"][w] = s["cnt"].get(w, 0) + 1
-                        if len(s["ring"]) == window:
-                            s["sum"] += len(s["cnt"]) / window
-                            s["wins"] += 1
+                n, full, seen, k = open_.get((g, rev), (0, 0.0, set(), 0))
+                for w in reversed(toks) if rev else toks:
+                    seen.add(w)
+                    k += 1
+                    if len(seen) <= 0.72 * k:
+                        full, seen, k = full + 1, set(), 0
+                open_[g, rev] = n + len(toks), full, seen, k
         rows = []
-        for (g, rev), s in state.items():
-            f = s["f"] + ((1 - len(s["seen"]) / s["k"]) / 0.28 if s["k"] and len(s["seen"]) < s["k"] else 0.0)
-            rows.append((g, rev, s["n"], s["sum"] / s["wins"] if s["wins"] else None, (s["n"] / f if f else float(s["n"])) if s["n"] >= 10 else None))
-        yield pd.DataFrame(rows, columns=["g", "rev", "tokens", "mattr", "mtld"])
+        for (g, rev), (n, full, seen, k) in open_.items():
+            rest = (1 - len(seen) / k) / 0.28 if k else 0.0
+            rows.append((g, None if n < 10 else n / (full + rest) if full + rest else float(n)))
+        yield pd.DataFrame(rows, columns=["g", "mtld"])
 
     both = t.withColumn("rev", F.lit(False)).unionByName(t.withColumn("rev", F.lit(True)))
     keyed = both.withColumn("_o", F.when(F.col("rev"), -F.col("id")).otherwise(F.col("id")))
-    seq = keyed.repartition("g", "rev").sortWithinPartitions("g", "rev", "_o").select("g", "rev", "t").mapInPandas(scan, "g string, rev boolean, tokens bigint, mattr double, mtld double")
-    m = seq.groupBy("g").agg(F.max("mattr").alias("mattr"), F.avg("mtld").alias("mtld"))
+    seq = keyed.repartition("g", "rev").sortWithinPartitions("g", "rev", "_o").select("g", "rev", "t").mapInPandas(scan, f"g {kind}, mtld double")
+    m = seq.groupBy("g").agg(F.avg("mtld").alias("mtld")).join(corpus_mattr(numbered_tokens(t), window), "g", "left")
     out = n.join(ttr, "g", "left").join(m, "g", "left")
     plain = F.coalesce(F.try_divide(F.col("types"), F.col("tokens")), F.lit(0.0))
     return out.select(F.col("g").alias(group), "n", F.round(plain, 4).alias("corpus_ttr"), F.round(F.coalesce("mattr", plain), 4).alias("corpus_mattr"), F.round("mtld", 3).alias("corpus_mtld"))
@@ -155,21 +171,29 @@ def centroid_cosine(df: DataFrame, group: str, vector: str) -> DataFrame:
     return j.groupBy("group_a", "group_b").agg(F.sum(F.col("ma") * F.col("mb")).alias("d"), F.first("na").alias("na"), F.first("nb").alias("nb")).select("group_a", "group_b", F.round(F.col("d") / (F.col("na") * F.col("nb")), 4).alias("cosine"))
 
 
-def sliced_wasserstein(df: DataFrame, group: str, vector: str, slices: int = 50, seed: int = 42, grid: int = 256) -> DataFrame:
-    """(group_a, group_b, wasserstein): mean distance of one-dimensional projections on random unit directions.
-
-    Projections are summarised per group and slice by quantiles on a fine grid, whose size does not depend on the data; distances are
-    sums over the grid. Exact up to the grid."""
-    dim = df.select(F.size(vector).alias("d")).agg(F.max("d")).first()[0] or 0
+def directions(slices: int, dim: int, seed: int = 42) -> np.ndarray:
+    """Random unit directions, the same for a seed."""
     g = np.random.default_rng(seed).normal(size=(slices, dim))
-    g = g / np.linalg.norm(g, axis=1, keepdims=True)
-    dirs = F.array(*[F.struct(F.lit(i).alias("i"), F.array(*[F.lit(float(x)) for x in row]).alias("d")) for i, row in enumerate(g)])
-    p = df.select(F.col(group).alias("g"), F.col(vector).alias("v")).withColumn("_d", F.explode(dirs)).select("g", F.col("_d.i").alias("i"), V.dot(F.col("v"), F.col("_d.d")).alias("x"))
-    qs = [(k + 0.5) / grid for k in range(grid)]
-    q = p.groupBy("g", "i").agg(F.percentile("x", F.array(*[F.lit(x) for x in qs])).alias("q"))
-    a, b = q.select(F.col("g").alias("group_a"), "i", F.col("q").alias("qa")), q.select(F.col("g").alias("group_b"), "i", F.col("q").alias("qb"))
-    dist = F.aggregate(F.zip_with("qa", "qb", lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x) / grid
-    return a.join(b, "i").filter("group_a < group_b").groupBy("group_a", "group_b").agg(F.round(F.avg(dist), 4).alias("wasserstein"))
+    return g / np.linalg.norm(g, axis=1, keepdims=True)
+
+
+def sliced_wasserstein(df: DataFrame, group: str, vector: str, dirs: np.ndarray, width: float = 0.001) -> DataFrame:
+    """(group_a, group_b, wasserstein): mean over the directions of the distance of one-dimensional projections.
+
+    Projections are counted in bins of the given width per group and direction, before the shuffle; the distance is the area between
+    two distribution functions over the bins. It differs from the exact one by less than the width. No task holds a group's projections."""
+    d = F.array(*[F.struct(F.lit(i).alias("i"), F.array(*[F.lit(float(x)) for x in row]).alias("d")) for i, row in enumerate(dirs)])
+    p = df.select(F.col(group).alias("g"), F.col(vector).alias("v")).withColumn("_d", F.explode(d)).select("g", F.col("_d.i").alias("i"), F.floor(V.dot(F.col("v"), F.col("_d.d")) / width).alias("bin")).filter("bin is not null")
+    h = p.groupBy("g", "i", "bin").agg(F.count("*").alias("c"))
+    n = h.groupBy("g", "i").agg(F.sum("c").alias("n"))
+    share = h.join(n, ["g", "i"]).select("g", "i", "bin", (F.col("c") / F.col("n")).alias("s"))
+    groups = n.select("g").distinct()
+    ab = groups.select(F.col("g").alias("group_a")).join(groups.select(F.col("g").alias("group_b")), F.col("group_a") < F.col("group_b"))  # pairs of groups
+    rows = share.join(ab, (F.col("g") == F.col("group_a")) | (F.col("g") == F.col("group_b"))).select("group_a", "group_b", "i", "bin", F.when(F.col("g") == F.col("group_a"), F.col("s")).otherwise(-F.col("s")).alias("s"))
+    step = rows.groupBy("group_a", "group_b", "i", "bin").agg(F.sum("s").alias("s"))
+    w = Window.partitionBy("group_a", "group_b", "i").orderBy("bin")  # bins, not rows: bounded by the range over the width
+    area = step.select("group_a", "group_b", "i", (F.abs(F.sum("s").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))) * (F.coalesce(F.lead("bin").over(w), F.col("bin")) - F.col("bin"))).alias("a"))
+    return area.groupBy("group_a", "group_b", "i").agg((F.sum("a") * width).alias("d")).groupBy("group_a", "group_b").agg(F.round(F.avg("d"), 4).alias("wasserstein"))
 
 
 def mean_jaccard(df: DataFrame, group: str, tokens: Column, block: int = 2048) -> DataFrame:

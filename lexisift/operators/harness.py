@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.values import METHODS, is_error, method_name
+from ..functions.values import METHODS, finite, is_error, method_name
 
 METRICS = ("input_length", "generated_length", "generation_time_seconds", "confidence_score")
 
@@ -33,10 +33,12 @@ def wrapped(df: DataFrame, templates: DataFrame, model: str, text: str) -> DataF
 
 
 def metric_pivot(metrics: DataFrame) -> DataFrame:
-    """(model, query_id, {method}_{metric}): one row per model and query with the metrics of each method, null where a method is missing.
+    """(model, query_id, {method}_{metric}): one row per model and query with the metrics of each method, null where a method is missing or
+    a value is not finite.
 
     Of repeated rows the one processed last counts, then the greatest row."""
     m = metrics.withColumn("method", method_name("query_mode")).filter(F.col("method").isin(*METHODS))
+    m = m.withColumns({c: finite(F.col(c)) for c in METRICS if m.schema[c].dataType.typeName() in ("double", "float")})
     last = m.groupBy("model", "query_id", "method").agg(F.max(F.struct("processing_timestamp", *METRICS)).alias("r"))
     wide = last.groupBy("model", "query_id").pivot("method", list(METHODS)).agg(*[F.first(f"r.{c}").alias(c) for c in METRICS])
     return wide

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import CHALLENGERS, finite
@@ -41,12 +41,13 @@ def angle_stats(angles: DataFrame, keys=("domain", "model", "method")) -> DataFr
     """n, mean, median, std (0 for one value), Cohen's d, shares of positive and negative angles, and the signed-rank test."""
     a = F.col("angle")
     s = angles.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.avg(a).alias("mean"), F.median(a).alias("median"), F.coalesce(F.stddev_samp(a), F.lit(0.0)).alias("std"),
+        F.count("*").alias("n"), F.avg(a).alias("mean"), F.coalesce(F.stddev_samp(a), F.lit(0.0)).alias("std"),
         F.round(100.0 * F.count_if(a > 0) / F.count("*"), 2).alias("pct_pos"), F.round(100.0 * F.count_if(a < 0) / F.count("*"), 2).alias("pct_neg"),
     )
+    s = stats.with_percentiles(s, angles, list(keys), ["angle"], {"median": 0.5}).withColumnRenamed("angle_median", "median")
     s = s.withColumn("cohens_d", F.when(F.col("std") > 1e-12, F.round(F.col("mean") / F.col("std"), 4)))
     w = stats.wilcoxon(angles, list(keys), "angle", least=10).select(*keys, "statistic", "p")
-    return s.join(w, list(keys), "left").withColumns({c: F.round(c, 4) for c in ("mean", "median", "std")})
+    return stats.null_safe(s, w, list(keys), "left").withColumns({c: F.round(c, 4) for c in ("mean", "median", "std")})
 
 
 def largest_displacement(s: DataFrame, method: str = "sparql") -> DataFrame:
@@ -57,3 +58,15 @@ def largest_displacement(s: DataFrame, method: str = "sparql") -> DataFrame:
 def direction_flips(s: DataFrame) -> DataFrame:
     """Cells with all challengers whose mean angles do not all point the same way."""
     return s.groupBy("model", "domain").agg(F.count("*").alias("n_methods"), F.count_distinct(F.signum("mean")).alias("n_signs")).filter(f"n_methods = {len(CHALLENGERS)} and n_signs > 1")
+
+
+def plot_limits(s: DataFrame, keys=("domain",), lo: str = "lo", hi: str = "hi", default: float = 30.0) -> DataFrame:
+    """(keys, low, high): symmetric axis limits from interval ends, 1.22 times the largest absolute end plus 3; the default without any."""
+    most = F.max(F.greatest(F.abs(finite(F.col(lo))), F.abs(finite(F.col(hi))))) * 1.22 + 3
+    return s.groupBy(*keys).agg(F.round(F.coalesce(most, F.lit(default)), 4).alias("high")).select(*keys, (-F.col("high")).alias("low"), "high")
+
+
+def domain_order(domain: Column, first=("TelcoQA", "FiQA", "LegalQA")) -> list[Column]:
+    """Sort keys that put the named domains first, in order, and the others after them by name."""
+    at = F.array_position(F.array(*[F.lit(x) for x in first]), domain)
+    return [F.when(at > 0, at).otherwise(len(first) + 1).asc(), domain.asc()]

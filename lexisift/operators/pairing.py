@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import CHALLENGERS, finite, log10_safe
+from .stats import null_safe, wilcoxon, with_percentiles
 
 CELL = ["domain", "model"]
 
@@ -101,8 +102,43 @@ def primary_pivot(cells: DataFrame) -> DataFrame:
     return p.withColumn("delta_sparql_nlq_cot", F.round(F.col("sparql_delta_cr") - F.col("nlq_cot_delta_cr"), 4))
 
 
-def box_stats(long: DataFrame, value: str, keys=("method",)) -> DataFrame:
-    """Five-number summary per group, and whether a logarithmic scale fits (largest over smallest positive value above 20)."""
-    x = finite(F.col(value))
-    out = long.groupBy(*keys).agg(F.count(x).alias("n"), *[F.percentile(x, q).alias(n) for n, q in (("low", 0.0), ("q1", 0.25), ("mid", 0.5), ("q3", 0.75), ("high", 1.0))], F.min(F.when(x > 0, x)).alias("_p"))
-    return out.withColumn("log_scale", F.coalesce(F.col("high") / F.col("_p") > 20, F.lit(False))).drop("_p")
+def box_stats(long: DataFrame, value: str, keys=("method",), baseline_once: tuple[str, ...] | None = None, baseline: str = "nlq") -> DataFrame:
+    """Five-number summary per group, and whether a logarithmic scale fits (largest over smallest positive value above 20).
+
+    baseline_once: keys of which the baseline's rows count once, the smallest value, as one baseline is repeated for each challenger."""
+    x = long.withColumn("_v", finite(F.col(value)))
+    if baseline_once:
+        own = x.filter(F.col("method") == baseline)
+        names = list(dict.fromkeys([*baseline_once, *keys]))
+        x = x.filter(F.col("method") != baseline).select(*names, "_v").unionByName(own.groupBy(*names).agg(F.min("_v").alias("_v")))
+    out = x.groupBy(*keys).agg(F.count("_v").alias("n"), F.min("_v").alias("low"), F.max("_v").alias("high"), F.min(F.when(F.col("_v") > 0, F.col("_v"))).alias("_p"))
+    out = with_percentiles(out, x, list(keys), ["_v"], {"q1": 0.25, "mid": 0.5, "q3": 0.75}).withColumnsRenamed({f"_v_{c}": c for c in ("q1", "mid", "q3")})
+    return out.withColumn("log_scale", F.coalesce(F.col("high") / F.col("_p") > 20, F.lit(False))).select(*keys, "n", "low", "q1", "mid", "q3", "high", "log_scale")
+
+
+def with_tests(rates: DataFrame, pairs: DataFrame, least: int = 5) -> DataFrame:
+    """The table of win_rates with p_* per challenger: the signed-rank test of challenger against baseline, null below so many differences."""
+    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("method"), F.round(F.col(c) - F.col("nlq"), 12).alias("d")) for c in CHALLENGERS]))
+    w = wilcoxon(pairs.select(*CELL, rows.alias("r")).select(*CELL, "r.*"), [*CELL, "method"], "d", least=least)
+    p = w.groupBy(*CELL).agg(*[F.max(F.when(F.col("method") == c, F.col("p"))).alias(f"p_{c}") for c in CHALLENGERS])
+    return null_safe(rates, p, CELL, "left")
+
+
+def rate_footer(cells: DataFrame) -> DataFrame:
+    """(domain, one mean win rate per challenger, adv_1, adv_2): means over models of the recall win rates of delta_on_wins, and of the leads of
+    sparql over the two others in the models that have both."""
+    wide = cells.groupBy(*CELL).agg(*[F.max(F.when(F.col("method") == c, F.col("recall_win_rate"))).alias(c) for c in CHALLENGERS])
+    sp, one, two = CHALLENGERS
+    return wide.groupBy("domain").agg(*[F.round(F.avg(c), 4).alias(c) for c in CHALLENGERS], F.round(F.avg(F.col(sp) - F.col(one)), 4).alias("adv_1"), F.round(F.avg(F.col(sp) - F.col(two)), 4).alias("adv_2"))
+
+
+def best_over_domains(rates: DataFrame) -> DataFrame:
+    """(model, best, delta_best, p_min): of several domains the first by name that has a best challenger, and the smallest p of any."""
+    p = F.least(*[F.col(f"p_{c}") for c in CHALLENGERS])
+    first = F.when(F.col("best").isNotNull(), F.col("domain"))
+    return rates.groupBy("model").agg(F.min_by("best", first).alias("best"), F.min_by("delta_best", first).alias("delta_best"), F.min(p).alias("p_min"))
+
+
+def domain_means(cells: DataFrame, domains: list[str]) -> DataFrame:
+    """(method, one mean win rate per domain), the columns that a challenger summary has beside its overall means."""
+    return cells.groupBy("method").agg(*[F.round(F.round(F.avg(F.when(F.col("domain") == d, F.col("recall_win_rate"))), 8), 2).alias(d) for d in domains])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.formal import FORMS, OPERATORS
 from ..functions.values import finite
+from .stats import null_safe, percentiles, with_percentiles
 
 
 def form_distribution(df: DataFrame, key: str = "domain") -> DataFrame:
@@ -26,9 +27,8 @@ def operator_profile(df: DataFrame, key: str = "domain") -> DataFrame:
 def scalar_summary(df: DataFrame, metrics: list[str], key: str = "domain") -> DataFrame:
     """(metric, key, n, mean, median, std, min, max, p25, p75) of finite values, three decimals; exact percentiles."""
     long = df.select(key, *[finite(F.col(m)).alias(m) for m in metrics]).unpivot([key], metrics, "metric", "x").filter("x is not null")
-    p = F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = long.groupBy("metric", key).agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"), p.alias("_p"))
-    out = out.withColumns({"p25": F.col("_p")[0], "median": F.col("_p")[1], "p75": F.col("_p")[2]}).drop("_p")
+    out = long.groupBy("metric", key).agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
+    out = with_percentiles(out, long, ["metric", key], ["x"], {"p25": 0.25, "median": 0.5, "p75": 0.75}).withColumnsRenamed({f"x_{c}": c for c in ("p25", "median", "p75")})
     return out.withColumns({c: F.round(F.col(c), 3) for c in ("mean", "median", "std", "min", "max", "p25", "p75")})
 
 
@@ -43,16 +43,21 @@ def boolean_features(df: DataFrame, columns=("has_negation", "has_annotation"),
 def compositionality(df: DataFrame, columns=("operator_diversity", "join_count", "nesting_depth", "compositional_score"), key: str = "domain") -> DataFrame:
     aggs = []
     for c in columns:
-        aggs += [F.round(F.avg(c), 3).alias(f"{c}_mean"), F.round(F.median(c), 3).alias(f"{c}_median"), F.round(F.stddev_samp(c), 3).alias(f"{c}_std")]
-    return df.groupBy(key).agg(*aggs)
+        aggs += [F.round(F.avg(c), 3).alias(f"{c}_mean"), F.round(F.stddev_samp(c), 3).alias(f"{c}_std")]
+    return _rounded(with_percentiles(df.groupBy(key).agg(*aggs), df, [key], list(columns), {"median": 0.5}), columns)
+
+
+def _rounded(out: DataFrame, columns) -> DataFrame:
+    return out.withColumns({f"{c}_median": F.round(f"{c}_median", 3) for c in columns})
 
 
 def subgroups(df: DataFrame, columns=("complexity_score", "join_count", "nesting_depth", "operator_count", "compositional_score"), keys=("domain", "query_form"), least: int = 3) -> DataFrame:
     """Mean and median per subgroup of at least so many rows."""
     aggs = []
     for c in columns:
-        aggs += [F.round(F.avg(c), 3).alias(f"{c}_mean"), F.round(F.median(c), 3).alias(f"{c}_median")]
-    return df.groupBy(*keys).agg(F.count("*").alias("n"), *aggs).filter(F.col("n") >= least)
+        aggs += [F.round(F.avg(c), 3).alias(f"{c}_mean")]
+    out = df.groupBy(*keys).agg(F.count("*").alias("n"), *aggs).filter(F.col("n") >= least)
+    return _rounded(with_percentiles(out, df, list(keys), list(columns), {"median": 0.5}), columns)
 
 
 def domain_profile(df: DataFrame, key: str = "domain") -> DataFrame:
@@ -61,10 +66,11 @@ def domain_profile(df: DataFrame, key: str = "domain") -> DataFrame:
     shares = [pct(F.col("query_form") == f).alias(f"{f}_pct") for f in FORMS]
     ops = [pct(F.col(f"op_{o}") > 0).alias(f"pct_{o}") for o in ("FILTER", "OPTIONAL", "UNION", "FILTER_NOT_EXISTS", "SUBQUERY", "ORDER_BY", "DISTINCT", "GROUP_BY", "COUNT", "LIMIT")]
     means = [F.round(F.avg(c), 2).alias(f"mean_{c}") for c in ("operator_count", "operator_diversity", "join_count", "nesting_depth", "compositional_score", "entity_count", "class_count", "relation_count", "literal_count", "vocab_tokens")]
-    return df.groupBy(key).agg(
-        F.count("*").alias("n_queries"), *shares, F.round(F.avg("complexity_score"), 2).alias("mean_complexity"), F.round(F.median("complexity_score"), 2).alias("median_complexity"), F.round(F.stddev_samp("complexity_score"), 2).alias("std_complexity"),
+    out = df.groupBy(key).agg(
+        F.count("*").alias("n_queries"), *shares, F.round(F.avg("complexity_score"), 2).alias("mean_complexity"), F.round(F.stddev_samp("complexity_score"), 2).alias("std_complexity"),
         *ops, *means, F.round(F.avg("ttr"), 4).alias("mean_ttr"), pct(F.col("nary_count") > 0).alias("pct_nary"),
     )
+    return with_percentiles(out, df, [key], ["complexity_score"], {"median": 0.5}).withColumn("median_complexity", F.round("complexity_score_median", 2)).drop("complexity_score_median")
 
 
 def levels(df: DataFrame) -> DataFrame:
@@ -81,16 +87,16 @@ def levels(df: DataFrame) -> DataFrame:
 
 def representatives(df: DataFrame, id_col: str, keys=("domain", "level"), score: str = "complexity_score") -> DataFrame:
     """The row of each stratum closest to the stratum's median score, the lowest id on ties. Two aggregations, no window over a stratum."""
-    med = df.groupBy(*keys).agg(F.median(score).alias("stratum_median"))
-    near = df.join(med, list(keys)).withColumn("distance", F.abs(F.col(score) - F.col("stratum_median")))
+    med = percentiles(df, list(keys), [score], {"median": 0.5}).withColumnRenamed(f"{score}_median", "stratum_median")
+    near = null_safe(df, med, list(keys)).withColumn("distance", F.abs(F.col(score) - F.col("stratum_median")))
     return near.groupBy(*keys).agg(F.min(F.struct("distance", id_col)).alias("r"), F.first("stratum_median").alias("stratum_median"), F.count("*").alias("n")).select(*keys, F.col(f"r.{id_col}").alias(id_col), "stratum_median", F.col("r.distance").alias("distance"), "n")
 
 
 def surface_summary(df: DataFrame, metrics: list[str], key: str = "domain") -> DataFrame:
     aggs = []
     for m in metrics:
-        aggs += [F.round(F.avg(m), 3).alias(f"{m}_mean"), F.round(F.median(m), 3).alias(f"{m}_median"), F.round(F.stddev_samp(m), 3).alias(f"{m}_std")]
-    return df.groupBy(key).agg(F.count("*").alias("n"), *aggs)
+        aggs += [F.round(F.avg(m), 3).alias(f"{m}_mean"), F.round(F.stddev_samp(m), 3).alias(f"{m}_std")]
+    return _rounded(with_percentiles(df.groupBy(key).agg(F.count("*").alias("n"), *aggs), df, [key], list(metrics), {"median": 0.5}), metrics)
 
 
 def type_table(df: DataFrame, key: str = "domain", kind: str = "question_type") -> DataFrame:

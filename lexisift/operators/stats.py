@@ -15,22 +15,57 @@ from ..functions import stats as S
 from ..functions.values import finite
 from ..session import durable, spec
 
-BUCKETS = 64
+BUCKETS, COARSE = 1024, 32  # parts of each key's values; one in COARSE cuts is looked at first
 
 
-def average_ranks(df: DataFrame, keys: list[str], value: str, weight: str | None = None) -> DataFrame:
-    """(keys, value, ties, rank): the average rank of every distinct value within its key.
+def null_safe(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on keys of which null equals null; b has nothing else in common with a."""
+    b = b.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    on = functools.reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    return a.join(b, on, how).drop(*[f"_k_{k}" for k in keys])
 
-    Equal values are combined first. Values fall into buckets by approximate quantiles of their key; ranks are prefix sums of
-    bucket totals plus prefix sums inside a bucket."""
-    counted = df.groupBy(*keys, value).agg((F.sum(weight) if weight else F.count("*")).alias("ties"))
-    cuts = counted.groupBy(*keys).agg(F.percentile_approx(value, [i / BUCKETS for i in range(1, BUCKETS)], 1000).alias("_cuts"))
-    b = counted.join(cuts, keys).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+
+def values_below(counted: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """counted (keys, value, ties; one row per distinct value) with below, the number of rows of the key with a smaller value.
+
+    Values fall into buckets by approximate quantiles of their key; below is a prefix sum of bucket totals plus one inside the bucket, so no
+    task sorts all values of a key."""
+    cuts = counted.groupBy(*keys).agg(F.percentile_approx(value, [i / BUCKETS for i in range(1, BUCKETS)], 10_000).alias("_cuts"))
+    cuts = cuts.withColumn("_first", F.filter("_cuts", lambda c, i: i % COARSE == 0))
+    j = null_safe(counted, cuts, keys).withColumn("_c", F.size(F.filter("_first", lambda c: c < F.col(value))))
+    j = j.withColumn("_part", F.slice("_cuts", F.greatest(F.col("_c") - 1, F.lit(0)) * COARSE + 1, F.lit(COARSE))).drop("_cuts", "_first")
+    b = j.withColumn("_b", F.greatest(F.col("_c") - 1, F.lit(0)) * COARSE + F.size(F.filter("_part", lambda c: c < F.col(value)))).drop("_part", "_c")
     totals = b.groupBy(*keys, "_b").agg(F.sum("ties").alias("_t"))
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offs = totals.withColumn("_off", F.coalesce(F.sum("_t").over(before), F.lit(0))).drop("_t")
-    inside = Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return b.join(offs, [*keys, "_b"]).withColumn("rank", F.col("_off") + F.sum("ties").over(inside) - (F.col("ties") - 1) / 2.0).select(*keys, value, "ties", "rank")
+    inside = Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    return null_safe(b.withColumn("_in", F.coalesce(F.sum("ties").over(inside), F.lit(0))), offs, [*keys, "_b"]).withColumn("below", F.col("_off") + F.col("_in")).select(*keys, value, "ties", "below")
+
+
+def average_ranks(df: DataFrame, keys: list[str], value: str, weight: str | None = None) -> DataFrame:
+    """(keys, value, ties, rank): the average rank of every distinct value within its key. Equal values are combined first."""
+    counted = df.groupBy(*keys, value).agg((F.sum(weight) if weight else F.count("*")).alias("ties"))
+    return values_below(counted, keys, value).select(*keys, value, "ties", (F.col("below") + (F.col("ties") + 1) / 2.0).alias("rank"))
+
+
+def percentiles(df: DataFrame, keys: list[str], metrics: list[str], quantiles: dict[str, float]) -> DataFrame:
+    """(keys, {metric}_{name}): exact percentiles with linear interpolation of the finite values of each metric, from counts of smaller values;
+    null without values. No buffer grows with a key, as that of the built-in exact percentile does."""
+    long = df.select(*keys, *[finite(F.col(m).cast("double")).alias(m) for m in metrics]).unpivot(keys, metrics, "_m", "_x").filter("_x is not null")
+    counted = long.groupBy(*keys, "_m", "_x").agg(F.count("*").alias("ties"))
+    by = [*keys, "_m"]
+    n = counted.groupBy(*by).agg(F.sum("ties").alias("_n"))
+    at = null_safe(values_below(counted, by, "_x"), n, by)
+    pos = {k: F.lit(q) * (F.col("_n") - 1) for k, q in quantiles.items()}
+    here = lambda r: F.max(F.when((F.col("below") <= r) & (r < F.col("below") + F.col("ties")), F.col("_x")))
+    found = at.groupBy(*by).agg(F.max("_n").alias("_n"), *[here(f(pos[k])).alias(f"_{e}_{k}") for k in quantiles for e, f in (("lo", F.floor), ("hi", F.ceil))])
+    value = {k: F.col(f"_lo_{k}") + (F.col(f"_hi_{k}") - F.col(f"_lo_{k}")) * (pos[k] - F.floor(pos[k])) for k in quantiles}
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("_m") == m, value[k])).alias(f"{m}_{k}") for m in metrics for k in quantiles])
+
+
+def with_percentiles(out: DataFrame, df: DataFrame, keys: list[str], metrics: list[str], quantiles: dict[str, float]) -> DataFrame:
+    """out, one row per keys, with the percentiles of df."""
+    return null_safe(out, percentiles(df, keys, metrics, quantiles), keys, "left")
 
 
 def kruskal(df: DataFrame, metrics: list[str], group: str, least: int = 3) -> DataFrame:
@@ -119,34 +154,39 @@ def exact_wilcoxon_p(n: int, statistic: float) -> float:
     return float(min(1.0, 2 * p))
 
 
-def bootstrap_ci(df: DataFrame, keys: list[str], value: str, order: str, draws: int = 2000, seed: int = 42, level: float = 0.95) -> DataFrame:
+def bootstrap_ci(df: DataFrame, keys: list[str], value: str, order: str | None = None, draws: int = 2000, seed: int = 42, level: float = 0.95, per_bucket: int = 50_000) -> DataFrame:
     """(keys, n, mean, lo, hi): percentile interval of the mean by resampling; (mean, mean) below three values.
 
-    A group's values are combined to a histogram first, and resampled by multinomial counts over it, so a task holds a group's
-    distinct values, not its rows. Groups up to 5,000 rows are resampled row by row in the given order instead, which repeats the
-    draws of a seeded generator exactly."""
-    head = spec(df, keys) + ", n bigint, mean double, lo double, hi double"
-    x = df.select(*keys, F.col(order).alias("_o"), finite(F.col(value)).alias("_v")).filter("_v is not null")
-    sizes = x.groupBy(*keys).agg(F.count("*").alias("_n"))
-    j = x.join(sizes, keys)
-    small = j.filter("_n <= 5000").select(*keys, "_o", "_v", F.lit(1).cast("bigint").alias("_c"))
-    large = j.filter("_n > 5000").groupBy(*keys, "_v").agg(F.count("*").alias("_c")).withColumn("_o", F.lit(None).cast(x.schema["_o"].dataType)).select(*keys, "_o", "_v", "_c")
+    One scheme for groups of any size: a group's values are combined to a histogram, and a draw takes multinomial counts over it. The
+    histogram is spread over buckets by hash, so many that one holds about per_bucket distinct values: each draw first shares n out over
+    the buckets (every bucket repeats that draw from the same seed), then each bucket draws its share from its own values, and the sums
+    of the buckets are added. order is kept for callers; the result doesn't depend on it."""
+    head = spec(df, keys)
+    x = df.select(*keys, finite(F.col(value).cast("double")).alias("_v")).filter("_v is not null")
+    counted = x.groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
+    sizes = counted.groupBy(*keys).agg(F.ceil(F.count("*") / per_bucket).cast("int").alias("_k"))
+    placed = null_safe(counted, sizes, keys).withColumn("_b", F.pmod(F.xxhash64("_v"), F.col("_k")).cast("int"))
+    totals = placed.groupBy(*keys, "_b").agg(F.sum("_c").alias("_t")).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_b", "_t"))).alias("_all"))  # one entry a bucket
 
     def one(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        rng = np.random.default_rng(seed)
-        w = g["_c"].to_numpy()
-        n = int(w.sum())
-        if (w == 1).all() and n <= 5000:
-            v = g.sort_values("_o", kind="stable")["_v"].to_numpy()
-            mean = float(v.mean())
-            means = np.array([rng.choice(v, size=n, replace=True).mean() for _ in range(draws)]) if n >= 3 else np.array([mean])
-        else:
-            v = g.sort_values("_v")["_v"].to_numpy()
-            w = g.sort_values("_v")["_c"].to_numpy()
-            mean = float((v * w).sum() / n)
-            means = np.array([rng.multinomial(n, w / n) @ v / n for _ in range(draws)])
-        a = (1 - level) / 2 * 100
-        lo, hi = np.percentile(means, [a, 100 - a])
-        return pd.DataFrame([[*key, n, mean, float(lo), float(hi)]], columns=[*keys, "n", "mean", "lo", "hi"])
-
-    return small.unionByName(large).groupBy(*keys).applyInPandas(one, head)
+        all_ = g["_all"].iloc[0]
+        bucket = int(g["_b"].iloc[0])
+        shares = np.array([r["_t"] for r in all_], dtype=float)
+        at = [r["_b"] for r in all_].index(bucket)
+        n = int(shares.sum())
+        mine = np.random.default_rng(seed).multinomial(n, shares / n, size=draws)[:, at] if len(shares) > 1 else np.full(draws, n)
+        rng = np.random.default_rng([seed, bucket])
+        g = g.sort_values("_v")
+        v, c = g["_v"].to_numpy(), g["_c"].to_numpy(float)
+        sums = np.array([rng.multinomial(k, c / c.sum()) @ v for k in mine])
+        return pd.DataFrame([[*key[: len(keys)], int(c.sum()), float(v @ c), sums]], columns=[*keys, "n", "total", "sums"])
+
+    parts = null_safe(placed, totals, keys).groupBy(*keys, "_b").applyInPandas(one, f"{head}, n bigint, total double, sums array<double>")
+    i = F.posexplode("sums").alias("i", "s")
+    summed = parts.select(*keys, i).groupBy(*keys, "i").agg(F.sum("s").alias("s"))
+    whole = parts.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    ends = summed.groupBy(*keys).agg(F.percentile("s", F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2))).alias("e"))  # draws values a group
+    j = null_safe(whole, ends, keys)
+    mean = F.col("total") / F.col("n")
+    end = lambda k: F.when(F.col("n") < 3, mean).otherwise(F.col("e")[k] / F.col("n"))
+    return j.select(*keys, "n", mean.alias("mean"), end(0).alias("lo"), end(1).alias("hi"))

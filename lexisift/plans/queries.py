@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import formal, questions, values, vectors
 from ..functions.stats import normal_tail_sql
-from ..operators import algebra, corpus, harness, latent, pairing, profiles, stats, transform, triples
+from ..operators import algebra, corpus, harness, latent, pairing, profiles, stats, triples
 from ..session import durable, spread
 from ..sources import sinks, tables
+from .rules import SURFACES
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -363,9 +364,19 @@ def embedding_centroid_cosine(spark, d):
     return corpus.centroid_cosine(read(spark, d, "embeddings"), "label", "embedding")
 
 
-@query()
+_DIRS = corpus.directions(50, 64)
+_WASS = f"""WITH dirs AS (SELECT unnest(range(50)) AS i, unnest([{', '.join('[' + ', '.join(repr(float(x)) for x in r) + ']' for r in _DIRS)}]) AS d),
+h AS (SELECT label, i, floor(list_dot_product(list_transform(embedding, lambda x : CAST(x AS DOUBLE)), d) / 0.001) AS bin, count(*) AS c FROM embeddings, dirs GROUP BY ALL),
+s AS (SELECT label, i, bin, c / sum(c) OVER (PARTITION BY label, i) AS s FROM h),
+r AS (SELECT a.label AS group_a, b.label AS group_b FROM (SELECT DISTINCT label FROM h) a JOIN (SELECT DISTINCT label FROM h) b ON a.label < b.label),
+t AS (SELECT group_a, group_b, i, bin, sum(CASE WHEN label = group_a THEN s ELSE -s END) AS s FROM s JOIN r ON label = group_a OR label = group_b GROUP BY ALL),
+e AS (SELECT group_a, group_b, i, abs(sum(s) OVER (PARTITION BY group_a, group_b, i ORDER BY bin)) * coalesce(lead(bin) OVER (PARTITION BY group_a, group_b, i ORDER BY bin) - bin, 0) AS a FROM t)
+SELECT group_a, group_b, round(avg(w), 4) AS wasserstein FROM (SELECT group_a, group_b, i, sum(a) * 0.001 AS w FROM e GROUP BY ALL) GROUP BY ALL"""
+
+
+@query(_WASS)
 def embedding_wasserstein(spark, d):
-    return corpus.sliced_wasserstein(read(spark, d, "embeddings"), "label", "embedding")
+    return corpus.sliced_wasserstein(read(spark, d, "embeddings"), "label", "embedding", _DIRS)
 
 
 # ---- rank statistics ---------------------------------------------------------------------------------------------------------------
@@ -545,7 +556,7 @@ def angle_bootstrap_ci(spark, d):
 _RAWM = "mm AS (SELECT *, regexp_replace(lower(trim(query_mode)), '[^a-z0-9]+', '_', 'g') AS method FROM inference_metrics), lm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model, query_id, method ORDER BY processing_timestamp DESC NULLS LAST, input_length DESC NULLS LAST, generated_length DESC NULLS LAST, generation_time_seconds DESC NULLS LAST, confidence_score DESC NULLS LAST) AS k FROM mm WHERE method IN ('nlq', 'nlq_cot', 'sparql', 'sparql_cot')) WHERE k = 1)"
 
 
-@query(f"WITH {_RAWM} SELECT model, query_id, {', '.join(f"max(CAST({c} AS DOUBLE)) FILTER (method = '{m}') AS {m}_{c}" for m in values.METHODS for c in harness.METRICS)} FROM lm GROUP BY model, query_id")
+@query(f"WITH {_RAWM} SELECT model, query_id, {', '.join(f"max(CASE WHEN isfinite(CAST({c} AS DOUBLE)) THEN CAST({c} AS DOUBLE) END) FILTER (method = '{m}') AS {m}_{c}" for m in values.METHODS for c in harness.METRICS)} FROM lm GROUP BY model, query_id")
 def mode_pivot(spark, d):
     p = harness.metric_pivot(read(spark, d, "inference_metrics"))
     return p.select("model", "query_id", *[F.col(c).cast("double").alias(c) for c in p.columns[2:]])
@@ -645,12 +656,6 @@ def degenerate_flags(spark, d):
     return answers(spark, d).filter("response is not null").select("resp_id", "method", questions.degenerate(F.col("response")).alias("kind")).filter("kind is not null")
 
 
-SURFACES = {
-    "landlord": "Landlord", "tenant": "Tenant", "deposit": "Deposit", "lease": "Lease", "court": "Court", "clause": "Clause", "rent arrears": "RentArrears", "bank": "Bank", "margin": "Margin", "tariff": "Tariff",
-    "router": "Router", "hub": "Hub", "line": "Line", "router reset": "RouterReset", "fee": "Fee", "insurer": "Insurer", "customer": "Customer", "code": "Code", "register": "Register", "request": "Request", "contract": "Contract",
-}
-
-
 @query()
 def structural_triples(spark, d):
     return triples.extract(answers(spark, d).filter("response is not null"), ["resp_id", "method"], "response", SURFACES)
@@ -700,41 +705,11 @@ def leaderboard(spark, d):
     return triples.leaderboard(s, "kd_mean", ["model", "method"])
 
 
-# ---- question transformation -------------------------------------------------------------------------------------------------------
-
-INTENTS = (("SELECT_DEADLINE", r"\b(?:how long|deadline|within|until|when)\b"), ("SELECT_COST", r"\b(?:cost|costs|fee|price|charge|pays?)\b"), ("SELECT_FORM", r"\b(?:form|document)\b"), ("ASK_PERMISSION", r"\b(?:allowed|may|can)\b"), ("SELECT_REASON", r"^why\b"))
-RELATIONS = {"allowed to": "permits", "has to": "requires", "need": "requires", "require": "requires", "pay": "pays", "apply to": "appliesTo", "still apply": "appliesTo", "keep": "keeps", "lost": "lost", "ignores": "ignores"}
-_RULE = lambda rules, default: "CASE " + " ".join(f"WHEN regexp_matches(t, '{p}') THEN '{n}'" for n, p in rules) + f" WHEN t IS NOT NULL THEN '{default}' END"
-
-
-@query(f"SELECT qa_id, {_RULE(transform.QUESTION_FORMS, 'POLAR')} AS q_type, {_RULE(INTENTS, 'SELECT_GENERAL')} AS intent FROM (SELECT qa_id, lower(trim(question)) AS t FROM raw_qa)")
-def question_intents(spark, d):
-    q = read(spark, d, "raw_qa")
-    return q.select("qa_id", transform.first_label(F.col("question"), transform.QUESTION_FORMS, "POLAR").alias("q_type"), transform.first_label(F.col("question"), INTENTS, "SELECT_GENERAL").alias("intent"))
-
-
-@query("SELECT qa_id, " + ", ".join(f"array_to_string(coalesce(regexp_extract_all(question, '{p}', 1), []), '|') AS {k}" for k, p in transform.METADATA.items()) + " FROM raw_qa")
-def question_metadata(spark, d):
-    q = transform.metadata(read(spark, d, "raw_qa").select("qa_id", "question"), "question")
-    return q.select("qa_id", *[F.concat_ws("|", k).alias(k) for k in transform.METADATA])
-
-
-@query()
-def logical_forms(spark, d):
-    return transform.logical_form(read(spark, d, "raw_qa").select("qa_id", "question"), "question", INTENTS, SURFACES, RELATIONS)
-
-
-@query()
-def built_queries(spark, d):
-    lf = transform.logical_form(read(spark, d, "raw_qa").select("qa_id", "question"), "question", INTENTS, SURFACES, RELATIONS)
-    return transform.build_query(lf, "question", "qa", "https://example.org/qa/").select("qa_id", "query")
-
-
 # ---- graph-pattern algebra ---------------------------------------------------------------------------------------------------------
 
 
 def graph(spark, d) -> DataFrame:
-    """Triples of the star schema: customers, nations, regions, and orders above a price."""
+    """Triples of the star schema: customers, nations, regions, orders, and the status of finished orders."""
     c, n, r, o = (read(spark, d, x) for x in ("customer", "nation", "region", "orders"))
     s = lambda p, k: F.concat(F.lit(p), F.col(k).cast("string"))
     parts = [
@@ -765,10 +740,51 @@ def graph_optional(spark, d):
     return algebra.optional(algebra.pattern(t, "?o", "by", "?c"), algebra.pattern(t, "?o", "status", "?st")).select("o", "st")
 
 
-@query(f"WITH {_G} SELECT s AS c FROM t WHERE p = 'inNation' AND NOT EXISTS (SELECT 1 FROM t x WHERE x.p = 'by' AND x.o = t.s)")
+@query(f"WITH {_G} SELECT s AS o FROM t WHERE p = 'by' AND NOT EXISTS (SELECT 1 FROM t x WHERE x.p = 'status' AND x.s = t.s)")
 def graph_not_exists(spark, d):
     t = graph(spark, d)
-    return algebra.not_exists(algebra.pattern(t, "?c", "inNation", "?n"), algebra.pattern(t, "?o", "by", "?c")).select("c")
+    return algebra.not_exists(algebra.pattern(t, "?o", "by", "?c"), algebra.pattern(t, "?o", "status", "?st")).select("o")
+
+
+@query(f"WITH {_G} SELECT s AS o, o AS c FROM t WHERE p = 'by' AND s NOT IN (SELECT s FROM t WHERE p = 'status')")
+def graph_minus(spark, d):
+    """Orders without a status; a right side that shares no variable would take nothing away."""
+    t = graph(spark, d)
+    left = algebra.minus(algebra.pattern(t, "?o", "by", "?c"), algebra.pattern(t, "?x", "label", "EUROPE").select("x"))
+    return algebra.minus(left, algebra.pattern(t, "?o", "status", "?st"))
+
+
+@query(f"WITH {_G}, n AS (SELECT o AS c, count(*) AS n FROM t WHERE p = 'by' GROUP BY o HAVING count(*) >= 3) SELECT t.s AS c, n.n, t.o AS seg FROM n JOIN t ON t.s = n.c AND t.p = 'segment' WHERE starts_with(t.o, 'B') OR regexp_matches(t.o, '(?i)^auto')")
+def graph_filters(spark, d):
+    """A subquery with HAVING, joined, and filters by STRSTARTS and REGEX."""
+    t = graph(spark, d)
+    often = algebra.grouped(algebra.pattern(t, "?o", "by", "?c"), ["c"], {"n": F.count("*")}, F.col("n") >= 3)
+    seg = algebra.pattern(t, "?c", "segment", "?seg")
+    kept = algebra.union(algebra.starts(seg, "seg", "B"), algebra.matches(seg, "seg", "^auto", ignore_case=True))
+    return algebra.subquery(kept, often).select("c", "n", "seg")
+
+
+@query("SELECT r_regionkey AS k, '<https://example.org/r' || r_regionkey || '>' AS iri, '\"' || r_name || '\"@en' AS label, 'en' AS lang, r_name AS str, 'xsd:integer' AS kind FROM region")
+def graph_terms(spark, d):
+    """Prefixed names, literals with language and datatype, and what STR, LANG and DATATYPE say of them."""
+    r = read(spark, d, "region")
+    label = algebra.literal(F.col("r_name"), lang="en")
+    number = algebra.literal(F.col("r_regionkey").cast("string"), datatype="xsd:integer")
+    return r.select(F.col("r_regionkey").alias("k"), algebra.expanded(F.concat(F.lit("ex:r"), F.col("r_regionkey").cast("string")), {"ex": "https://example.org/"}).alias("iri"), label.alias("label"), algebra.lang(label).alias("lang"), algebra.string(label).alias("str"), algebra.datatype(number).alias("kind"))
+
+
+@query(f"WITH {_G} SELECT o AS region, sum(CAST(substr(s, 2) AS BIGINT)) AS total, avg(CAST(substr(s, 2) AS BIGINT)) AS mean, min(CAST(substr(s, 2) AS BIGINT)) AS least, max(CAST(substr(s, 2) AS BIGINT)) AS most FROM t WHERE p = 'inRegion' GROUP BY o")
+def graph_aggregates(spark, d):
+    """SUM, AVG, MIN and MAX over a bound number."""
+    sol = algebra.bind(algebra.pattern(graph(spark, d), "?n", "inRegion", "?region"), "k", F.substring("n", 2, 20).cast("bigint"))
+    return algebra.grouped(sol, ["region"], {"total": F.sum("k"), "mean": F.avg("k"), "least": F.min("k"), "most": F.max("k")})
+
+
+@query(f"WITH {_G} SELECT t.s AS n, t.o AS r FROM t JOIN (VALUES ('r1'), ('r3')) v(o) ON v.o = t.o WHERE t.p = 'inRegion'")
+def graph_values(spark, d):
+    """VALUES joined with a pattern."""
+    v = algebra.values(spark, "r", ["r1", "r3"])
+    return algebra.subquery(algebra.pattern(graph(spark, d), "?n", "inRegion", "?r"), v)
 
 
 @query(f"WITH {_G} SELECT s AS c FROM t WHERE p = 'inNation' AND EXISTS (SELECT 1 FROM t x WHERE x.p = 'by' AND x.o = t.s)")
@@ -856,3 +872,6 @@ def windowed_events(spark, d):
 
     w = windowed_metrics(read(spark, d, "events"), "ts", ["event_type"], "value")
     return w.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("mean", 4).alias("mean"))
+
+
+from . import question_queries  # noqa: E402, F401  (registers its queries)

@@ -52,20 +52,35 @@ def spread(df, per_core: int = 2):
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; one of this machine only where none is set (tests)."""
+    """The folder the cluster names in spark.checkpoint.dir, else the one set on the context. A session on one machine without either gets
+    a temporary one; on a cluster that would be a folder of one machine, so it is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        sc = spark.sparkContext
+        current = sc._jsc.sc().getCheckpointDir()
         if current.isEmpty():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lexisift-"))
-            current = spark.sparkContext._jsc.sc().getCheckpointDir()
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            sc.setCheckpointDir(tempfile.mkdtemp(prefix="lexisift-"))
+            current = sc._jsc.sc().getCheckpointDir()
         named = current.get()
     return named.rstrip("/")
 
 
+_kept: set[str] = set()
+
+
 def durable(df):
     """The rows as a table written once to the shared folder and read again: lineage is cut, nothing is computed twice, and a lost
-    executor loses nothing. (A reliable checkpoint computes its input a second time.)"""
-    path = f"{shared_folder(df.sparkSession)}/lexisift/{uuid.uuid4().hex}"
+    executor loses nothing. (A reliable checkpoint computes its input a second time.) The table is written when this is called, so a
+    query that uses it works already while it is built. The application's tables are deleted when it ends."""
+    spark = df.sparkSession
+    app = spark.sparkContext.applicationId
+    folder = f"{shared_folder(spark)}/lexisift/{app}"
+    if app not in _kept:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.sc().hadoopConfiguration()).deleteOnExit(path)
+        _kept.add(app)
+    path = f"{folder}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return spark.read.parquet(path)

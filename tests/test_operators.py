@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexisift.operators import algebra, corpus, harness, latent, pairing, profiles, stats, transform, triples
+from lexisift.operators import algebra, builders, corpus, harness, latent, pairing, parsed, profiles, stats, transform, triples
+from lexisift.plans import rules as R
 from lexisift.sources import sinks, tables
 
 
@@ -62,9 +63,13 @@ def test_bootstrap(spark):
     v = list(np.random.default_rng(1).normal(size=50))
     df = spark.createDataFrame([("g", i, float(x)) for i, x in enumerate(v)] + [("s", 0, 2.0)], "g string, i int, v double")
     r = {x["g"]: x for x in stats.bootstrap_ci(df, ["g"], "v", "i").collect()}
-    rng = np.random.default_rng(42)
-    means = [rng.choice(np.array(v), size=50, replace=True).mean() for _ in range(2000)]
-    assert (r["g"]["lo"], r["g"]["hi"]) == pytest.approx(tuple(np.percentile(means, [2.5, 97.5])))
+    se = np.std(v) / np.sqrt(50)
+    assert r["g"]["mean"] == pytest.approx(np.mean(v)) and r["g"]["lo"] == pytest.approx(np.mean(v) - 1.96 * se, abs=0.25 * se) and r["g"]["hi"] == pytest.approx(np.mean(v) + 1.96 * se, abs=0.25 * se)
+    # one scheme: many buckets give an interval of the same kind
+    many = {x["g"]: x for x in stats.bootstrap_ci(df, ["g"], "v", per_bucket=7).collect()}
+    assert many["g"]["n"] == 50 and many["g"]["hi"] - many["g"]["lo"] == pytest.approx(r["g"]["hi"] - r["g"]["lo"], rel=0.15)
+    again = {x["g"]: x for x in stats.bootstrap_ci(df.repartition(5), ["g"], "v", per_bucket=7).collect()}
+    assert many["g"]["lo"] == pytest.approx(again["g"]["lo"])
     assert r["s"]["lo"] == r["s"]["hi"] == 2.0
 
 
@@ -108,7 +113,12 @@ def test_lexical_diversity_streams_as_defined(spark):
     flat = [w for t in docs for w in t]
     spans = [len(set(flat[i : i + 20])) / 20 for i in range(len(flat) - 19)]
     assert r["corpus_mattr"] == pytest.approx(sum(spans) / len(spans), abs=1e-4)
-    assert r["corpus_mtld"] == pytest.approx(corpus.mtld(flat), abs=1e-3)
+    few = corpus.corpus_mattr(corpus.numbered_tokens(df.select("g", "id", "t"), 3), 20, chunk=50).first()
+    assert few["mattr"] == pytest.approx(sum(spans) / len(spans))
+    # worked by hand: "a b a" falls to 2/3, and so does each further three tokens, in both directions; twelve tokens in four factors
+    hand = spark.createDataFrame([(1, "h", list("abaaba")), (2, "h", list("abaaba")), (3, "k", list("abcdefghij"))], "id int, g string, t array<string>")
+    m = {x["g"]: x["corpus_mtld"] for x in corpus.lexical_diversity(hand, "id", "g", F.col("t")).collect()}
+    assert m == {"h": 3.0, "k": 10.0}
 
 
 def test_intra_cosine_closed_form(spark):
@@ -124,7 +134,10 @@ def test_wasserstein_of_shift(spark):
     rng = np.random.default_rng(3)
     a = rng.normal(size=(300, 3))
     df = spark.createDataFrame([("a", [float(x) for x in r]) for r in a] + [("b", [float(x) for x in r]) for r in a], "g string, e array<double>")
-    assert corpus.sliced_wasserstein(df, "g", "e", slices=10).first()["wasserstein"] == 0.0
+    dirs = corpus.directions(10, 3)
+    assert corpus.sliced_wasserstein(df, "g", "e", dirs).first()["wasserstein"] == 0.0
+    moved = df.withColumn("e", F.when(F.col("g") == "b", F.transform("e", lambda x: x + 1.0)).otherwise(F.col("e")))
+    assert corpus.sliced_wasserstein(moved, "g", "e", dirs).first()["wasserstein"] == pytest.approx(float(np.abs(dirs.sum(1)).mean()), abs=2e-3)
 
 
 def pairs_fixture(spark):
@@ -195,8 +208,12 @@ VOC = triples.Vocabulary({"bank": "Bank", "central bank": "CentralBank", "capita
 def test_vocabulary():
     assert VOC.resolve("central bank") == ("CentralBank", 0.95)
     assert VOC.resolve("the big central banks") == ("CentralBank", 0.85)
-    assert VOC.resolve("the") == ("", 0.0) and VOC.resolve("of") == ("", 0.0)
-    assert VOC.resolve("odd thing") == ("OddThing", 0.40)
+    assert VOC.resolve("the") == ("the", 0.0) and VOC.resolve("of") == ("of", 0.0)
+    assert VOC.resolve("odd thing") == ("oddThing", 0.40)
+    short = triples.Vocabulary({"fee": "Fee", "rule": "Rule", "line": "Line"}, frozenset())
+    assert short.resolve("late fee") == ("lateFee", 0.40)  # words below four letters are no entity by themselves
+    assert short.resolve("two lines") == ("Line", 0.85)
+    assert triples.Vocabulary({"fees due": "Due", "bond": "Bond", "notes": "Notes"}).resolve("some Bond-like thing") == ("Bond", 0.85)
     assert [(s[2], s[3]) for s in VOC.spans("No central bank, but a bank")] == [("CentralBank", True), ("Bank", False)]
 
 
@@ -218,12 +235,115 @@ def test_algebra(spark):
     assert algebra.construct(sol, ("?x", "to", "?z")).count() == 2
 
 
-def test_transform(spark):
-    df = spark.createDataFrame([(1, "Is the landlord not allowed to keep the deposit?"), (2, "Who pays?"), (3, None), (4, "")], "i int, q string")
-    lf = transform.logical_form(df, "q", (("ASK", r"\ballowed\b"),), {"landlord": "Landlord", "deposit": "Deposit"}, {"allowed to": "permits"})
-    r = {x["i"]: x for x in transform.build_query(lf, "q", "qa", "https://example.org/").collect()}
-    assert r[1]["q_type"] == "POLAR" and r[1]["negated"] and "FILTER NOT EXISTS { ?e1 qa:permits ?e2 . }" in r[1]["query"] and "ASK {" in r[1]["query"]
-    assert r[2]["q_type"] == "WH_WHO" and "SELECT DISTINCT ?agent" in r[2]["query"] and r[3]["query"] is None and r[4]["query"] is None
+def described(spark, rows, entities, relations, properties=None, prefix="qa"):
+    df = spark.createDataFrame(rows, "i int, question string").withColumn("t", transform.folded(F.col("question")))
+    lf = transform.logical_form(df, "t", transform.first_label(F.col("t"), R.QUESTION_FORMS["telco"], "POLAR"), transform.first_label(F.col("t"), R.INTENTS["telco"], "SELECT_GENERAL"), entities, relations, properties or {}, R.FOCUS_BY_FORM["telco"], {}, "?answer")
+    return transform.description(lf.withColumns({"actions": transform.labels_found(F.col("t"), R.ACTIONS), "statuses": transform.status_indicators(F.col("t"), R.LIGHTS, R.COLOURS)}), prefix, "associatedWith", statuses="statuses")
+
+
+def test_templates_by_intent(spark):
+    voc, rel = {"router": "Router", "hub": "Hub", "modem": "Modem", "line": "Line", "plan": "Plan"}, {"work": "worksWith", "require": "requires", "need": "requires"}
+    rows = [
+        (1, "Is the router not compatible with the hub?"), (2, "Why is the router light blinking red?"), (3, "What are the requirements of every hub?"), (4, "When does my contract end?"), (5, "Can I cancel my contract?"),
+        (6, "How do I reset the modem?"), (7, "Is there a fault on the line?"), (8, "Tell me about the hub"), (9, "Show me all of the network"), (10, "What issues does the modem have"), (11, "Does the router require the hub and the line?"), (12, None), (13, "  "), (14, "Which router or hub?"),
+        (15, "I want to cancel my contract"), (16, "The hub and the plan, please"),
+    ]
+    q = {r["i"]: r for r in builders.dispatched(described(spark, rows, voc, rel), "question", "qa", builders.prefixes([("qa", "https://example.org/")])).collect()}
+    head = lambda i: q[i]["query"].split("#>\n")[-1]
+    assert q[1]["intent"] == "SELECT_COMPATIBILITY" and "FILTER NOT EXISTS { ?router qa:isIncompatibleWith ?hub . }" in q[1]["query"] and "SELECT DISTINCT ?router ?hub ?compatibilityStatus ?restriction" in q[1]["query"]
+    assert q[2]["intent"] == "SELECT_TROUBLESHOOT" and 'FILTER(STR(?si) = "light:blinking_red")' in q[2]["query"] and "?issue qa:hasCause ?cause ." in q[2]["query"] and q[2]["query"].rstrip().endswith("ORDER BY ?priority ?issue")
+    assert q[3]["intent"] == "SELECT_REQUIREMENTS" and 'FILTER(?isMandatory = "true"^^xsd:boolean)' in q[3]["query"]
+    assert q[4]["intent"] == "SELECT_ACCOUNT" and "?contract qa:hasContractEndDate ?date ." in q[4]["query"]
+    assert q[5]["intent"] == "ASK_BOOLEAN" and "ASK {" in q[5]["query"]
+    assert q[6]["intent"] == "SELECT_CONFIGURE" and "qa:hasConfigurationStep ?steps" in q[6]["query"]
+    assert q[7]["intent"] == "ASK_EXISTS" and "?line rdf:type qa:Line ." in q[7]["query"] and "SELECT" not in head(7).split("OPTIONAL")[0]
+    assert q[8]["intent"] == "DESCRIBE_ENTITY" and "DESCRIBE qa:Hub" in q[8]["query"]
+    assert q[9]["intent"] == "CONSTRUCT_GRAPH" and "CONSTRUCT {" in q[9]["query"] and q[10]["intent"] == "SELECT_ISSUES" and "qa:hasKnownIssue" in q[10]["query"]
+    assert q[11]["nary_kind"] == "PRECONDITION_CHAIN" and "# n-ary PRECONDITION_CHAIN" in q[11]["query"] and "?router qa:requires ?line ." in q[11]["query"]
+    assert q[12]["query"] is None and q[13]["query"] is None
+    assert "UNION" in q[14]["query"] and q[14]["classes"] == ["owl:unionOf(qa:Router)", "owl:unionOf(qa:Hub)"]
+    assert "?terminationFee" in q[15]["query"] and q[16]["intent"] == "SELECT_GENERAL" and "?hub qa:associatedWith ?plan ." in q[16]["query"]
+    run = builders.batch(spark.createDataFrame([("a", "x", "q1"), ("nan", "x", "q2"), (None, "x", "q3"), (" ", "x", "q4"), ("b", "x", None)], "question string, intent string, query string"), "question").collect()
+    assert [(r["question"], r["intent"]) for r in run] == [("a", "x"), ("b", "ERROR")]
+
+
+def test_properties_relations_and_context(spark):
+    df = spark.createDataFrame([(1, "The fee: 12.5% is not paid within 30 days, see section 4A(b)"), (2, None), (3, ""), (4, "Under [2019] NSWSC 12 in Queensland?"), (5, "Under [2019] NSWSC 12"), (6, "A Commonwealth rule")], "i int, question string").withColumn("t", transform.folded(F.col("question")))
+    df = transform.metadata(df, "question", R.METADATA)
+    got = {r["i"]: r for r in df.select("i", "sections", "days", transform.data_properties(F.col("t"), {"fee": "hasFee", "within": "hasPeriod"}, {"hasDays": F.col("days")}).alias("p"), transform.surface_relations(F.col("t"), {"paid": "pays"}).alias("r"), transform.jurisdiction(F.col("question"), F.col("t"), R.PLACES, R.COURTS, R.JURISDICTION_WORDS, "federal").alias("j")).collect()}
+    assert {(x["name"], x["value"]) for x in got[1]["p"]} == {("hasFee", "12.5%"), ("hasPeriod", "30"), ("hasDays", "30")} and got[1]["sections"] == ["4A(b)"]
+    assert [(x["name"], x["negated"]) for x in got[1]["r"]] == [("pays", True)]
+    assert got[2]["p"] in (None, []) and got[2]["j"] is None and got[3]["p"] == []
+    assert (got[4]["j"], got[5]["j"], got[6]["j"], got[1]["j"]) == ("nsw", "nsw", "commonwealth", "federal")  # a place counts wherever its name stands
+
+
+def sentence(*rows):
+    return [{"text": t, "lemma": m, "pos": p, "tag": "X", "dep": d, "head": h} for t, m, p, d, h in rows]
+
+
+BANKS = sentence(("The", "the", "DET", "det", 2), ("central", "central", "ADJ", "amod", 2), ("bank", "bank", "NOUN", "nsubj", 5), ("does", "do", "AUX", "aux", 5), ("not", "not", "PART", "neg", 5), ("hold", "hold", "VERB", "ROOT", 5), ("three", "three", "NUM", "nummod", 8), ("written", "write", "VERB", "amod", 8), ("loans", "loan", "NOUN", "dobj", 5), ("or", "or", "CCONJ", "cc", 8), ("bonds", "bond", "NOUN", "conj", 8))
+
+
+def test_tree_passes(spark):
+    voc = triples.Vocabulary({"bank": "Bank", "loans": "Loan", "bonds": "Bond"})
+    tree = parsed.Tree(BANKS)
+    assert list(parsed.verb_pass(tree, voc, {"hold": "holds"})) == [("Bank", "doesNotHolds", "Loan", 0.95, "verb", True)]
+    assert list(parsed.attribute_pass(tree, voc, {"written": "hasForm"}, frozenset({"written"}))) == [("Loan", "hasForm", '"written"', 0.807, "attribute", False)]
+    assert list(parsed.logical_pass(tree, voc)) == [("Loan", "owl:unionOf", "Bond", 0.95, "logical", False)]
+    assert list(parsed.general_pass(tree)) == [("ent:bank", "rel:neg_hold", "ent:loan", 0.70, "general", True)]
+    assert parsed.relations(BANKS, [("bank", "Bank"), ("loans", "Loan")], {"hold": "holds"}) == [("?bank", "holds", "?loan", True)]
+    df = spark.createDataFrame([("a", BANKS, [{"label": "ORG", "surface": "bank"}, {"label": "ODD", "surface": "x"}]), ("a", None, None), ("b", [], [])], f"g string, tokens {parsed.TOKENS}, ents {parsed.ENTS}")
+    f = parsed.syntax_features(df).collect()
+    assert f[0]["dep_tree_depth"] == 2 and f[0]["ne_ORG"] == 1 and f[0]["ne_count"] == 2 and f[0]["pos_NOUN"] == 27.27 and f[1]["dep_tree_depth"] == 0 and f[1]["ne_density"] == 0.0
+    assert {r["g"]: r["n"] for r in parsed.syntax_profiles(parsed.syntax_features(df), "g").collect()} == {"a": 2, "b": 1}
+    assert parsed.tree_triples(df, ["g"], {"bank": "Bank", "loans": "Loan"}, {"hold": "holds"}, {}, ("three",)).count() == 2
+    n = df.select(transform.ner_map(F.col("ents"), R.ENTITY_LABELS).alias("n")).first()["n"]
+    assert [(x["label"], x["class"], x["data_prop"]) for x in n] == [("ORG", "Organisation", None)]
+
+
+def test_terms_and_filters(spark):
+    t = spark.createDataFrame([("a", '"x \\"y\\""@en'), ("b", '"5"^^xsd:integer'), ("c", "<https://e.org/1>"), ("d", "ex:1"), ("e", '"z"')], "s string, o string")
+    got = {r["s"]: tuple(r)[1:] for r in t.select("s", algebra.string(F.col("o")), algebra.lang(F.col("o")), algebra.datatype(F.col("o")), algebra.expanded(F.col("o"), {"ex": "https://e.org/"})).collect()}
+    assert got["a"][:3] == ('x "y"', "en", "xsd:string") and got["b"][:3] == ("5", "", "xsd:integer") and got["c"][:3] == ("https://e.org/1", "", None) and got["d"][3] == "<https://e.org/1>" and got["e"][:3] == ("z", "", "xsd:string")
+    assert algebra.minus(t.select("s"), t.select("o")).count() == 5 and algebra.minus(t, t.filter("s = 'a'").select("s")).count() == 4
+    assert t.select(algebra.blank(F.col("s"))).distinct().count() == 5
+
+
+def test_percentiles_and_tails(spark):
+    rng = random.Random(12)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([rng.gauss(0, 1), 1.5, float("nan"), None])) for _ in range(3000)] + [("one", 7.0), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    qs = {"p0": 0.0, "q1": 0.25, "mid": 0.5, "q3": 0.75, "p1": 1.0}
+    got = {r["g"]: r for r in stats.percentiles(df, ["g"], ["x"], qs).collect()}
+    for g in ("a", "b", None, "one"):
+        v = [x for k, x in rows if k == g and x is not None and x == x]
+        assert [got[g][f"x_{k}"] for k in qs] == pytest.approx([float(np.percentile(v, 100 * q)) for q in qs.values()])
+    assert "none" not in got and stats.percentiles(df.limit(0), ["g"], ["x"], qs).count() == 0
+    from lexisift.functions.stats import chi2_tail
+
+    want = {(3.84, 1): 0.05, (5.99, 2): 0.05, (7.815, 3): 0.05, (18.307, 10): 0.05, (30.578, 15): 0.01, (0.0, 4): 1.0}
+    d = spark.createDataFrame([(x, k, p) for (x, k), p in want.items()], "x double, k int, p double")
+    assert all(r["got"] == pytest.approx(r["p"], abs=1e-3) for r in d.withColumn("got", chi2_tail(F.col("x"), F.col("k"))).collect())
+
+
+def test_footers_and_limits(spark):
+    cells = spark.createDataFrame([("sparql", "d", "m1", 60.0), ("nlq_cot", "d", "m1", 50.0), ("sparql_cot", "d", "m1", None), ("sparql", "d", "m2", 40.0)], "method string, domain string, model string, recall_win_rate double")
+    r = pairing.rate_footer(cells).first()
+    assert (r["sparql"], r["nlq_cot"], r["sparql_cot"], r["adv_1"], r["adv_2"]) == (50.0, 50.0, None, 10.0, None)
+    s = spark.createDataFrame([("TelcoQA", -10.0, 5.0), ("zeta", None, None), ("LegalQA", 1.0, 2.0)], "domain string, lo double, hi double")
+    assert {x["domain"]: x["high"] for x in latent.plot_limits(s).collect()} == {"TelcoQA": 15.2, "zeta": 30.0, "LegalQA": 5.44}
+    assert [x["domain"] for x in s.orderBy(*latent.domain_order(F.col("domain"))).collect()] == ["TelcoQA", "LegalQA", "zeta"]
+
+
+def test_counts_against_references(spark):
+    r = spark.createDataFrame([(1, "q1", "nlq", "a b c d"), (1, "q1", "cot", "nan"), (2, "q2", "nlq", "e f"), (3, None, "nlq", None)], "id int, q string, m string, text string")
+    t = spark.createDataFrame([(1, "nlq", 0.95), (1, "nlq", 0.7), (1, "cot", 0.9)], "id int, m string, confidence double")
+    g = spark.createDataFrame([("q1",)] * 4, "q string")
+    got = {(x["id"], x["m"]): x for x in triples.density_by_method(r, ["id"], "m", "text", t, g, "q").collect()}
+    assert (got[1, "nlq"]["triple_count_c"], got[1, "nlq"]["ratio_c_over_g"], got[1, "nlq"]["kd"]) == (2, 0.5, 0.25)
+    assert got[1, "cot"]["missing"] and got[1, "cot"]["triple_count_c"] == 0 and got[2, "nlq"]["ratio_c_over_g"] is None and len(got) == 4
+    n = triples.numbered(spark.createDataFrame([(i, None if i % 3 else f" k{i} ") for i in range(50)], "i int, k string"), "k", ["i"], "out", buckets=7).orderBy("i").collect()
+    assert [x["out"] for x in n] == [str(i + 1) if i % 3 else f"k{i}" for i in range(50)]
 
 
 def test_sources_and_sinks(spark, tmp_path):
