@@ -1,7 +1,8 @@
 """Problem 6: markup residue. Texts become clean text that keeps headings, lists, code and formulas.
 
-A value is cut into blocks, each with the path of its container (tags with classes, digits generalised). Blocks are scored like the
-containers of a page; the paths of a host's values are voted on in Spark, and values are extracted again along the winning paths.
+A value is cut into containers of all kinds, each with its generalised path: tags with classes for HTML, the block or span for Markdown,
+wiki text and LaTeX. Containers are scored by the text they hold; the paths of a host's values are voted on in Spark. Winning paths
+decide which kinds of markup a value carries, and values are extracted again along them.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_empty, spec, spread
+from .common import durable, is_empty, spec, spread
 
 KINDS = ("html", "markdown", "wiki", "latex")
 # Element names of HTML, and the commands and environments of LaTeX that text uses.
@@ -129,7 +130,7 @@ class _Blocks(HTMLParser):
         if tag in self.VOID:
             return
         name = dict(attrs).get("class") or ""
-        label = tag + "".join("." + re.sub(r"\d+", "0", c) for c in sorted((name or "").split())[:3])
+        label = tag + "".join("." + re.sub(r"\d+", "0", c) for c in sorted((name or "").split()))
         self.stack.append(label)
         if tag == "a":
             self.in_link += 1
@@ -231,8 +232,9 @@ def _latex_text(t: str) -> str:
     t = re.sub(r"\\begin\{[^{}]*\}(?:\[[^\]]*\])?|\\end\{[^{}]*\}", "", t)
     t = re.sub(r"\\item(?:\[[^\]]*\])?[ \t]*", "- ", t)
     t = re.sub(r"\\footnote\{([^{}]*)\}", r" (\1)", t)
-    for _ in range(4):
-        t = re.sub(r"\\(?:text\w+|emph|underline|mbox|caption|title|author|url)\*?\{([^{}]*)\}", r"\1", t)
+    n = 1
+    while n:  # from the inside out, as deep as they nest
+        t, n = re.subn(r"\\(?:text\w+|emph|underline|mbox|caption|title|author|url)\*?\{([^{}]*)\}", r"\1", t)
     t = re.sub(r"\\(?:label|ref|cite\w*|usepackage|documentclass|vspace|hspace|bibliography)\*?(?:\[[^\]]*\])?\{[^{}]*\}", "", t)
     t = re.sub(r"\\([%&#_$])", r"\1", t)
     return re.sub("\x00(\\d+)\x00", lambda m: kept[int(m.group(1))], t)
@@ -251,9 +253,11 @@ def _markdown_text(t: str) -> str:
     t = re.sub(r"(?m)^([^\n|]*\w[^\n|]*)\n-{3,}[ \t]*$", r"## \1", t)
     t = re.sub(_MD_TABLE.pattern + r"\n?", "", t)
     t = re.sub(r"!?\[([^\[\]\n]+)\]\([^()\n]*\)", r"\1", t)
-    for _ in range(2):
-        t = re.sub(r"(\*\*|__)(?=[^\s*_])(.+?)(?<=[^\s*_])\1", r"\2", t)
-        t = re.sub(r"(?<![\w*])\*(?=[^\s*])([^\n]*?)(?<=[^\s*])\*(?![\w*])", r"\1", t)
+    n = 1
+    while n:
+        t, n = re.subn(r"(\*\*|__)(?=[^\s*_])(.+?)(?<=[^\s*_])\1", r"\2", t)
+        t, m = re.subn(r"(?<![\w*])\*(?=[^\s*])([^\n]*?)(?<=[^\s*])\*(?![\w*])", r"\1", t)
+        n += m
     t = re.sub(r"(?<![\w_])_(?=[^\s_])([^_\n]*?)(?<=[^\s_])_(?![\w_])", r"\1", t)
     t = re.sub(r"~~([^~\n]+)~~", r"\1", t)
     t = re.sub(r"(?m)^>[ \t]?", "", t)
@@ -275,59 +279,98 @@ def clean(text: str, kinds: list[str], losing: frozenset = frozenset()) -> str:
     return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+(?=\n|$)", "", t)).strip()
 
 
-def path_votes(values: DataFrame, host: str, value: str = "value") -> DataFrame:
-    """(host, path, votes, score): for each generalised path of a host the number of values that have it and its mean container score,
-    text length less twice the length in links, below zero for boilerplate. Votes are added up per partition before the shuffle."""
+# Constructs other than HTML containers by path: the pattern whose find is the container, in the text without answer tags.
+_CONSTRUCTS = (
+    ("markdown/fence", _FENCE), ("markdown/code", _CODE_SPAN), ("markdown/heading", _MD_HEAD), ("markdown/underlined", _MD_SETEXT), ("markdown/strong", _MD_STRONG), ("markdown/strike", _MD_STRIKE), ("markdown/link", _MD_LINK),
+    ("markdown/table", _MD_TABLE), ("markdown/task", _MD_TASK), ("markdown/rule", _MD_RULE), ("markdown/quote", _MD_QUOTE), ("markdown/emphasis", _MD_EM), ("markdown/cut", _MD_CUT),
+    ("wiki/heading", _WIKI_HEAD), ("wiki/heading_cut", _WIKI_HEAD_CUT), ("wiki/link", _WIKI_LINK), ("wiki/template", _WIKI_TEMPLATE), ("wiki/table", _WIKI_TABLE), ("wiki/quotes", _WIKI_QUOTES), ("wiki/quotes_cut", _WIKI_QUOTES_CUT), ("wiki/other", _WIKI_OTHER),
+    ("latex/command", _LATEX), ("latex/brace", _LATEX_BRACE), ("latex/math", _MATH),
+)
+#: Constructs that hold no text of their own but mark what stands beside them.
+_BARE = ("markdown/fence", "markdown/table", "markdown/rule", "markdown/cut", "wiki/table", "wiki/other", "latex/command", "latex/brace", "latex/math", "html/entity", "html/cut")
+_INK = re.compile(r"[^\W_]")
+
+
+def containers(text: str) -> list[tuple[str, float]]:
+    """(path, score) of the containers of a value: the characters of text in containers of that path, less twice those in links. A mark that
+    holds no text scores 1, a container that should hold some and doesn't -1."""
+    kinds = kinds_of(text)
+    if not kinds:
+        return []
+    t = _ANSWER_TAG.sub(" ", text)
+    found: dict[str, float] = defaultdict(float)
+    if "html" in kinds:
+        for path, body, linked in blocks(text):
+            if path:
+                found["html/" + path] += len(body) - 2 * linked
+        if not found:
+            found["html/entity" if _ENTITY.search(t) else "html/cut"] = 1.0
+    for path, pattern in _CONSTRUCTS:
+        if path.split("/")[0] in kinds:
+            for m in pattern.finditer(t):
+                found[path] += 1.0 if path in _BARE else len(_INK.findall(m.group())) or -1.0
+    return list(found.items())
+
+
+def value_paths(values: DataFrame, keys: list[str], host: str, value: str = "value") -> DataFrame:
+    """(keys, host, paths): the containers of each value that has any, read once. host is empty for null."""
+    src = spread(values.select(*keys, F.coalesce(F.col(host).cast("string"), F.lit("")).alias("_host"), value))
+    head, k = spec(src, keys), len(keys)
+    kind = pa.list_(pa.struct([("path", pa.string()), ("score", pa.float64())]))
 
     def run(batches):
-        tally: dict = defaultdict(lambda: [0, 0.0])
         for b in batches:
-            for h, v in zip(b.column(0).to_pylist(), b.column(1)):
-                text = v.as_py()
-                if not text or "<" not in text or not _TAG.search(text):
-                    continue
-                seen: dict = defaultdict(float)
-                for path, body, linked in blocks(text):
-                    if path:
-                        seen[path] += len(body) - 2 * linked
-                for path, score in seen.items():
-                    x = tally[h, path]
-                    x[0] += 1
-                    x[1] += score
-            if len(tally) > 50_000:
-                yield _votes(tally)
-                tally.clear()
-        yield _votes(tally)
-
-    def _votes(tally):
-        rows = [(h, p, n, s) for (h, p), (n, s) in tally.items()]
-        cols = list(zip(*rows)) or [[], [], [], []]
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.float64())], ["host", "path", "votes", "score"])
-
-    v = spread(values.select(F.col(host).cast("string").alias("host"), value)).mapInArrow(run, "host string, path string, votes bigint, score double")
-    return v.groupBy("host", "path").agg(F.sum("votes").alias("votes"), (F.sum("score") / F.sum("votes")).alias("score"))
-
-
-def extract(values: DataFrame, keys: list[str], host: str = "model", value: str = "value", least_votes: int = 3) -> DataFrame:
-    """(keys, kinds, clean_text) of the values that carry markup. A path loses for its host if its mean score is below zero in at
-    least least_votes values; text of all other paths is kept. Empty values are none."""
-    real = values.filter(~is_empty(F.col(value))).filter(functools.reduce(lambda a, c: a | F.contains(F.col(value), F.lit(c)), MARKS, F.lit(False)))
-    losing = path_votes(real, host, value).filter((F.col("votes") >= least_votes) & (F.col("score") < 0)).groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("_losing"))
-    j = spread(real.select(*keys, F.col(host).cast("string").alias("host"), F.col(value).alias("_v"))).join(losing, "host", "left")
-    src = j.select(*keys, "_v", "_losing")
-    head = spec(src, keys)
+            got = [containers(v.as_py()) for v in b.column(k + 1)]
+            at = pa.array([i for i, x in enumerate(got) if x], pa.int32())
+            rows = pa.array([[{"path": p, "score": s} for p, s in x] for x in got if x], kind)
+            yield pa.RecordBatch.from_arrays([*[c.take(at) for c in b.columns[: k + 1]], rows], [*keys, "_host", "paths"])
+
+    return src.mapInArrow(run, f"{head}, _host string, paths array<struct<path:string,score:double>>")
+
+
+def path_votes(paths: DataFrame) -> DataFrame:
+    """(host, path, votes, against, wins): each value votes for a path of its host if the path's containers hold more text than links in it,
+    else against it. A path wins unless most votes are against it. Votes are added up per partition before the shuffle."""
+    p = paths.select(F.col("_host").alias("host"), F.explode("paths").alias("p")).select("host", "p.path", "p.score")
+    v = p.groupBy("host", "path").agg(F.count("*").alias("votes"), F.count_if(F.col("score") < 0).alias("against"))
+    return v.withColumn("wins", 2 * F.col("against") <= F.col("votes"))
+
+
+def verdicts(paths: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, kinds, losing): per value the kinds of its winning paths, in the order of KINDS, and its own losing paths. HTML whose containers
+    all lost is boilerplate: its text goes, its kind stays. A losing path of another kind is no markup.
+
+    Only paths are shuffled. The votes hold one row per host and path; a hot path's rows are split by adaptive execution."""
+    rows = paths.select(*keys, F.col("_host").alias("host"), F.explode("paths.path").alias("path"))
+    lost = path_votes(paths).filter(~F.col("wins")).select("host", "path", F.lit(True).alias("lost"))
+    judged = rows.join(lost, ["host", "path"], "left").withColumn("kind", F.substring_index("path", "/", 1))
+    counts = (F.col("kind") == "html") | F.col("lost").isNull()
+    by = judged.groupBy(*keys).agg(F.collect_set(F.when(counts, F.col("kind"))).alias("_k"), F.collect_set(F.when(F.col("lost") & (F.col("kind") == "html"), F.substring("path", 6, 1 << 20))).alias("losing"))
+    return by.select(*keys, F.filter(F.array(*[F.lit(k) for k in KINDS]), lambda k: F.array_contains("_k", k)).alias("kinds"), "losing").filter(F.size("kinds") > 0)
+
+
+def marked(values: DataFrame, value: str = "value") -> DataFrame:
+    """The values that are not empty and hold a sign that markup cannot do without."""
+    some = functools.reduce(lambda a, c: a | F.contains(F.col(value), F.lit(c)), MARKS, F.lit(False))
+    return values.filter(some).filter(~is_empty(F.col(value)))
+
+
+def kinds_found(values: DataFrame, keys: list[str], host: str = "model", value: str = "value") -> DataFrame:
+    """(keys, kinds) of the values that carry markup, by the winning paths of their hosts. Texts are read once and not shuffled."""
+    return verdicts(durable(value_paths(marked(values, value), keys, host, value)), keys).select(*keys, "kinds")
+
+
+def extract(values: DataFrame, keys: list[str], host: str = "model", value: str = "value") -> DataFrame:
+    """(keys, kinds, clean_text) of the values that carry markup; text of losing containers is left out. Empty values are none. keys must
+    tell values apart."""
+    real = marked(values, value)
+    found = verdicts(durable(value_paths(real, keys, host, value)), keys)
+    src = real.select(*keys, F.col(value).alias("_v")).join(found, keys).select(*keys, "kinds", "losing", "_v")
+    head, k = spec(src, keys), len(keys)
 
     def run(batches):
         for b in batches:
-            keep, kinds, out = [], [], []
-            for i, (v, lose) in enumerate(zip(b.column(len(keys)), b.column(len(keys) + 1))):
-                text = v.as_py()
-                ks = kinds_of(text)
-                if ks:
-                    keep.append(i)
-                    kinds.append(ks)
-                    out.append(clean(text, ks, frozenset(lose.as_py() or ())))
-            at = pa.array(keep, pa.int32())
-            yield pa.RecordBatch.from_arrays([*[c.take(at) for c in b.columns[: len(keys)]], pa.array(kinds, pa.list_(pa.string())), pa.array(out, pa.string())], [*keys, "kinds", "clean_text"])
+            out = [clean(v, ks, frozenset(lose)) for ks, lose, v in zip(*[b.column(k + i).to_pylist() for i in range(3)])]
+            yield pa.RecordBatch.from_arrays([*b.columns[: k + 1], pa.array(out, pa.string())], [*keys, "kinds", "clean_text"])
 
     return src.mapInArrow(run, f"{head}, kinds array<string>, clean_text string")

@@ -41,7 +41,8 @@ def p3_repetition(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return p3_repetition(spark, d).filter("failed").select("resp_id", "field")
+    """Response values that repeat themselves, by their own share and, near the threshold, by the verdict on their host."""
+    return p3_repetition(spark, d).filter("degenerate").select("resp_id", "field")
 
 
 def _broken(spark: SparkSession, d: str, fields) -> DataFrame:
@@ -83,7 +84,8 @@ def p6_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return p6_clean(spark, d).select("resp_id", "field", F.explode("kinds").alias("kind"))
+    """Kinds of markup of every response value that carries any: those of the winning container paths of its host (model)."""
+    return markup.kinds_found(response_values(spark, d), ["resp_id", "field"]).select("resp_id", "field", F.explode("kinds").alias("kind"))
 
 
 def p7_pairs(spark: SparkSession, d: str) -> DataFrame:

@@ -111,10 +111,15 @@ def host_verdicts(rows: DataFrame, host: list[str], failed: str) -> DataFrame:
     return rows.join(rated, host)
 
 
+NEAR = 0.03  # a share so little below the threshold is left to the host's verdict
+
+
 def repetition(values: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """(resp_id, field, model, units, repeated, share, failed, host_n, host_failed, host_rate, host_verdict) of the values that are not
-    empty; the host of a value is its model and field."""
+    """(resp_id, field, model, units, repeated, share, failed, degenerate, host_n, host_failed, host_rate, host_verdict) of the values that
+    are not empty; the host of a value is its model and field. failed: its own share reaches the threshold. degenerate: it failed, or
+    lies less than NEAR below the threshold and its host, by the shrunk rate of failures, is bad."""
     real = values.filter(~is_empty(F.col("value")))
     rows = shares(real, ["resp_id", "field", "model"]).withColumn("failed", (F.col("units") > 0) & (F.col("share") >= threshold))
     rows = rows.withColumn("model", F.coalesce("model", F.lit("")))
-    return host_verdicts(durable(rows), ["model", "field"], "failed")
+    judged = host_verdicts(durable(rows), ["model", "field"], "failed")
+    return judged.withColumn("degenerate", F.col("failed") | ((F.col("units") > 0) & (F.col("share") >= threshold - NEAR) & (F.col("host_verdict") == "bad")))

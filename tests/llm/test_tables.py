@@ -162,6 +162,18 @@ def test_extract_votes_out_boilerplate(spark):
     assert len(got) == 10 and all("Home" not in r["clean_text"] and "The rule holds" in r["clean_text"] and r["kinds"] == ["html"] for r in got)
 
 
+def test_kinds_come_from_winning_paths(spark):
+    rows = ["# Title\n\nThe rule holds.", "see [[Help:X|x]] and == T ==", "**bold** move", "a &amp; b", "plain text", None, "n/a", '<nav class="m 1"><a href="x">Home</a></nav>', "$$x^2$$ is it"]
+    v = values_table(spark, rows)
+    got = {r["resp_id"]: r["kinds"] for r in markup.kinds_found(v, ["resp_id", "field"]).collect()}
+    assert got == {0: ["markdown"], 1: ["wiki"], 2: ["markdown"], 3: ["html"], 7: ["html"], 8: ["latex"]}
+    p = spark.createDataFrame([(i, "h", [("markdown/strong", -1.0 if i < 3 else 5.0), ("html/div", 9.0)]) for i in range(4)] + [(9, "g", [("markdown/strong", 4.0)])], "k int, _host string, paths array<struct<path:string,score:double>>")
+    assert {(r["host"], r["path"]): r["wins"] for r in markup.path_votes(p).collect()} == {("h", "markdown/strong"): False, ("h", "html/div"): True, ("g", "markdown/strong"): True}
+    assert {r["k"]: r["kinds"] for r in markup.verdicts(p, ["k"]).collect()} == {0: ["html"], 1: ["html"], 2: ["html"], 3: ["html"], 9: ["markdown"]}
+    clean = {r["resp_id"]: r["clean_text"] for r in markup.extract(v, ["resp_id", "field"]).collect()}
+    assert clean[7] == "" and clean[2] == "bold move" and set(clean) == set(got)
+
+
 def test_defects_table(spark):
     v = values_table(spark, ["Yes.", None, "ERROR: x", "I cannot help with this request."]).withColumn("question", F.when(F.col("resp_id") == 0, " ").otherwise("When does it end?"))
     cut = v.select("resp_id", "field", F.lit(True).alias("truncated")).limit(0)
