@@ -20,6 +20,7 @@ from .common import spread
 
 # Single-byte and double-byte encodings that UTF-8 is read as, and pairs of legacy encodings.
 UTF8_READERS = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1250", "iso8859-15", "cp1254", "cp1251", "koi8-r", "cp866", "mac_cyrillic", "cp874", "gb18030", "shift_jis", "big5", "euc_kr")
+LEADS = (0xE3, 0xE4, 0xE5, 0xE6, 0xE7, 0xE8, 0xE9, 0xEF)  # first bytes of kana, ideographs and wide signs in UTF-8
 DOUBLE_READERS = ("gb18030", "shift_jis", "big5", "euc_kr")
 CYRILLIC_READERS = ("cp1251", "koi8-r", "cp866", "mac_cyrillic")
 LEGACY_PAIRS = (
@@ -109,22 +110,47 @@ class Garbled:
                 if g and g != c and len(g) > 1:
                     pairs.setdefault(g, set()).add(("utf-8", enc))
         # double-byte readers: the bytes of neighbouring characters mix, so sequences of two read characters are needed
-        common = [c for c in alphabet if ord(c) > 0x7FF and not 0x2000 <= ord(c) < 0x3000 and ord(c) < 0x10000]
-        leads = (0xE3, 0xE4, 0xE5, 0xE6, 0xE7, 0xE8, 0xE9, 0xEF, 0x20, 0x30, 0x0A)
-        for enc in ("gb18030",):
-            for c in common:
-                b = c.encode("utf-8")
-                for lead in leads:
-                    g = _decode(b + bytes([lead]), enc) if lead >= 0x80 else None
-                    if g and len(g) == 2 and all(ord(x) > 0x7F for x in g):
-                        pairs.setdefault(g, set()).add(("utf-8", enc))
+        # (three bytes and the lead of the next character of the same script make two read characters)
+        wide = [c for c in alphabet if 0x7FF < ord(c) < 0x10000 and not 0x2000 <= ord(c) < 0x3000]
+        letters: dict[str, tuple] = {}  # pairs of ideographs, syllables or letters: never sure by themselves
+        heads: dict[bytes, set[int]] = {}
+        for c in wide:
+            b = c.encode("utf-8")
+            heads.setdefault(b[:2], set()).add(b[2])
+        for enc in DOUBLE_READERS:
+            one = lambda data: g if (g := _decode(data, enc)) and len(g) == 1 and ord(g) > 0x7F else None  # noqa: B023, E731
+            ends = {(last, lead): g for last in range(0x80, 0xC0) for lead in (0xE0, *LEADS) if (g := one(bytes([last, lead])))}
+            name = ("utf-8", enc)
+            for head, lasts in heads.items():
+                first = one(head)
+                if first is None:
+                    continue  # the reader takes these bytes apart or has lost them
+                for last in lasts:
+                    for lead in LEADS if head[0] > 0xE1 else (head[0],):
+                        g = ends.get((last, lead))
+                        if g is None:
+                            continue
+                        if ("\u3400" <= first < "\uac00" or "\u3400" <= g < "\uac00") and first.isalpha() and g.isalpha():
+                            known = letters.get(first + g, ())
+                            letters[first + g] = known if name in known else (*known, name)
+                        else:
+                            pairs.setdefault(first + g, set()).add(name)
+            # two bytes are one read character: Cyrillic and Greek letters in threes, as one alone may be a word
+            for block in ("абвгдежзийклмнопрстуфхцчшщъыьэюяАБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψως"):
+                read = {c: g for c in block if (g := _decode(c.encode("utf-8"), enc)) and len(g) == 1}
+                for a in read:
+                    for b in read:
+                        pairs.setdefault(read[a] + read[b], set()).add(("utf-8", enc))
         self.alphabet = frozenset(alphabet) | frozenset(map(chr, range(0x386, 0x3CF)))
         self.high_run = re.compile(r"[^\x00-\x7f]+")
         self.automaton = ahocorasick.Automaton()
         for g, ps in pairs.items():
             if one_script(g):
                 continue  # clean text of that script is full of such sequences
+            ps.update(letters.pop(g, ()))
             self.automaton.add_word(g, (len(g), tuple(sorted(ps)), self._strong(g)))
+        for g, ps in letters.items():
+            self.automaton.add_word(g, (2, tuple(sorted(ps)), False))
         self.automaton.make_automaton()
         shown = r"[\s\"'“”‘’«»„()\[\]:]*"
         self.before = re.compile(SHOWN_BEFORE + shown + "$", re.I)

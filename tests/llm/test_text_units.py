@@ -218,6 +218,14 @@ def test_utf8_read_as_double_byte_text():
         assert encoding.repair(clean)[0] is False
 
 
+@pytest.mark.parametrize("enc", encoding.DOUBLE_READERS)
+@pytest.mark.parametrize("text", ["Договор действует до конца года", "银行应将客户文件保存很多年", "契約書を確認してください。", "ทนายความต้องแจ้งผู้เช่า", "किराया समय पर देना होगा"])
+def test_every_double_byte_reader_is_found(text, enc):
+    assert encoding.repair("Note: " + text.encode().decode(enc, "replace") + " and more")[0]
+    assert encoding.repair("Note: " + text + " and more")[0] is False
+    assert any(("utf-8", enc) in ps for _, (_, ps, _) in encoding.garbled().automaton.iter(text.encode().decode(enc, "replace"))) or len(text.encode().decode(enc, "replace").strip("\ufffd")) == 0 or enc != "gb18030"
+
+
 @pytest.mark.parametrize("text", [None, "", "plain", "NÃO É PERMITIDA A CESSÃO", "São Tomé, Ångström, ÂGE, CÔTÉ", "the sequence â€™ in old exports stands for an apostrophe", "It prints “Ã©” wherever an é should be", "Tree: ├── a └── b", "the portal showed a \ufffd sign", "Комиссия не взимается, если срок был соблюдён.", "ผู้ค้ำประกันต้องรับผิดชอบ", "如果按时付款，则不收取任何罚金。", "«СССР»"])
 def test_clean_text_stays(text):
     assert encoding.repair(text)[0] is False
