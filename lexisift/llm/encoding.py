@@ -136,7 +136,7 @@ class Garbled:
                         else:
                             pairs.setdefault(first + g, set()).add(name)
             # two bytes are one read character: Cyrillic and Greek letters in threes, as one alone may be a word
-            for block in ("абвгдежзийклмнопрстуфхцчшщъыьэюяАБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψως"):
+            for block in ("абвгдежзийклмнопрстуфхцчшщъыьэюяАБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψωςάέήίόύώϊϋΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"):
                 read = {c: g for c in block if (g := _decode(c.encode("utf-8"), enc)) and len(g) == 1}
                 for a in read:
                     for b in read:
@@ -467,7 +467,9 @@ def repair(text: str | None) -> tuple[bool, str | None, str | None]:
             cover = lambda x: sum(max(0, min(x[1], f[1]) - max(x[0], f[0])) for f in found)
             legacy = [x for x in legacy if cover(x) < 0.8 * (x[1] - x[0])]
             found = [f for f in found if not any(f[0] < x[1] and x[0] < f[1] for x in legacy)]
-        found += [x for x in g.double_spans(cur) if not any(f[0] < x[1] and x[0] < f[1] for f in found + legacy)]
+        doubles = g.double_spans(cur)  # a whole run that is UTF-8 goes before finds inside it
+        found = [f for f in found if f[2][0][1] not in DOUBLE_READERS or not any(x[0] <= f[0] and f[1] <= x[1] for x in doubles)]
+        found += [x for x in doubles if not any(f[0] < x[1] and x[0] < f[1] for f in found + legacy)]
         spans = found + legacy
         if not spans:
             break
