@@ -30,7 +30,7 @@ def term_scores(records: DataFrame, id_col: str, text_col: str) -> DataFrame:
     src = records.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     total = src.agg(F.count("*").alias("n"))
     tf = src.select("id", F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    df = tf.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))  # reads the same columns, so the counts are shuffled once
     weight = (F.lit(SINGLE) + F.log("tf")) * F.log((F.lit(1.0) + F.col("n")) / (F.lit(1.0) + F.col("df")))
     scored = tf.join(df, "term").crossJoin(F.broadcast(total)).withColumn("w", weight)
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
