@@ -1,7 +1,7 @@
 """Problem 2: sentence boundaries with a hidden-event n-gram language model.
 
 Text becomes a stream of symbols. At every place where a sentence might end (after terminators with their closing marks, at line
-ends, at spaces of Thai) a hidden event, boundary or none, stands between two symbols. An n-gram model with back-off, estimated
+ends, at spaces of Thai; in texts without any such mark between all words) a hidden event, boundary or none, stands between two symbols. An n-gram model with back-off, estimated
 from labelled text, gives the probability of symbols and events; forward-backward sums over all event sequences and gives the
 posterior of each boundary.
 """
@@ -311,13 +311,63 @@ def model() -> HiddenEventModel:
     return m
 
 
+_PLAIN = regex.compile(r"\S+")
+_CLOSING = regex.compile(r"[.!?…。！？।|]+[\"'”’»)\]」』]*$|[,;:]$")
+SURE = 0.9  # posterior of a boundary between words without a mark; below it the words are read as one sentence
+_COMMON_LEAST = 2  # times that a word stands in the training text to be a symbol of its own
+
+
+@functools.lru_cache(1)
+def _common() -> frozenset:
+    n = Counter(w for block in SEED.values() for line in block.split("\n") for w in (x.lower().strip("“”\"'«»„(),.;:!?…") for x in line.split()) if w)
+    return frozenset(w for w, c in n.items() if c >= _COMMON_LEAST)
+
+
+def _word(w: str) -> str:
+    """Symbol of a word: itself if it is common, else its shape; a capital goes before it."""
+    low = w.lower()
+    if low in _common():
+        return ("^" if w[:1].isupper() else "") + low
+    c = w[:1]
+    return "num" if c.isdigit() else "han" if "\u3040" <= c <= "\u9fff" else "upper" if c.isupper() else "lower" if c.islower() else "caseless" if c.isalpha() else "sign"
+
+
+def word_candidates(text: str) -> list[dict]:
+    """Every place between two words, for texts without marks."""
+    words = list(_PLAIN.finditer(text))
+    return [{"end": a.end(), "sym": ("word", _word(a.group()), ""), "nxt": ("sp", _word(b.group()), ""), "gap": 1} for a, b in zip(words, words[1:])]
+
+
+@functools.lru_cache(1)
+def word_model() -> HiddenEventModel:
+    """The model of boundaries between words, estimated from the labelled sentences without their final marks, in either case."""
+    rng, m = random.Random(13), HiddenEventModel()
+    for lang, block in SEED.items():
+        lines = [_CLOSING.sub("", x) for x in block.split("\n") if x]
+        for _ in range(30):
+            text, truth, small = "", set(), rng.random() < 0.4
+            for x in rng.sample(lines, len(lines)):
+                text += (" " if text else "") + (x.lower() if small else x)
+                truth.add(len(text))
+            m.learn(word_candidates(text), truth)
+    return m
+
+
+def _events(text: str) -> tuple[list[dict], list[float]]:
+    cands = candidates(text)
+    whole = len(text.rstrip())
+    if any(c["end"] < whole or c["sym"][0] not in ("gap",) for c in cands):
+        return cands, model().posteriors(cands)
+    cands = word_candidates(text)
+    return cands, [p if p > SURE else 0.0 for p in word_model().posteriors(cands)]
+
+
 def sentence_ends(text: str | None) -> list[tuple[int, int, float]]:
     """(start, end, posterior) of each sentence: code points counted from 1, end inclusive, without surrounding white space. A rest
     without a final mark is a sentence. Null, empty and blank texts have none."""
     if not text or not text.strip():
         return []
-    cands = candidates(text)
-    post = model().posteriors(cands)
+    cands, post = _events(text)
     out, at = [], 0
     whole = len(text.rstrip())
     for c, p in zip(cands, post):

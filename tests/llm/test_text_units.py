@@ -34,6 +34,16 @@ def test_sentences(parts):
     assert ends(text) == want
 
 
+def test_sentences_without_marks():
+    parts = lambda t: [t[a - 1 : b] for a, b, _ in sentences.sentence_ends(t)]
+    assert parts("the committee met on tuesday nobody had read the minutes we spoke to the tenant about it") == ["the committee met on tuesday", "nobody had read the minutes", "we spoke to the tenant about it"]
+    assert parts("银行应将文件保存很多年 新规定自五月一日起生效 没有人来") == ["银行应将文件保存很多年", "新规定自五月一日起生效", "没有人来"]
+    for one in ("How long does the adapter keep the line", "The tenant must pay the rent before the landlord", "Yes", "New York City Council of the United States"):
+        assert parts(one) == [one]
+    # a text with marks is read by its marks
+    assert parts("the committee met on tuesday nobody came. He left") == ["the committee met on tuesday nobody came.", "He left"]
+
+
 def test_sentence_edges():
     assert ends(None) == ends("") == ends(" \n ") == []
     assert ends("  One here.\n\nA rest with") == [11, 24]
