@@ -117,7 +117,7 @@ _AT = {name: i for i, name in enumerate(FEATURES)}
 _DIGIT = regex.compile(r"\p{N}")
 
 
-def features(cs: list[str], question: str, value: str, words: dict[int, float]) -> np.ndarray:
+def features(cs: list[str], question: str, value: str, words: dict[str, float]) -> np.ndarray:
     """One row of 0/1 features per clause of the value, but for cut. words: learned scores of declining."""
     _, qset, qpairs = _question(question)
     ql, _ = language(question)
@@ -185,7 +185,7 @@ _QUESTIONS = {
 _TRAPS = ["Sorry to hear that.", "Unfortunately the shop is closed on Sundays.", "I cannot see your file, but the rule is simple.", "The bank cannot refuse this.", "Thank you for asking.", "Please contact the desk by 5 p.m.", "No advice is needed here.", "The tenant is unable to leave before May.", "I am not aware of any limit, so the answer is yes."]
 
 
-def _training(words: dict[int, float]) -> list[tuple[np.ndarray, list[int]]]:
+def _training(words: dict[str, float]) -> list[tuple[np.ndarray, list[int]]]:
     """Labelled responses: sound ones, also short ones, ones that repeat the question first and ones with trap phrases; refusals; copies;
     foreign and unfinished ones."""
     rng, data = random.Random(11), []
@@ -233,7 +233,7 @@ def _training(words: dict[int, float]) -> list[tuple[np.ndarray, list[int]]]:
 
 
 @functools.lru_cache(1)
-def trained() -> tuple[np.ndarray, np.ndarray, dict[int, float]]:
+def trained() -> tuple[np.ndarray, np.ndarray, dict[str, float]]:
     """(emission weights, transition weights, word scores of declining) of the field, the former by Adagrad on the log-likelihood; the
     same on every machine."""
     words = learn([x for v in SEED.values() for x in v.split("\n") if x] + _TRAPS)
@@ -291,7 +291,7 @@ def best_tags(e: np.ndarray, t: np.ndarray) -> list[int]:
     return out[::-1]
 
 
-def read_pair(question: str, value: str, w: np.ndarray, t: np.ndarray, words: dict[int, float]) -> list[tuple[str | None, list[float]]]:
+def read_pair(question: str, value: str, w: np.ndarray, t: np.ndarray, words: dict[str, float]) -> list[tuple[str | None, list[float]]]:
     """(defect, coverage of each tag by characters) of a pair whose value is not empty: if it is whole, and if it was broken off."""
     body = _TAG_HEAD.sub("", value, count=1)
     cs = clauses(body)
@@ -324,7 +324,7 @@ def read_pair(question: str, value: str, w: np.ndarray, t: np.ndarray, words: di
     return out
 
 
-def judge(question: str, value: str, cut: bool, w: np.ndarray, t: np.ndarray, words: dict[int, float]) -> tuple[str | None, list[float]]:
+def judge(question: str, value: str, cut: bool, w: np.ndarray, t: np.ndarray, words: dict[str, float]) -> tuple[str | None, list[float]]:
     return read_pair(question, value, w, t, words)[cut]
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import functools
 import math
 import random
+import re
 
 import regex
 
@@ -36,16 +36,16 @@ PARTS = {
     ),
     "es": (
         "Lo siento,;Lo siento, pero;Lamentablemente,;;Como asistente,",
-        "no puedo;no me es posible;no estoy autorizado a;no debo;prefiero no;me niego a;no quiero;no se me permite",
-        "ayudarle con eso;ayudar con ese asunto;responder a esta pregunta;dar una opinión;comentar el asunto;ofrecer esta información;hablar de ese tema;aconsejarle",
+        "no puedo;no me es posible;no estoy autorizado a;no debo;prefiero no;me niego a;no quiero;no se me permite;no me está permitido;no me corresponde",
+        "ayudarle con eso;ayudar con ese asunto;responder a esta pregunta;dar una opinión;comentar el asunto;ofrecer esta información;hablar de ese tema;aconsejarle;opinar sobre el tema;pronunciarme sobre eso",
         "El banco;El inquilino;El tribunal;El cliente;El casero;Ella",
         "no puede;no debe;no está obligado a;se niega a;no tiene derecho a",
         "cambiar la tarifa;devolver el depósito;rescindir el contrato;responder después del plazo;entregar una copia;subir el alquiler",
     ),
     "pt": (
         "Desculpe,;Desculpe, mas;Infelizmente,;;Como assistente,",
-        "não posso;não me é possível;não estou autorizado a;não devo;prefiro não;recuso-me a;não quero;não me é permitido",
-        "ajudar com isso;ajudar com esse assunto;responder a esta pergunta;dar uma opinião;comentar o assunto;fornecer esta informação;falar desse tema;aconselhar",
+        "não posso;não me é possível;não estou autorizado a;não devo;prefiro não;recuso-me a;não quero;não me é permitido;não me cabe",
+        "ajudar com isso;ajudar com esse assunto;responder a esta pergunta;dar uma opinião;comentar o assunto;fornecer esta informação;falar desse tema;aconselhar;opinar sobre o tema",
         "O banco;O inquilino;O tribunal;O cliente;O senhorio;Ela",
         "não pode;não deve;não é obrigado a;recusa-se a;não tem direito a",
         "mudar a tarifa;devolver o depósito;rescindir o contrato;responder depois do prazo;entregar uma cópia;subir a renda",
@@ -119,6 +119,10 @@ I am only an assistant and have no view on it.
 I hold no opinion about that.
 I pass on this one.
 I abstain.
+Your contract is a matter I am not allowed to talk about.
+The card is a subject I may not comment on.
+No advice about the card can be given by this model.
+No answer to that can be given here by me.
 I have too little information to answer.
 I do not have the data to give an answer,
 so I must decline.
@@ -255,23 +259,19 @@ As regras proíbem uma segunda taxa.
 ฉันคิดว่าธนาคารต้องจ่าย
 กฎห้ามเก็บค่าธรรมเนียมซ้ำ"""
 
-_UNIT = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]|[\p{L}\p{M}\p{N}]+")
+_UNIT = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]|[\p{L}\p{M}]+|\p{N}+")
+_ASCII_UNIT = re.compile(r"[a-z]+|[0-9]+")
 _APOSTROPHE = regex.compile(r"(?<=\p{L})['’](?=\p{L})")
-DIM = 1 << 15
 
 
-def grams(clause: str) -> list[int]:
-    """Hashed units and neighbouring pairs of them (and threes) of a clause; a number is one sign."""
-    u = ["#" if x[0].isdigit() else x for x in _UNIT.findall(_APOSTROPHE.sub("", clause).lower())]
-    out = {f"1{x}" for x in u} | {f"2{a} {b}" for a, b in zip(["^"] + u, u + ["$"])} | {f"3{a} {b} {c}" for a, b, c in zip(u, u[1:], u[2:])}
-    return [_slot(x) for x in out]
-
-
-@functools.lru_cache(maxsize=100_000)
-def _slot(gram: str) -> int:
-    import xxhash
-
-    return xxhash.xxh32_intdigest(gram.encode("utf-8", "surrogatepass")) % DIM
+def grams(clause: str) -> set[str]:
+    """Units of a clause, neighbouring pairs with its ends, and threes; a number is one sign."""
+    text = clause.lower()
+    u = ["#" if x[0].isdigit() else x for x in (_ASCII_UNIT if text.isascii() else _UNIT).findall(_APOSTROPHE.sub("", text) if "'" in text or "’" in text else text)]
+    out = set(u)
+    out.update(map(" ".join, zip(["^", *u], [*u, "$"])))
+    out.update(map(" ".join, zip(u, u[1:], u[2:])))
+    return out
 
 
 def labelled(plain: list[str]) -> list[tuple[str, int]]:
@@ -286,23 +286,24 @@ def labelled(plain: list[str]) -> list[tuple[str, int]]:
     return out
 
 
-def learn(plain: list[str]) -> dict[int, float]:
-    """Weights of the hashed grams by logistic regression with Adagrad; slot -1 is the bias. The same on every machine."""
-    data = [(grams(x), y) for x, y in labelled(plain)]
-    w, g = [0.0] * DIM, [1e-2] * DIM
-    bias, gb = 0.0, 1e-2
+BIAS = ""
+
+
+def learn(plain: list[str]) -> dict[str, float]:
+    """Weights of the grams by logistic regression with Adagrad, that of the bias under BIAS. The same on every machine."""
+    data = [(sorted(grams(x)), y) for x, y in labelled(plain)]
+    w = {g: 0.0 for at, _ in data for g in at} | {BIAS: 0.0}
+    seen = dict.fromkeys(w, 1e-2)
     for _ in range(8):
         for at, y in data:
-            d = y - 1 / (1 + math.exp(-max(-30.0, min(30.0, bias + sum(w[i] for i in at)))))
-            for i in at:
-                step = d - 2e-3 * w[i]
-                g[i] += step * step
-                w[i] += 0.1 * step / math.sqrt(g[i])
-            gb += d * d
-            bias += 0.1 * d / math.sqrt(gb)
-    return {i: x for i, x in enumerate(w) if abs(x) > 1e-4} | {-1: bias}
+            d = y - 1 / (1 + math.exp(-max(-30.0, min(30.0, w[BIAS] + sum(w[g] for g in at)))))
+            for g in (*at, BIAS):
+                step = d - (2e-3 * w[g] if g else 0.0)
+                seen[g] += step * step
+                w[g] += 0.1 * step / math.sqrt(seen[g])
+    return {g: x for g, x in w.items() if abs(x) > 1e-4}
 
 
-def score(clause: str, weights: dict[int, float]) -> float:
-    """Log-odds that the clause declines."""
-    return weights[-1] + sum(weights.get(i, 0.0) for i in grams(clause))
+def score(clause: str, weights: dict[str, float]) -> float:
+    """Log-odds that the clause declines; grams that training has not seen count nothing."""
+    return weights[BIAS] + sum(weights[g] for g in grams(clause) & weights.keys())

@@ -263,15 +263,19 @@ class HiddenEventModel:
         return shape * space
 
     def p_length(self, prev: str, e: str, gap: int) -> float:
-        n = sum(self.length[prev, e, b] for b in "0123")
-        return (self.length[prev, e, _bucket(gap)] + 2.0) / (n + 8.0)
+        return self._step(_bucket(gap))["SN".index(prev)]["SN".index(e)]
+
+    @functools.lru_cache(maxsize=64)
+    def _step(self, bucket: str) -> list[list[float]]:
+        """Probability of so many words between two places, by the events at both."""
+        return [[(self.length[p, e, bucket] + 2.0) / (sum(self.length[p, e, b] for b in "0123") + 8.0) for e in "SN"] for p in "SN"]
 
     def posteriors(self, cands: list[dict]) -> list[float]:
         """Probability of a boundary at every candidate, by forward-backward over the two events."""
         if not cands:
             return []
         local = [[self.p_event(c["sym"], e) * self.p_next(c["sym"], e, c["nxt"]) for e in "SN"] for c in cands]
-        step = [[[self.p_length(p, e, c["gap"]) for e in "SN"] for p in "SN"] for c in cands]
+        step = [self._step(_bucket(c["gap"])) for c in cands]
         fwd, now = [], [local[0][k] * step[0][0][k] for k in (0, 1)]
         for t in range(len(cands)):
             if t:
