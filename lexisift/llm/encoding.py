@@ -142,7 +142,7 @@ class Garbled:
                     for b in read:
                         pairs.setdefault(read[a] + read[b], set()).add(("utf-8", enc))
         self.alphabet = frozenset(alphabet) | frozenset(map(chr, range(0x386, 0x3CF)))
-        self.high_run = re.compile(r"[^\x00-\x7f]+")
+        self.high_run, self.high_pair = re.compile(r"[^\x00-\x7f]+"), re.compile(r"[^\x00-\x7f]{2,}")
         self.automaton = ahocorasick.Automaton()
         for g, ps in pairs.items():
             if one_script(g):
@@ -177,15 +177,27 @@ class Garbled:
     def spans(self, text: str) -> list[tuple[int, int, tuple[str, str], bool]]:
         """Maximal runs of finds: (start, end, pair, strong). Of several pairs that of most characters wins, the earlier named on ties."""
         hits = []
-        for end, (n, ps, strong) in self.automaton.iter(text):
+        # all garbled characters are beyond ASCII, so only runs of two such characters or more can hold a sequence
+        for run in self.high_pair.finditer(text):
+            hits += self._hits(text, run.group(), run.start())
+        if not hits:
+            return []
+        return self._runs(hits)
+
+    def _hits(self, text: str, run: str, base: int) -> list[tuple[int, int, tuple, bool]]:
+        hits = []
+        for end, (n, ps, strong) in self.automaton.iter(run):
+            end += base
             at = end + 1 - n
             if not strong and at and text[at].isupper():
                 # a capital inside a word of small letters, or alone before a sign, is not clean text either
                 before = text[at - 1]
                 strong = before.islower() or (not before.isupper() and all(c in SIGNS for c in text[at + 1 : end + 1]))
             hits.append((at, end + 1, ps, strong))
-        if not hits:
-            return []
+        return hits
+
+    @staticmethod
+    def _runs(hits: list) -> list[tuple[int, int, list, bool]]:
         hits.sort(key=lambda h: (h[0], -h[1]))
         runs, cur = [], None
         for s, e, ps, strong in hits:
