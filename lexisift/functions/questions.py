@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Question types with their anchors in order, stop words, clause markers and flag patterns.
 QUESTION_TYPES = (
@@ -87,6 +92,24 @@ def readability(df: DataFrame, text: str) -> DataFrame:
     return df.withColumns({k: F.when(n > 0, F.round(v, 2)) for k, v in out.items()}).drop("_w", "_s", "_n")
 
 
+@F.pandas_udf(StringType())
+def normalised(c: pd.Series) -> pd.Series:
+    """Text in compatibility form (NFKC), white space other than blanks, tabs and line ends as one blank, controls gone, trimmed; [EMPTY] for null
+    and blank texts."""
+    def one(t):
+        if t is None or not t.strip():
+            return "[EMPTY]"
+        t = re.sub(r"[^\S\n\t ]+", " ", unicodedata.normalize("NFKC", t))
+        return re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "", t).strip()
+
+    return c.map(one)
+
+
+def sentence_split(c: Column) -> Column:
+    """Pieces after final marks followed by white space, trimmed, without empty ones."""
+    return F.filter(F.transform(F.split(c, r"(?<=[.!?])\s+"), trimmed), lambda s: s != "")
+
+
 def clean_response(c: Column) -> Column:
     """Text after the last answer tag, without leading signs that are no letters, digits or opening parentheses."""
     t = F.regexp_replace(c, r"(?is)^.*answer\s*[*]*\s*:", "")
@@ -112,9 +135,9 @@ def repeated_word(c: Column, most: int = 10) -> Column:
     return F.when(found != "", found)
 
 
-def degenerate(c: Column) -> Column:
-    """'line', 'word' or null: the kind of degenerate repetition."""
-    return F.when(repeated_line(c).isNotNull(), "line").when(repeated_word(c).isNotNull(), "word")
+def degenerate(c: Column, lines: int = 10, words: int = 10) -> Column:
+    """'line', 'word' or null: the kind of degenerate repetition, beyond so many lines or words."""
+    return F.when(repeated_line(c, lines).isNotNull(), "line").when(repeated_word(c, words).isNotNull(), "word")
 
 
 def word_total(c: Column) -> Column:

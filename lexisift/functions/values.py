@@ -102,3 +102,36 @@ def confidence(a: Column, default: float = 0.7) -> Column:
     tail = F.slice(a, F.greatest(F.lit(1), F.size(a) - 2), 3)
     total = F.aggregate(tail, F.lit(0.0), lambda s, x: s + x.cast("double"))
     return F.coalesce(F.when(F.size(tail) > 0, total / F.size(tail)), F.lit(default))
+
+
+def domain_of_name(name: Column, domains=("TelcoQA", "FiQA", "LegalQA")) -> Column:
+    """(domain, model) of a table's name: the first known domain in it, without regard to case, and the rest of the name in title case without
+    surrounding marks; the whole name is the domain if it holds none."""
+    rest, domain = F.lit(None).cast("string"), F.trim(name)
+    for d in reversed(domains):
+        hit = F.contains(F.lower(name), F.lit(d.lower()))
+        left = F.regexp_replace(F.replace(F.lower(name), F.lit(d.lower()), F.lit("")), r"^[_\- ]+|[_\- ]+$", "")
+        domain, rest = F.when(hit, d).otherwise(domain), F.when(hit, title(left)).otherwise(rest)
+    return F.struct(domain.alias("domain"), rest.alias("model"))
+
+
+def title(c: Column) -> Column:
+    """Every letter after a sign that is none as a capital, the others small."""
+    parts = F.regexp_extract_all(F.lower(c), F.lit(r"\p{L}+|\P{L}+"), F.lit(0))
+    return F.array_join(F.transform(parts, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 20))), "")
+
+
+def cut(columns: dict[str, int]) -> list[Column]:
+    """Projections of texts to their first characters, for reports."""
+    return [F.substring(c, 1, n).alias(c) for c, n in columns.items()]
+
+
+def of_extractor(column: str, name: str = "rule_based") -> Column:
+    """Rows of one extractor, without regard to case and surrounding blanks."""
+    return F.lower(F.trim(F.col(column))) == name.lower()
+
+
+def id_order(column: str) -> list[Column]:
+    """Sort keys for ids: numbers by their value first, then texts."""
+    n = F.expr(f"try_cast(`{column}` as double)")
+    return [n.isNull().asc(), n.asc(), F.col(column).asc()]

@@ -28,3 +28,10 @@ def cosine(a: Column, b: Column) -> Column:
 def angle(a: Column, b: Column) -> Column:
     """Degrees between two vectors."""
     return F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine(a, b)))))
+
+
+def alignment_recall(reference: Column, candidate: Column) -> Column:
+    """Mean over the reference's token vectors of the greatest cosine with one of the candidate's; null if either has none. Vectors are
+    arrays of arrays, as an embedder gives them."""
+    best = F.transform(reference, lambda r: F.array_max(F.transform(candidate, lambda c: cosine(r, c))))
+    return F.when((F.size(reference) > 0) & (F.size(candidate) > 0), F.aggregate(best, F.lit(0.0), lambda a, x: a + x) / F.size(reference))

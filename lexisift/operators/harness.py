@@ -7,6 +7,20 @@ from pyspark.sql import functions as F
 
 from ..functions.values import METHODS, finite, is_error, method_name
 
+# Where a mode takes its text from, and the settings of generation.
+MODES = {"nlq": ("question", "_NLQ"), "nlq_cot": ("question", "_NLQ_COT"), "sparql": ("sparql_query", "_SPARQL"), "sparql_cot": ("sparql_query", "_SPARQL_COT")}
+GENERATION = {"temperature": 0.75, "top_p": 0.9, "top_k": 50, "repetition_penalty": 1.3, "max_new_tokens": 1024, "max_input_tokens": 1600}
+# Chat templates by family of models.
+CHAT_TEMPLATES = {
+    "gemma": "<start_of_turn>user\n{prompt}<end_of_turn>\n<start_of_turn>model\n",
+    "mistral": "<s>[INST] {prompt} [/INST]",
+    "codellama": "[INST] {prompt} [/INST]",
+    "llama3": "<|begin_of_text|><|start_header_id|>user<|end_header_id|>\n{prompt}<|eot_id|><|start_header_id|>assistant<|end_header_id|>\n",
+    "qwen": "<|im_start|>user\n{prompt}<|im_end|>\n<|im_start|>assistant\n",
+    "qwen-coder": "<|im_start|>user\n{prompt}<|im_end|>\n<|im_start|>assistant\n",
+    "pythia": "Query: {prompt}\nResponse:",
+    "opt": "Query: {prompt}\nResponse:",
+}
 METRICS = ("input_length", "generated_length", "generation_time_seconds", "confidence_score")
 
 
@@ -65,6 +79,28 @@ def method_averages(metrics: DataFrame) -> DataFrame:
     return m.groupBy("method").agg(F.count("*").alias("n"), F.round(F.avg("generation_time_seconds"), 4).alias("mean_seconds"), F.round(F.avg(conf), 4).alias("mean_confidence"), F.round(F.avg("generated_length"), 2).alias("mean_length"))
 
 
+def first_loaded(loaders: list):
+    """What the first loader that does not fail gives (four bits, eight bits, processor, say); the last failure if all do."""
+    failure: Exception | None = None
+    for load in loaders:
+        try:
+            return load()
+        except Exception as ex:  # noqa: BLE001
+            failure = ex
+    raise failure if failure else ValueError("no loader")
+
+
+def guarded(df: DataFrame, source: Column, method: Column, response: str) -> DataFrame:
+    """df with an error record as response where the mode's source text is null or blank; other responses stay."""
+    empty = F.trim(F.coalesce(source, F.lit(""))) == ""
+    return df.withColumn(response, F.when(empty, F.concat(F.lit("ERROR: empty source for mode "), method)).otherwise(F.col(response)))
+
+
+def head(df: DataFrame, order: list, most: int) -> DataFrame:
+    """The first rows in an order, as many as a run is allowed to take."""
+    return df.orderBy(*order).limit(most)
+
+
 def generate(prompts: DataFrame, provider, text: str, retries: int = 1) -> DataFrame:
     """prompts with generated_response by provider(list of texts) -> list of texts, batch by batch; a failing batch is retried, then gives
     error records. Without a provider the column is null."""

@@ -116,10 +116,11 @@ def box_stats(long: DataFrame, value: str, keys=("method",), baseline_once: tupl
     return out.withColumn("log_scale", F.coalesce(F.col("high") / F.col("_p") > 20, F.lit(False))).select(*keys, "n", "low", "q1", "mid", "q3", "high", "log_scale")
 
 
-def with_tests(rates: DataFrame, pairs: DataFrame, least: int = 5) -> DataFrame:
-    """The table of win_rates with p_* per challenger: the signed-rank test of challenger against baseline, null below so many differences."""
+def with_tests(rates: DataFrame, pairs: DataFrame, least: int = 5, most_exact: int = 25) -> DataFrame:
+    """The table of win_rates with p_* per challenger: the signed-rank test of challenger against baseline, null below so many differences; exact
+    for groups up to most_exact without ties or zeros."""
     rows = F.explode(F.array(*[F.struct(F.lit(c).alias("method"), F.round(F.col(c) - F.col("nlq"), 12).alias("d")) for c in CHALLENGERS]))
-    w = wilcoxon(pairs.select(*CELL, rows.alias("r")).select(*CELL, "r.*"), [*CELL, "method"], "d", least=least)
+    w = wilcoxon(pairs.select(*CELL, rows.alias("r")).select(*CELL, "r.*"), [*CELL, "method"], "d", least=least, most_exact=most_exact)
     p = w.groupBy(*CELL).agg(*[F.max(F.when(F.col("method") == c, F.col("p"))).alias(f"p_{c}") for c in CHALLENGERS])
     return null_safe(rates, p, CELL, "left")
 

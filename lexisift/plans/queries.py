@@ -874,4 +874,4 @@ def windowed_events(spark, d):
     return w.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("mean", 4).alias("mean"))
 
 
-from . import question_queries  # noqa: E402, F401  (registers its queries)
+from . import question_queries, report_queries  # noqa: E402, F401  (register their queries)

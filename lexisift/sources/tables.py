@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import functools
 import re
+import zipfile
+from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,10 +77,76 @@ def result_files(spark: SparkSession, path: str, kinds: list[str] | None = None)
     return df.select("path", domain_of_path(F.col("path")).alias("domain"), "metadata", F.explode("results").alias("result"))
 
 
+def convention_files(spark: SparkSession, base: str, models: list[str], suffixes: list[str]) -> DataFrame:
+    """Results by the naming convention base/model_SUFFIX/model_SUFFIX.json: (model, mode, and the results' fields). Files that are missing are
+    no rows; with none at all the table is empty."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    conf = spark._jsc.sc().hadoopConfiguration()
+    parts = []
+    for m in models:
+        for x in suffixes:
+            path = f"{base}/{m}{x}/{m}{x}.json"
+            if fs_path(path).getFileSystem(conf).exists(fs_path(path)):
+                raw = spark.read.option("multiLine", True).json(path)
+                if "results" in raw.columns:
+                    raw = raw.select(F.explode("results").alias("r")).select("r.*")
+                parts.append(raw.withColumns({"model": F.lit(m), "mode": F.lit(x.strip("_").lower())}))
+    if not parts:
+        return spark.createDataFrame([], "model string, mode string")
+    return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def without(names: list[str], reference: str = "ground_truth") -> list[str]:
+    """Names of tables but for that of the references, without regard to case."""
+    return [n for n in names if n.strip().lower() != reference]
+
+
+def _cell(c, shared: list[str], ns: str):
+    kind, v = c.get("t"), c.find(f"{ns}v")
+    if kind == "inlineStr":
+        return "".join(t.text or "" for t in c.iter(f"{ns}t"))
+    if v is None or v.text is None:
+        return None
+    return shared[int(v.text)] if kind == "s" else v.text
+
+
+def workbook(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The sheets of an xlsx file by name, the first row as header, all cells as text. Workbooks are edge files of bounded size; they are read on
+    the driver. A sheet that cannot be read is left out."""
+    ns = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+    rel = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+    out: dict[str, DataFrame] = {}
+    with zipfile.ZipFile(path) as z:
+        names = set(z.namelist())
+        shared = ["".join(t.text or "" for t in si.iter(f"{ns}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in names else []
+        targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+        for sheet in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{ns}sheet"):
+            target = targets[sheet.get(rel)].lstrip("/")
+            try:
+                rows = []
+                for r in ElementTree.fromstring(z.read(target if target.startswith("xl/") else f"xl/{target}")).iter(f"{ns}row"):
+                    row: dict[int, str | None] = {}
+                    for c in r.iter(f"{ns}c"):
+                        at = functools.reduce(lambda a, x: a * 26 + ord(x) - 64, re.match("[A-Z]+", c.get("r")).group(), 0) - 1
+                        row[at] = _cell(c, shared, ns)
+                    rows.append(row)
+            except (KeyError, ElementTree.ParseError):
+                continue
+            if not rows:
+                continue
+            cols = [i for i, h in sorted(rows[0].items()) if h]
+            kind = ", ".join(f"`{rows[0][i]}` string" for i in cols)
+            out[sheet.get("name")] = spark.createDataFrame([tuple(r.get(i) for i in cols) for r in rows[1:]], kind)
+    return out
+
+
 def query_table(spark: SparkSession, path: str) -> DataFrame:
     """A query table by extension, with empty strings for missing text."""
     if path.endswith(".csv"):
-        return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path).na.fill("")
+        df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path).na.fill("")
+        return df.toDF(*[c.lstrip("\ufeff") for c in df.columns])
+    if path.endswith(".xlsx"):
+        return next(iter(workbook(spark, path).values())).na.fill("")
     if path.endswith(".parquet"):
         return spark.read.parquet(path).na.fill("")
     if path.endswith((".json", ".jsonl")):
