@@ -137,16 +137,43 @@ def daily_digests(features: DataFrame) -> DataFrame:
     return merge_digests(partial_digests(feature_values(features), keys, "v"), keys)
 
 
-def wrong_figures(features: DataFrame, summary: DataFrame) -> DataFrame:
+def keep_days(features: DataFrame, path: str) -> DataFrame:
+    """The digests of the store at path, brought up to date: days that the store does not have are digested and appended, one folder a day;
+    days it has are not read again, so a day must be complete when it is first kept. A corrected day is replaced by deleting its folder.
+
+    Rows of feature_id that a later day corrects are judged by all features, as everywhere: only new days of valid rows are kept."""
+    spark = features.sparkSession
+    keys = ["release_tag", "dkey", "metric", "day"]
+    values = feature_values(features)
+    old = stored_days(spark, path)
+    if old is not None:
+        values = values.join(F.broadcast(old.select("day").distinct()), "day", "left_anti")  # one row a day
+    merge_digests(partial_digests(values, keys, "v"), keys).write.mode("append").partitionBy("day").parquet(path)
+    kept = stored_days(spark, path)
+    return kept if kept is not None else merge_digests(partial_digests(values, keys, "v"), keys)
+
+
+def stored_days(spark, path: str) -> DataFrame | None:
+    """The digests kept at path, or None if there are none yet. Days without a date stand under a folder of their own."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.sc().hadoopConfiguration())
+    if not fs.exists(at) or not any(f.isDirectory() for f in fs.listStatus(at)):
+        return None
+    names = ["release_tag", "dkey", "metric", "day", "n", "mean", "lo", "hi"]
+    return spark.read.option("basePath", path).parquet(path).withColumn("day", F.col("day").cast("date")).select(*names)
+
+
+def wrong_figures(features: DataFrame, summary: DataFrame, daily: DataFrame | None = None) -> DataFrame:
     """Rows of the summary in which a published quartile or median is wrong: (release_tag, metric, domain).
 
     The digests bound the rank of each figure. A figure whose bounds settle the question needs no more; the ranks of the open
     ones are counted exactly in a second pass over the values of their groups. A null or NaN figure is wrong; a group without
-    values refutes nothing."""
+    values refutes nothing. daily: digests kept from earlier runs (keep_days); without them all days are digested anew."""
     keys = ["release_tag", "dkey", "metric"]
     values = durable(feature_values(features))
     day_keys = [*keys, "day"]
-    daily = merge_digests(partial_digests(values, day_keys, "v"), day_keys)
+    if daily is None:
+        daily = merge_digests(partial_digests(values, day_keys, "v"), day_keys)
     merged = durable(merge_digests(daily, keys))
     names = {"p25": 0.25, "median": 0.5, "p75": 0.75}
     s = summary.select("release_tag", "metric", "domain", F.lower(F.trim("domain")).alias("dkey"), *[F.col(c).cast("double").alias(c) for c in names]).dropDuplicates()

@@ -93,6 +93,23 @@ def test_wrong_figures(spark):
     assert digest.wrong_figures(f.limit(0), s).count() == 0 and digest.wrong_figures(f, s.limit(0)).count() == 0
 
 
+def test_days_are_kept(spark, tmp_path):
+    import datetime as dt
+
+    t0 = dt.datetime(2031, 1, 1)
+    rows = [(i, "r", t0 + dt.timedelta(days=i % 3), t0, "A", float(i), 1.0, i) for i in range(90)]
+    keys = ["release_tag", "dkey", "metric"]
+    day = digest.keep_days(features_table(spark, [r for r in rows if r[2] == t0]), f"{tmp_path}/days")
+    assert day.agg(F.sum("n")).first()[0] == 90 and day.select("day").distinct().count() == 1
+    daily = digest.keep_days(features_table(spark, rows), f"{tmp_path}/days")
+    assert daily.select("day").distinct().count() == 3 and daily.agg(F.sum("n")).first()[0] == 270
+    again = digest.keep_days(features_table(spark, rows), f"{tmp_path}/days")
+    assert again.agg(F.sum("n")).first()[0] == 270
+    s = spark.createDataFrame([("r", "complexity_score", "A", 22.0, 44.0, 67.0), ("r", "char_count", "A", 22.0, 60.0, 67.0)], "release_tag string, metric string, domain string, p25 double, median double, p75 double")
+    assert [tuple(r) for r in digest.wrong_figures(features_table(spark, rows), s, daily).collect()] == [("r", "char_count", "A")]
+    assert digest.merge_digests(daily, keys).agg(F.sum("n")).first()[0] == 270
+
+
 def test_containers(spark):
     rng = random.Random(2)
     sizes = [0, None, 2048, 2049, 4096, 10_000] + [rng.randint(1, 300) for _ in range(500)] + [77] * 400  # a hot length
