@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from ..session import spec, spread
-from .triples import GATE, Vocabulary, coined
+from .triples import GATE, Vocabulary, coined, pattern_triples
 
 TOKENS = "array<struct<text:string,lemma:string,pos:string,tag:string,dep:string,head:int>>"
 ENTS = "array<struct<label:string,surface:string>>"
@@ -219,10 +219,11 @@ def question_relations(df: DataFrame, entities: str, verbs: dict[str, str], toke
     return src.mapInArrow(run, f"{spec(src, names)}, `{out}` {SPO}")
 
 
-def tree_triples(df: DataFrame, keys: list[str], surfaces: dict[str, str], names: dict[str, str], properties: dict[str, str], qualifiers=(), blocked=(), tokens: str = "tokens", general: bool = False) -> DataFrame:
+def tree_triples(df: DataFrame, keys: list[str], surfaces: dict[str, str], names: dict[str, str], properties: dict[str, str], qualifiers=(), blocked=(), tokens: str = "tokens", general: bool = False, text: str | None = None) -> DataFrame:
     """(keys, subject, predicate, object, confidence, step, negated): triples of annotated texts by verb, attribute and logical passes, or
-    by the general one. Equal triples of a text stay once, the first. Null annotations give none."""
-    src = spread(df.select(*keys, tokens))
+    by the general one. With text, those of connecting phrases and causal verbs are found too, after the verbs' and after the
+    conjunctions'. Equal triples of a text stay once, the first; ordered by confidence, stable. Null annotations give none."""
+    src = spread(df.select(*keys, tokens, *([text] if text else [])))
     k = len(keys)
 
     def run(batches):
@@ -230,14 +231,17 @@ def tree_triples(df: DataFrame, keys: list[str], surfaces: dict[str, str], names
         some = frozenset(qualifiers)
         for b in batches:
             at, rows = [], []
-            for i, t in enumerate(b.column(k).to_pylist()):
+            texts = b.column(k + 1).to_pylist() if text else [None] * b.num_rows
+            for i, (t, said) in enumerate(zip(b.column(k).to_pylist(), texts)):
                 tree, seen = Tree(t or []), {}
-                passes = (general_pass(tree),) if general else (verb_pass(tree, voc, names), attribute_pass(tree, voc, properties, some), logical_pass(tree, voc))
+                plain = [(*x, False) for x in pattern_triples(said, voc)] if said else []
+                of = lambda step: [x for x in plain if x[4] == step]  # noqa: B023, E731
+                passes = (general_pass(tree),) if general else (verb_pass(tree, voc, names), of("structural"), attribute_pass(tree, voc, properties, some), logical_pass(tree, voc), of("causal"))
                 for p in passes:
                     for x in p:
                         seen.setdefault(x[:3], x)
                 at += [i] * len(seen)
-                rows += seen.values()
+                rows += sorted(seen.values(), key=lambda x: -x[3])
             cols = list(zip(*rows)) or [[]] * 6
             kinds = (pa.string(), pa.string(), pa.string(), pa.float64(), pa.string(), pa.bool_())
             yield pa.RecordBatch.from_arrays([*[c.take(pa.array(at, pa.int32())) for c in b.columns[:k]], *[pa.array(c, x) for c, x in zip(cols, kinds)]], [*keys, "subject", "predicate", "object", "confidence", "step", "negated"])

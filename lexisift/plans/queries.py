@@ -226,20 +226,6 @@ def inferred_questions(spark, d):
     return f.select("example_id", F.when(missing, formal.described(F.col("query_form"), F.col("join_count"))).otherwise(F.col("nlq")).alias("question"))
 
 
-@query(
-    "WITH t AS (SELECT example_id, domain, list_distinct(regexp_extract_all(lower(sparql), '[a-z_]\\w*')) AS w FROM paired_examples), "
-    "p AS (SELECT a.domain, a.w AS v, b.w FROM t a JOIN t b ON a.domain = b.domain AND a.example_id // 2 = b.example_id // 2 AND a.example_id % 2 = 0 AND b.example_id % 2 = 1) "
-    "SELECT domain, count(*) AS n, round(avg(CASE WHEN len(list_distinct(list_concat(v, w))) = 0 THEN 1.0 ELSE len(list_intersect(v, w)) / len(list_distinct(list_concat(v, w))) END), 4) AS jaccard_mean FROM p GROUP BY domain"
-)
-def jaccard_pairs(spark, d):
-    """Mean Jaccard similarity of the queries of a domain whose ids are 2k and 2k + 1, as its SQL has it: disjoint pairs by an equi-join,
-    linear in the rows. Not the mean of a domain; that is jaccard_all_pairs."""
-    p = read(spark, d, "paired_examples").select("domain", "example_id", "sparql", F.expr("example_id div 2").alias("k"))
-    a = p.filter("example_id % 2 = 0").select("domain", "k", F.col("sparql").alias("a"))
-    n = a.join(p.filter("example_id % 2 = 1").select("domain", "k", F.col("sparql").alias("b")), ["domain", "k"])
-    return n.groupBy("domain").agg(F.count("*").alias("n"), F.round(F.avg(formal.jaccard_tokens(F.col("a"), F.col("b"))), 4).alias("jaccard_mean"))
-
-
 @query(
     "WITH t AS (SELECT row_number() OVER () AS i, domain, list_distinct(regexp_extract_all(lower(sparql), '[a-z_]\\w*')) AS w FROM paired_examples), "
     "p AS (SELECT a.domain, a.w AS v, b.w FROM t a JOIN t b ON a.domain = b.domain AND a.i < b.i) "

@@ -274,7 +274,7 @@ def diagnostics_rows_full(spark, d):
 
 def stub_parser(frame):
     """A provider that tags words by their looks: capitals are proper nouns, digits numbers, a short list of verbs verbs, all others nouns;
-    every token hangs on the first verb (or first token). It stands in for a parser in queries and tests."""
+    every token hangs on the first verb (or first token), the one before it as its subject. It stands in for a parser in queries and tests."""
     import re
 
     verbs = ("keep", "provide", "need", "refuse", "handles", "ignores", "lost", "pay", "return", "decides")
@@ -282,7 +282,7 @@ def stub_parser(frame):
     for text in frame["question"]:
         words = re.findall(r"[A-Za-z]+|[0-9]+", text or "")
         root = next((i for i, w in enumerate(words) if w.lower() in verbs), 0)
-        out.append([{"text": w, "lemma": w.lower(), "pos": "VERB" if w.lower() in verbs else "NUM" if w[0].isdigit() else "PROPN" if w[0].isupper() else "NOUN", "tag": "VBZ" if w.lower() in ("handles", "ignores", "decides") else "X", "dep": "ROOT" if i == root else "nsubj" if i < root else "dobj", "head": root} for i, w in enumerate(words)])
+        out.append([{"text": w, "lemma": w.lower(), "pos": "VERB" if w.lower() in verbs else "NUM" if w[0].isdigit() else "PROPN" if w[0].isupper() else "NOUN", "tag": "VBZ" if w.lower() in ("handles", "ignores", "decides") else "X", "dep": "ROOT" if i == root else "nsubj" if i == root - 1 else "dep" if i < root else "dobj", "head": root} for i, w in enumerate(words)])
     return frame.assign(tokens=out, ents=[[{"label": "CARDINAL", "surface": w} for w in re.findall("[0-9]+", t or "")] for t in frame["question"]])
 
 
@@ -312,11 +312,11 @@ def annotated_relations(spark, d):
 
 @query()
 def tree_triples(spark, d):
-    """Triples of annotated questions by verb, attribute and logical passes."""
-    return parsed.tree_triples(annotated(spark, d), ["qa_id"], R.SURFACES, {"keep": "keeps"}, {"days": "hasDays"}, ("written", "faulty", "guest"), triples.BLOCKED)
+    """Triples of annotated questions by all five passes."""
+    return parsed.tree_triples(annotated(spark, d), ["qa_id"], R.SURFACES, {"keep": "keeps"}, {"days": "hasDays"}, ("written", "faulty", "guest"), triples.BLOCKED, text="question")
 
 
-@query("SELECT qa_id, 'ent:' || lower(w[1]) AS subject, 'rel:' || lower(v) AS predicate, count(DISTINCT lower(o)) AS n_objects FROM (SELECT qa_id, w, v, unnest(w[i+1:]) AS o FROM (SELECT qa_id, w, list_filter(w, lambda x : lower(x) IN " + _VERBS + ")[1] AS v, list_position(w, list_filter(w, lambda x : lower(x) IN " + _VERBS + ")[1]) AS i FROM (SELECT qa_id, regexp_extract_all(question, '[A-Za-z]+|[0-9]+') AS w FROM raw_qa)) WHERE i > 1) GROUP BY ALL")
+@query("SELECT qa_id, 'ent:' || lower(w[i-1]) AS subject, 'rel:' || lower(v) AS predicate, count(DISTINCT lower(o)) AS n_objects FROM (SELECT qa_id, w, v, i, unnest(w[i+1:]) AS o FROM (SELECT qa_id, w, list_filter(w, lambda x : lower(x) IN " + _VERBS + ")[1] AS v, list_position(w, list_filter(w, lambda x : lower(x) IN " + _VERBS + ")[1]) AS i FROM (SELECT qa_id, regexp_extract_all(question, '[A-Za-z]+|[0-9]+') AS w FROM raw_qa)) WHERE i > 1) GROUP BY ALL")
 def general_triples(spark, d):
     """Subject, verb and objects of annotated questions without a vocabulary, objects counted."""
     g = parsed.tree_triples(annotated(spark, d), ["qa_id"], {}, {}, {}, general=True)

@@ -183,9 +183,9 @@ def report_texts(spark, d):
     return read(spark, d, "all_models_responses").select("resp_id", *values.cut({"question": 120, "nlq_response": 150}))
 
 
-@query(f"WITH {LONG_SQL}, e AS (SELECT *, CASE WHEN resp_id % 2 = 0 THEN ' Rule_Based ' ELSE 'general' END AS ext FROM m) SELECT model, count(*) AS n FROM e WHERE lower(trim(ext)) = 'rule_based' GROUP BY model")
+@query(f"WITH {LONG_SQL}, e AS (SELECT *, CASE WHEN starts_with(method, 'sparql') THEN ' Rule_Based ' ELSE 'general' END AS ext FROM m) SELECT model, count(*) AS n FROM e WHERE lower(trim(ext)) = 'rule_based' GROUP BY model")
 def extractor_rows(spark, d):
-    m = Q.long_metrics(spark, d).withColumn("ext", F.when(F.col("resp_id") % 2 == 0, " Rule_Based ").otherwise("general"))
+    m = Q.long_metrics(spark, d).withColumn("ext", F.when(F.startswith("method", F.lit("sparql")), " Rule_Based ").otherwise("general"))
     return m.filter(values.of_extractor("ext")).groupBy("model").agg(F.count("*").alias("n"))
 
 
@@ -207,11 +207,10 @@ def templated_prompts(spark, d):
     return harness.wrapped(r, t, "model", "question").select("resp_id", "wrapped")
 
 
-@query("SELECT qa_id, coalesce(nullif(trim(query_id, ' '), ''), CAST(k AS VARCHAR)) AS key FROM (SELECT qa_id, CASE WHEN qa_id % 7 = 0 THEN NULL ELSE query_id END AS query_id, row_number() OVER (ORDER BY qa_id) AS k FROM raw_qa)")
+@query("SELECT qa_id, coalesce(nullif(trim(institute, ' '), ''), CAST(row_number() OVER (ORDER BY qa_id) AS VARCHAR)) AS key FROM raw_qa")
 def numbered_rows(spark, d):
-    """Ids as they are written, the row's number where one is missing (every seventh is taken away here)."""
-    q = read(spark, d, "raw_qa").select("qa_id", F.when(F.col("qa_id") % 7 != 0, F.col("query_id")).alias("query_id"))
-    return triples.numbered(q, "query_id", ["qa_id"], "key", buckets=32).select("qa_id", "key")
+    """A key from a column with gaps (the institute): the row's number where it is missing."""
+    return triples.numbered(read(spark, d, "raw_qa").select("qa_id", "institute"), "institute", ["qa_id"], "key", buckets=32).select("qa_id", "key")
 
 
 def _gold(spark, d):

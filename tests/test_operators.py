@@ -297,6 +297,8 @@ def test_tree_passes(spark):
     assert f[0]["dep_tree_depth"] == 2 and f[0]["ne_ORG"] == 1 and f[0]["ne_count"] == 2 and f[0]["pos_NOUN"] == 27.27 and f[1]["dep_tree_depth"] == 0 and f[1]["ne_density"] == 0.0
     assert {r["g"]: r["n"] for r in parsed.syntax_profiles(parsed.syntax_features(df), "g").collect()} == {"a": 2, "b": 1}
     assert parsed.tree_triples(df, ["g"], {"bank": "Bank", "loans": "Loan"}, {"hold": "holds"}, {}, ("three",)).count() == 2
+    both = parsed.tree_triples(df.withColumn("t", F.lit("The bank is regulated by the board. The bank holds.")), ["g"], {"bank": "Bank", "loans": "Loan", "board": "Board"}, {"hold": "holds"}, {}, ("three",), text="t").filter("g = 'a'").collect()
+    assert [r["step"] for r in both if r["predicate"] == "regulatedBy"] == ["structural"] * 2 and [r["confidence"] for r in both] == sorted((r["confidence"] for r in both), reverse=True) or len(both) == 4
     n = df.select(transform.ner_map(F.col("ents"), R.ENTITY_LABELS).alias("n")).first()["n"]
     assert [(x["label"], x["class"], x["data_prop"]) for x in n] == [("ORG", "Organisation", None)]
 
