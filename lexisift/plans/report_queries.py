@@ -76,6 +76,38 @@ h AS (SELECT qa_id, t, k, n, unnest(list_filter(range(1, length(t) - length(k) +
 b AS (SELECT qa_id, t, CAST(i - 1 AS INTEGER) AS s, CAST(i - 1 + length(k) AS INTEGER) AS e, n FROM h WHERE NOT regexp_matches(t[i - 1:i - 1], '{_WORD}') AND NOT regexp_matches(t[i + length(k):i + length(k)], '{_WORD}'))
 SELECT qa_id, s AS start, e AS "end", n AS name, regexp_matches(t[greatest(s - 19, 1):s], '\\b(?:no|not|without|never|cannot|can''t)\\b') AS negated FROM b x WHERE NOT EXISTS (SELECT 1 FROM b y WHERE y.qa_id = x.qa_id AND y.e - y.s > x.e - x.s AND y.s < x.e AND x.s < y.e)"""
 
+_BLOCK = ", ".join(f"'{w}'" for w in sorted(triples.BLOCKED))
+_LINKS = ", ".join(f"({i}, '{p}', '{n}')" for i, (p, n) in enumerate(triples.CONNECTIONS.items()))
+_CAUSAL = r"(?i)([A-Za-z ]{3,45}?)\s+(leads?\s+to|results?\s+in|triggers?|causes?|drives?|produces?|increases?|decreases?|reduces?)\s+([A-Za-z ]{3,45})"
+_VERB = "CASE regexp_extract(lower(v), '^[a-z]+') " + " ".join(f"WHEN '{k}' THEN '{n}' WHEN '{k}s' THEN '{n}'" for k, n in triples.CAUSES.items()) + " END"
+
+
+def triples_sql(source: str, keys: str) -> str:
+    """CTEs that end in tr (keys, subject, predicate, object, confidence, step): pattern triples of source (keys, text)."""
+    k = keys
+    return rf"""src AS ({source}),
+se AS (SELECT {k}, unnest(sl) AS sent, unnest(range(len(sl))) AS si FROM (SELECT {k}, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS sl FROM src)),
+li AS (SELECT {k}, si, i, n AS pred, list_filter(regexp_split_to_array(regexp_extract(sent, '(?is)^(.*?)\b(?:' || p || ')\b(.*)$', 1), '\s+'), lambda x : x <> '') AS bw,
+ list_filter(regexp_split_to_array(regexp_extract(regexp_replace(regexp_extract(sent, '(?is)^(.*?)\b(?:' || p || ')\b(.*)$', 2), '^\s+', ''), '(?s)^[^,;]*'), '\s+'), lambda x : x <> '') AS aw FROM se JOIN (VALUES {_LINKS}) v(i, p, n) ON regexp_matches(sent, '(?i)\b(?:' || p || ')\b')),
+ph AS (SELECT {k}, si, i, pred, m, array_to_string(bw[-m:], ' ') AS a, array_to_string(aw[1:m], ' ') AS b FROM li, (VALUES (3), (2), (1)) w(m)),
+ca AS (SELECT {k}, si, 1000 + unnest(range(len(x))) AS i, unnest(x) AS a, unnest(y) AS v, unnest(z) AS b FROM (SELECT {k}, si, regexp_extract_all(sent, '{_CAUSAL}', 1) AS x, regexp_extract_all(sent, '{_CAUSAL}', 2) AS y, regexp_extract_all(sent, '{_CAUSAL}', 3) AS z FROM se)),
+wd AS (SELECT DISTINCT t, lower(trim(regexp_replace(t, '\s+', ' ', 'g'))) AS key FROM (SELECT a AS t FROM ph UNION ALL SELECT b FROM ph UNION ALL SELECT a FROM ca UNION ALL SELECT b FROM ca)),
+fm AS (SELECT k AS f, v AS nm, i FROM (VALUES {', '.join(f"('{a}', '{b}', {j})" for j, (a, b) in enumerate(SURFACES.items()))}) u(k, v, i)),
+rs AS (SELECT t, arg_min(nm, (-c, -length(f), i)) AS nm, max(c) AS c FROM (
+ SELECT t, nm, f, i, 0.95 AS c FROM wd JOIN fm ON key = f UNION ALL SELECT t, nm, f, i, 0.85 FROM wd JOIN fm ON length(f) >= 4 AND contains(key, f)
+ UNION ALL SELECT t, nm, f, -1000 + list_position(string_split(key, ' '), f || 's'), 0.70 FROM wd JOIN fm ON length(f) = 3 AND list_contains(string_split(key, ' '), f || 's')) z WHERE length(lower(trim(t))) >= 3 AND lower(trim(t)) NOT IN ({_BLOCK}) GROUP BY t),
+na AS (SELECT {k}, si, i, max(pred) AS pred, arg_max(ra.nm, m) FILTER (ra.c IS NOT NULL) AS s, arg_max(ra.c, m) FILTER (ra.c IS NOT NULL) AS sc, arg_max(rb.nm, m) FILTER (rb.c IS NOT NULL) AS o, arg_max(rb.c, m) FILTER (rb.c IS NOT NULL) AS oc FROM ph LEFT JOIN rs ra ON ra.t = a LEFT JOIN rs rb ON rb.t = b GROUP BY {k}, si, i),
+al AS (SELECT {k}, 0 AS g, si, i, s AS subject, pred AS predicate, o AS object, round((sc + oc) / 2, 3) AS confidence, 'structural' AS step FROM na WHERE s IS NOT NULL AND o IS NOT NULL
+ UNION ALL SELECT {k}, 1, si, i, ra.nm, {_VERB}, rb.nm, round((ra.c + rb.c) / 2, 3), 'causal' FROM ca JOIN rs ra ON ra.t = a JOIN rs rb ON rb.t = b),
+tr AS (SELECT {k}, subject, predicate, object, CAST(confidence AS DOUBLE) AS confidence, step FROM (SELECT *, row_number() OVER (PARTITION BY {k}, subject, predicate, object ORDER BY g, si, i) AS rn FROM al) WHERE rn = 1)"""
+
+
+_RESP_SQL = f"WITH {Q._ANS.replace('a AS (SELECT resp_id, model, domain,', 'a AS (SELECT resp_id, model, domain, query_id,')}"
+_RESP_TR = triples_sql("SELECT resp_id, method, response AS text FROM a WHERE response IS NOT NULL", "resp_id, method")
+_DENS = r"round(coalesce(typed / nullif(CAST(len(list_filter(regexp_split_to_array(response, '\s+'), lambda x : x <> '')) AS DOUBLE), 0), 0.0), 4)"
+ORACLE["structural_triples"] = f"{_RESP_SQL}, {_RESP_TR} SELECT * FROM tr"
+ORACLE["kd_metrics"] = f"{_RESP_SQL}, {_RESP_TR}, n AS (SELECT resp_id, method, count(*) AS n_triples, count(*) FILTER (confidence >= 0.75) AS typed FROM tr GROUP BY ALL) SELECT resp_id, model, method, coalesce(n_triples, 0) AS n_triples, coalesce(typed, 0) AS typed, {_DENS.replace('typed', 'coalesce(typed, 0)')} AS kd FROM a LEFT JOIN n USING (resp_id, method) WHERE response IS NOT NULL"
+
 # ---- paired evaluation -------------------------------------------------------------------------------------------------------------
 
 _WT = f"({ORACLE['win_rate_table']}) t LEFT JOIN (SELECT domain, model, {', '.join(f"max(p) FILTER (method = '{c}') AS p_{c}" for c in values.CHALLENGERS)} FROM ({ORACLE['wilcoxon_signed_rank']}) GROUP BY ALL) w USING (domain, model)"
@@ -221,15 +253,20 @@ def _gold(spark, d):
     return triples.extract(g.filter("query_number is not null"), ["query_number"], "ground_truth", SURFACES).withColumnRenamed("query_number", "query_id")
 
 
-@query()
-def triple_counts(spark, d):
-    """Per response: triples found, triples of its reference, their ratio and typed triples per word."""
-    a = Q.answers(spark, d)
-    t = triples.extract(a.filter("response is not null"), ["resp_id", "method"], "response", SURFACES)
-    return triples.density_by_method(a, ["resp_id"], "method", "response", t, _gold(spark, d), "query_id")
+_GOLD = f"gl AS (SELECT query_number AS query_id, CASE WHEN ground_truth = '[EMPTY]' THEN '' ELSE ground_truth END AS text FROM ({ORACLE['last_ground_truth']}) WHERE query_number IS NOT NULL)"
 
 
-@query()
+@query(f"WITH {_GOLD}, {triples_sql('SELECT query_id, text FROM gl', 'query_id')} SELECT * FROM tr")
 def gold_triples(spark, d):
     """Distinct triples of the reference answers, each once per query."""
     return _gold(spark, d).dropDuplicates(["query_id", "subject", "predicate", "object"])
+
+
+@query(f"{_RESP_SQL}, {_RESP_TR}, n AS (SELECT resp_id, method, count(*) AS c, count(*) FILTER (confidence >= 0.75) AS typed FROM tr GROUP BY ALL), g AS (SELECT query_id, count(*) AS g FROM ({ORACLE['gold_triples']}) GROUP BY query_id), "
+       f"x AS (SELECT a.*, coalesce(c, 0) AS c, coalesce(typed, 0) AS typed, coalesce(g, 0) AS g, coalesce(lower(trim(response, ' ')) IN ('', 'nan', 'none', 'n/a'), true) AS missing FROM a LEFT JOIN n USING (resp_id, method) LEFT JOIN g ON g.query_id = a.query_id) "
+       f"SELECT resp_id, query_id, method, CASE WHEN missing THEN 0 ELSE c END AS triple_count_c, g AS triple_count_g, round(CASE WHEN missing THEN 0 ELSE c END / nullif(CAST(g AS DOUBLE), 0), 4) AS ratio_c_over_g, CASE WHEN missing THEN 0.0 ELSE {_DENS} END AS kd, missing FROM x")
+def triple_counts(spark, d):
+    """Per response: triples found, triples of its reference, their ratio and typed triples per word."""
+    a = Q.answers(spark, d)
+    t = triples.extract(a.filter("response is not null"), ["resp_id", "method"], "response", SURFACES)
+    return triples.density_by_method(a, ["resp_id"], "method", "response", t, _gold(spark, d), "query_id")
