@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections import Counter
 from itertools import accumulate
@@ -16,13 +17,17 @@ from .common import durable, is_empty, spec, spread
 WORDS, CHARS = 4, 8  # shortest passage, in words or, in scripts without spaces, in characters
 CHANGED_WORDS, CHANGED_CHARS = 1, 4  # longest change within it: a word
 _UNIT = regex.compile(r"(?P<u>[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}ー])|(?P<n>\p{N}+(?:[.,:/]\p{N}+)*)|(?P<w>[\p{L}\p{M}\p{N}]+(?:['’‑-][\p{L}\p{M}\p{N}]+)*)")
+_ASCII_UNIT = re.compile(r"([0-9]+(?:[.,:/][0-9]+)*)|([a-z0-9]+(?:['-][a-z0-9]+)*)")
 _LIST_MARK = regex.compile(r"(?m)^[ \t]*(?:[-*+•#>]+|\(?(?:\p{N}{1,3}|[a-zA-Z]|[ivxIVX]{1,4})[.):])[ \t]+")
 
 
 def units(text: str) -> tuple[list[str], bool]:
     """Comparable units and whether they are characters: words in lower case without punctuation and marks of numbering, numbers as
     one sign; characters where most of the text is in a script without spaces."""
-    t = unicodedata.normalize("NFKC", _LIST_MARK.sub("", text)).casefold()
+    t = _LIST_MARK.sub("", text)
+    if t.isascii():
+        return ["#" if number else word for number, word in _ASCII_UNIT.findall(t.lower())], False
+    t = unicodedata.normalize("NFKC", t).casefold()
     got = [(m.lastgroup, "#" if m.lastgroup == "n" else m.group()) for m in _UNIT.finditer(t)]
     chars = sum(k == "u" for k, _ in got)
     if chars > len(got) / 2:
@@ -46,6 +51,8 @@ def repeated_flags(u: list[str], least: int, change: int = 1) -> list[bool]:
         number.setdefault(x, len(number))
     s = "".join(chr(number[x]) for x in u) if len(number) < 0x110000 else tuple(u)  # slices of strings are cheap
     one, two = Counter(s), Counter(s[i : i + 2] for i in range(n - 1))
+    if max(two.values(), default=0) < 2:
+        return [False] * n  # every passage that comes back holds a pair that does
     back = [0] * (n + 1)  # units from here on of which each neighbouring pair comes back
     for i in range(n - 1, -1, -1):
         if one[s[i]] > 1:
