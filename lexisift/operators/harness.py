@@ -69,7 +69,8 @@ def response_union(long: DataFrame, key: str = "query_id") -> DataFrame:
 
 def run_counts(results: DataFrame, keys: list[str], response: str) -> DataFrame:
     """(keys, total, successful, errors) of result records."""
-    return results.groupBy(*keys).agg(F.count("*").alias("total"), F.count_if(~is_error(F.col(response))).alias("successful"), F.count_if(is_error(F.col(response))).alias("errors"))
+    c = results.groupBy(*keys).agg(F.count("*").alias("total"), F.count_if(is_error(F.col(response))).alias("errors"))
+    return c.select(*keys, "total", (F.col("total") - F.col("errors")).alias("successful"), "errors")
 
 
 def method_averages(metrics: DataFrame) -> DataFrame:

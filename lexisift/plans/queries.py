@@ -42,6 +42,16 @@ def formal_corpus(spark, d) -> DataFrame:
     return formal.query_features(spread(p.filter(F.length(F.trim("sparql")) > 10)), "sparql")
 
 
+def formal_once(spark, d) -> DataFrame:
+    """The featurised queries as a table, for operators that read them more than once: the features cost more than the table."""
+    f = formal_corpus(spark, d)
+    return durable(f.select("example_id", "domain", "query_form", *METRIC_NAMES, "has_negation", *[c for c in f.columns if c.startswith("op_")]))
+
+
+def question_once(spark, d) -> DataFrame:
+    return durable(question_corpus(spark, d).select("domain", *SURFACE_NAMES))
+
+
 def question_corpus(spark, d) -> DataFrame:
     p = tables.corpus(read(spark, d, "paired_examples").select("example_id", "domain", "nlq"), "nlq", 3)
     return questions.surface_features(spread(p), "text")
@@ -153,7 +163,7 @@ def _summary_sql(cte: str, rel: str, names: list[str]) -> str:
 
 @query(_summary_sql(FORMAL_SQL, "f", METRIC_NAMES))
 def scalar_summary(spark, d):
-    return profiles.scalar_summary(formal_corpus(spark, d), METRIC_NAMES)
+    return profiles.scalar_summary(formal_once(spark, d), METRIC_NAMES)
 
 
 @query(f"WITH {FORMAL_SQL} SELECT domain, count(*) FILTER (nary_count > 0) AS n_nary, round(100.0 * count(*) FILTER (nary_count > 0) / count(*), 1) AS pct_nary, round(avg(nary_count), 3) AS mean_nary, max(nary_count) AS max_nary FROM f GROUP BY domain")
@@ -171,7 +181,7 @@ _COMP = ("operator_diversity", "join_count", "nesting_depth", "compositional_sco
 
 @query(f"WITH {FORMAL_SQL} SELECT domain, {', '.join(f'round(avg({c}), 3) AS {c}_mean, round(median(CAST({c} AS DOUBLE)), 3) AS {c}_median, round(stddev_samp({c}), 3) AS {c}_std' for c in _COMP)} FROM f GROUP BY domain")
 def compositionality(spark, d):
-    return profiles.compositionality(formal_corpus(spark, d))
+    return profiles.compositionality(formal_once(spark, d))
 
 
 _SUB = ("complexity_score", "join_count", "nesting_depth", "operator_count", "compositional_score")
@@ -179,7 +189,7 @@ _SUB = ("complexity_score", "join_count", "nesting_depth", "operator_count", "co
 
 @query(f"WITH {FORMAL_SQL} SELECT domain, query_form, count(*) AS n, {', '.join(f'round(avg({c}), 3) AS {c}_mean, round(median(CAST({c} AS DOUBLE)), 3) AS {c}_median' for c in _SUB)} FROM f GROUP BY domain, query_form HAVING count(*) >= 3")
 def subgroup_analysis(spark, d):
-    return profiles.subgroups(formal_corpus(spark, d))
+    return profiles.subgroups(formal_once(spark, d))
 
 
 def _pct(c: str, name: str) -> str:
@@ -196,7 +206,7 @@ def _pct(c: str, name: str) -> str:
     + f", round(avg(ttr), 4) AS mean_ttr, {_pct('nary_count > 0', 'pct_nary')} FROM f GROUP BY domain"
 )
 def domain_profile(spark, d):
-    return profiles.domain_profile(formal_corpus(spark, d))
+    return profiles.domain_profile(formal_once(spark, d))
 
 
 _LEVELS = (
@@ -216,7 +226,7 @@ def level_strata(spark, d):
     "SELECT domain, level, example_id, stratum_median, distance, n FROM k WHERE r = 1"
 )
 def representative_rows(spark, d):
-    return profiles.representatives(profiles.levels(formal_corpus(spark, d)), "example_id")
+    return profiles.representatives(profiles.levels(formal_once(spark, d)), "example_id")
 
 
 @query(f"WITH {FORMAL_SQL} SELECT example_id, CASE WHEN nlq IS NULL OR lower(trim(nlq)) IN ('', 'nan', 'none') THEN '[Auto-inferred] ' || query_form || ' query with ' || join_count || ' join(s)' ELSE nlq END AS question FROM f")
@@ -247,7 +257,7 @@ def surface_features(spark, d):
 
 @query(f"WITH {QUESTION_SQL} SELECT domain, count(*) AS n, {', '.join(f'round(avg({c}), 3) AS {c}_mean, round(median(CAST({c} AS DOUBLE)), 3) AS {c}_median, round(stddev_samp({c}), 3) AS {c}_std' for c in SURFACE_NAMES)} FROM q GROUP BY domain")
 def surface_summary(spark, d):
-    return profiles.surface_summary(question_corpus(spark, d), SURFACE_NAMES)
+    return profiles.surface_summary(question_once(spark, d), SURFACE_NAMES)
 
 
 @query(f"WITH {QUESTION_SQL}, c AS (SELECT domain, question_type, count(*) AS n FROM q GROUP BY ALL) SELECT domain, question_type, n, round(100.0 * n / sum(n) OVER (PARTITION BY domain), 2) AS pct FROM c")
@@ -524,12 +534,12 @@ def angle_signed_rank(spark, d):
 
 @query(f"WITH {_ANG}, st AS (SELECT domain, model, method, round(avg(angle), 4) AS mean FROM an GROUP BY ALL) SELECT model, domain, method, mean FROM st WHERE method = 'sparql' ORDER BY abs(mean) DESC, model, domain LIMIT 1")
 def largest_displacement(spark, d):
-    return latent.largest_displacement(latent.angle_stats(_angles(spark, d)))
+    return latent.largest_displacement(latent.mean_angles(_angles(spark, d)))
 
 
 @query(f"WITH {_ANG}, st AS (SELECT domain, model, method, round(avg(angle), 4) AS mean FROM an GROUP BY ALL) SELECT model, domain, count(*) AS n_methods, count(DISTINCT sign(mean)) AS n_signs FROM st GROUP BY model, domain HAVING count(*) = 3 AND count(DISTINCT sign(mean)) > 1")
 def direction_flips(spark, d):
-    return latent.direction_flips(latent.angle_stats(_angles(spark, d)))
+    return latent.direction_flips(latent.mean_angles(_angles(spark, d)))
 
 
 @query()

@@ -56,7 +56,7 @@ _WIDE_SQL = (
 
 @query(_WIDE_SQL.format(ORACLE["kruskal_wallis"], ORACLE["scalar_summary"], ORACLE["dunn_pairs"]))
 def stats_table(spark, d):
-    return stats_wide(spark, d, METRIC_NAMES, Q.formal_corpus)
+    return stats_wide(spark, d, METRIC_NAMES, Q.formal_once)
 
 
 @query("SELECT resp_id, method, CASE WHEN n_line > 0 THEN 'line' WHEN n_word > 0 THEN 'word' END AS kind FROM (SELECT resp_id, method, CASE WHEN len(l) > 2 THEN len(list_filter(list_distinct(list_filter(t, lambda x : x <> '')), lambda x : len(list_filter(t, lambda y : y = x)) > 2)) ELSE 0 END AS n_line, "
