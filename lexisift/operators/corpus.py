@@ -121,7 +121,7 @@ def lexical_diversity(df: DataFrame, id_col: str, group: str, tokens: Column, wi
 
     MATTR is counted over chunks of the tokens. MTLD is sequential by definition: where a factor begins depends on all tokens before it,
     so a group's tokens are streamed through one task per direction in id order, with the types of the open factor as the only state."""
-    t = df.select(F.col(group).alias("g"), F.col(id_col).alias("id"), tokens.alias("t"))
+    t = durable(df.select(F.col(group).alias("g"), F.col(id_col).alias("id"), tokens.alias("t")))
     ttr = t.select("g", F.explode("t").alias("w")).groupBy("g", "w").agg(F.count("*").alias("c")).groupBy("g").agg(F.count("*").alias("types"), F.sum("c").alias("tokens"))
     n = t.groupBy("g").agg(F.count("*").alias("n"))
     kind = t.schema["g"].dataType.simpleString()

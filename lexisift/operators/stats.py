@@ -52,7 +52,7 @@ def percentiles(df: DataFrame, keys: list[str], metrics: list[str], quantiles: d
     """(keys, {metric}_{name}): exact percentiles with linear interpolation of the finite values of each metric, from counts of smaller values;
     null without values. No buffer grows with a key, as that of the built-in exact percentile does."""
     long = df.select(*keys, *[finite(F.col(m).cast("double")).alias(m) for m in metrics]).unpivot(keys, metrics, "_m", "_x").filter("_x is not null")
-    counted = long.groupBy(*keys, "_m", "_x").agg(F.count("*").alias("ties"))
+    counted = durable(long.groupBy(*keys, "_m", "_x").agg(F.count("*").alias("ties")))
     by = [*keys, "_m"]
     n = counted.groupBy(*by).agg(F.sum("ties").alias("_n"))
     at = null_safe(values_below(counted, by, "_x"), n, by)
@@ -163,7 +163,7 @@ def bootstrap_ci(df: DataFrame, keys: list[str], value: str, order: str | None =
     of the buckets are added. order is kept for callers; the result doesn't depend on it."""
     head = spec(df, keys)
     x = df.select(*keys, finite(F.col(value).cast("double")).alias("_v")).filter("_v is not null")
-    counted = x.groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
+    counted = durable(x.groupBy(*keys, "_v").agg(F.count("*").alias("_c")))
     sizes = counted.groupBy(*keys).agg(F.ceil(F.count("*") / per_bucket).cast("int").alias("_k"))
     placed = null_safe(counted, sizes, keys).withColumn("_b", F.pmod(F.xxhash64("_v"), F.col("_k")).cast("int"))
     totals = placed.groupBy(*keys, "_b").agg(F.sum("_c").alias("_t")).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_b", "_t"))).alias("_all"))  # one entry a bucket
@@ -178,10 +178,11 @@ def bootstrap_ci(df: DataFrame, keys: list[str], value: str, order: str | None =
         rng = np.random.default_rng([seed, bucket])
         g = g.sort_values("_v")
         v, c = g["_v"].to_numpy(), g["_c"].to_numpy(float)
-        sums = np.array([rng.multinomial(k, c / c.sum()) @ v for k in mine])
+        step = max(1, 2_000_000 // len(v))  # draws at a time, to bound memory
+        sums = np.concatenate([rng.multinomial(mine[i : i + step], c / c.sum()) @ v for i in range(0, draws, step)])
         return pd.DataFrame([[*key[: len(keys)], int(c.sum()), float(v @ c), sums]], columns=[*keys, "n", "total", "sums"])
 
-    parts = null_safe(placed, totals, keys).groupBy(*keys, "_b").applyInPandas(one, f"{head}, n bigint, total double, sums array<double>")
+    parts = durable(null_safe(placed, totals, keys).groupBy(*keys, "_b").applyInPandas(one, f"{head}, n bigint, total double, sums array<double>"))
     i = F.posexplode("sums").alias("i", "s")
     summed = parts.select(*keys, i).groupBy(*keys, "i").agg(F.sum("s").alias("s"))
     whole = parts.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("total").alias("total"))

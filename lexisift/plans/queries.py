@@ -513,7 +513,7 @@ def zscore(spark, d):
 
 
 def _angles(spark, d):
-    return latent.signed_angles(latent.zscores(durable(latent_rows(spark, d)), LATENT), LATENT, "seconds")
+    return durable(latent.signed_angles(latent.zscores(durable(latent_rows(spark, d)), LATENT), LATENT, "seconds"))
 
 
 @query(f"WITH {_ANG} SELECT domain, model, method, query_id, round(angle, 3) AS angle FROM an")
