@@ -81,7 +81,21 @@ The cat, cf. above, is black.
 This costs 30 euros, incl. tax, vs. 25 last year.
 As agreed with Dr. Orme of Holt Ltd. the fee is waived.
 The clerk at Holt & Co. was kind.
-It was 5 a.m. when they rang.""",
+It was 5 a.m. when they rang.
+See pp. 30 ff., not p. 12.
+The notes, pp. 4 ff., are short.
+Apples, pears, etc., are ripe.
+Write to Holt Ltd., Leeds.
+Read more at example.org today.
+Open the file report.txt with care.
+It rose by .5 per cent.
+March was cold.
+Dr.Hayes rang Mr.Park.
+See Art.12 and fig.3 on p.8 of it.
+It weighs approx.40 grams.
+Indeed.
+Why not?
+Enough!""",
     "de": """Der Zug fährt um acht Uhr ab.
 Niemand hat den Brief gelesen.
 Dr. Weber hat angerufen.
@@ -115,7 +129,9 @@ Es kostet 30 Euro.
 Das dauert 5 Tage.
 Übrigens stimmt das nicht.
 Ohne Strom läuft nichts.
-Die Straße ist gesperrt.""",
+Die Straße ist gesperrt.
+Siehe Art.4 und vgl.Abs.2 dort.
+Es dauert ca.30 Tage.""",
     "fr": """Le train part à huit heures.
 Personne n’a lu la lettre.
 M. Dupont est absent.
@@ -262,7 +278,14 @@ Dura 5 dias.
 कीमत 2.5 प्रतिशत बढ़ी।
 बैठक 5 दिन चली।
 यह सही नहीं है।
-रु. 50 का शुल्क लगेगा।""",
+रु. 50 का शुल्क लगेगा।
+पुराने नियम अब हट गए हैं।
+उसने नए घर में सब नियम पढ़े।
+मेरी बहन कल शाम को दिल्ली जाएगी।
+हमने बाज़ार से ताज़े फल और सब्ज़ी खरीदी।
+बच्चे मैदान में खेल रहे थे।
+उसकी नई किताब बहुत अच्छी है।
+दुकान सुबह नौ बजे खुलती है।""",
     "th": """รถไฟออกแปดโมง
 ไม่มีใครอ่านจดหมาย
 ใครพูดอย่างนั้น

@@ -1,14 +1,16 @@
 """Problem 2: sentence boundaries with a hidden-event n-gram language model.
 
-Text becomes a stream of symbols. At every place where a sentence might end (after terminators with their closing marks, at line
-ends, at spaces of Thai; in texts without any such mark between all words) a hidden event, boundary or none, stands between two symbols. An n-gram model with back-off, estimated
-from labelled text, gives the probability of symbols and events; forward-backward sums over all event sequences and gives the
-posterior of each boundary.
+Text becomes a stream of symbols. At every place where a sentence might end a hidden event, boundary or none, stands between two
+symbols. An n-gram model with back-off, estimated from labelled text, gives the probability of symbols and events; forward-backward
+sums over all event sequences and gives the posterior of each boundary. First come the places with a mark (after every terminator with
+its closing marks, at line ends, at spaces of Thai). Then, in each stretch between the boundaries found there, all places between words,
+and between the characters of Chinese and Japanese: the stretch may be written without marks, and its words say how likely that is.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 import random
 from collections import Counter
@@ -19,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import is_empty, spec, spread
+from .refusals import DECLINED, SAID
 from .seed_sentences import SEED
 
 # Abbreviations by how they behave: before a name, before a number or reference, within a sentence only, or also at its end.
@@ -111,7 +114,7 @@ def candidates(text: str) -> list[dict]:
     depth: list[tuple[str, str]] = []  # open quotes and brackets with what stood before them
     n = len(toks)
     i = 0
-    last_sym = ""
+    thai = False  # Thai stands before this place
     while i < n:
         kind, s, a, b = toks[i]
         if kind == "run":  # small words with single blanks behind them: no event can stand among them
@@ -120,6 +123,7 @@ def candidates(text: str) -> list[dict]:
             continue
         if kind in ("word", "num", "url", "cjk", "thai"):
             words += 1 if kind not in ("cjk", "thai") else max(1, len(s) // 2)
+            thai = thai or kind == "thai"
             i += 1
             continue
         if kind == "open" or (kind == "close" and s in "\"'" and not any(q == s for q, _ in depth) and (i == 0 or toks[i - 1][0] in ("space", "open"))):
@@ -169,12 +173,8 @@ def candidates(text: str) -> list[dict]:
                 singles.append("single" if pk == "single" or (p[0] == "word" and len(p[1]) == 1) else "")
             inner = "in" if depth and depth[-1][1] != "start" and depth[-1][0] in "“«„「『\"‘" else ""
             close = ("c" + (ctx or "?")) if closers else inner
-            # without a space after it, a full stop ends a sentence only before a capital that follows a longer word
-            if mark in ("dot", "dots") and space == "none" and nxt != "end":
-                ok = (nxt in ("upper", "caseless", "han", "kana") or opened and nxt in ("upper",)) and pk in ("lower", "num", "upper", "caseless", "cjk", "any", "end", "mark") and len(p[1]) > 1 or closers and nxt in ("upper",)
-                if not ok:
-                    i = j
-                    continue
+            if mark in ("dot", "dots") and space == "none" and k < n:
+                mark = "tight"  # a full stop with no space after it is a symbol of its own
             out.append({"end": e, "sym": (mark, pk, close), "nxt": (space, nxt, "o" if opened else ""), "gap": words})
             words = 0
             i = j
@@ -195,7 +195,7 @@ def candidates(text: str) -> list[dict]:
                     pk = "comma" if p[1] in ",;:،，、；：-–—" else "word"
                     out.append({"end": p[3], "sym": ("line", pk, ""), "nxt": ("par" if lines > 1 else "line", _shape(f[0], f[1]), "o" if opened else ""), "gap": words})
                     words = 0
-                elif (p[0] == "thai" or p[0] == "close" and i > 1 and toks[i - 2][0] == "thai") and f[0] in ("thai", "word", "cjk") or p[0] == "word" and f[0] == "thai" and _thai_before(toks, i):
+                elif (p[0] == "thai" or p[0] == "close" and i > 1 and toks[i - 2][0] == "thai") and f[0] in ("thai", "word", "run", "cjk", "url") or f[0] == "thai" and p[0] in ("word", "cjk", "url", "close") and thai:
                     out.append({"end": p[3], "sym": ("gap", "thai", ""), "nxt": ("sp", _shape(f[0], f[1]), "o" if opened else ""), "gap": words})
                     words = 0
             i += 1
@@ -204,10 +204,6 @@ def candidates(text: str) -> list[dict]:
     return out
 
 
-def _thai_before(toks: list, i: int) -> bool:
-    return any(t[0] == "thai" for t in toks[max(0, i - 6) : i])
-
-
 def _bucket(words: int) -> str:
     return "0" if words == 0 else "1" if words == 1 else "2" if words <= 3 else "3"
 
@@ -272,15 +268,26 @@ class HiddenEventModel:
 
     def posteriors(self, cands: list[dict]) -> list[float]:
         """Probability of a boundary at every candidate, by forward-backward over the two events."""
+        return self.chain(cands)[0]
+
+    @functools.lru_cache(200_000)
+    def gain(self, sym, nxt) -> float:
+        """Log of how much likelier the next symbol is with an event between, of either kind, than as the mere continuation."""
+        return math.log(self.p_event(sym, "S") * self.p_next(sym, "S", nxt) / self.p_next(sym, "N", nxt) + self.p_event(sym, "N"))
+
+    def chain(self, cands: list[dict]) -> tuple[list[float], float]:
+        """Posteriors, and the log of the sum over all event sequences."""
         if not cands:
-            return []
+            return [], 0.0
         local = [[self.p_event(c["sym"], e) * self.p_next(c["sym"], e, c["nxt"]) for e in "SN"] for c in cands]
         step = [self._step(_bucket(c["gap"])) for c in cands]
+        total = 0.0
         fwd, now = [], [local[0][k] * step[0][0][k] for k in (0, 1)]
         for t in range(len(cands)):
             if t:
                 now = [local[t][k] * sum(fwd[-1][j] * step[t][j][k] for j in (0, 1)) for k in (0, 1)]
             z = sum(now) or 1.0
+            total += math.log(z)
             now = [x / z for x in now]
             fwd.append(now)
         back, out = [1.0, 1.0], [0.0] * len(cands)
@@ -290,7 +297,7 @@ class HiddenEventModel:
             back = [sum(step[t][j][k] * local[t][k] * back[k] for k in (0, 1)) for j in (0, 1)]
             z = sum(back) or 1.0
             back = [x / z for x in back]
-        return out
+        return out, total
 
 
 @functools.lru_cache(1)
@@ -315,55 +322,170 @@ def model() -> HiddenEventModel:
     return m
 
 
-_PLAIN = regex.compile(r"\S+")
+_TIGHT = r"\p{Han}\p{Hiragana}\p{Katakana}ー々"  # scripts without spaces whose characters are symbols
+_PLAIN = regex.compile(rf"[{_TIGHT}]|[^\s{_TIGHT}]+")
+_SPACELESS = regex.compile(rf"[{_TIGHT}\p{{Thai}}\p{{Lao}}\p{{Khmer}}\p{{Myanmar}}]")
 _CLOSING = regex.compile(r"[.!?…。！？।|]+[\"'”’»)\]」』]*$|[,;:]$")
-SURE = 0.9  # posterior of a boundary between words without a mark; below it the words are read as one sentence
+#: What ends nothing: a space of Thai beside a number, a place right before a closing mark.
+_WITHIN = regex.compile(r"(?<=\p{Thai})\s+(?=\p{N})|(?<=\p{N})\s+(?=\p{Thai})|(?![\p{Ps}\p{Pi}])[\p{P}\p{S}]")
+SURE = 0.65  # posterior of a boundary between words without a mark; below it the words are read as one sentence
+RARE = 0.02  # share of stretches that are written without marks in texts that have marks
+_ROUNDS = 10  # orders in which the sentences are joined for training
+_KANA, _HAN, _THAI = regex.compile(r"[\p{Hiragana}\p{Katakana}]"), regex.compile(r"\p{Han}"), regex.compile(r"\p{Thai}")
+_LETTERS = regex.compile(r"[\p{L}\p{M}]+")
 _COMMON_LEAST = 2  # times that a word stands in the training text to be a symbol of its own
 
 
+@functools.lru_cache(1)
+def _plain_lines() -> dict[str, list[str]]:
+    """Labelled sentences without their final marks by language. Clauses labelled for another purpose go to the language that they share
+    most words with, or else to that of the clause before."""
+    by = {lang: block.split("\n") for lang, block in SEED.items()}
+    known = {lang: {w for line in lines for w in _LETTERS.findall(line.lower())} for lang, lines in by.items()}
+    lang = "en"
+    for line in (SAID + "\n" + DECLINED).split("\n"):
+        script = next((k for k, found in (("ja", _KANA), ("zh", _HAN), ("th", _THAI)) if found.search(line)), None)
+        words = set(_LETTERS.findall(line.lower()))
+        best = max(known, key=lambda k: (len(words & known[k]), k == lang))
+        lang = script or (best if words & known[best] else lang)
+        by[lang].append(line)
+    return {lang: [_CLOSING.sub("", x) for x in lines if x] for lang, lines in by.items()}
+
+
 @functools.lru_cache(1)
 def _common() -> frozenset:
-    n = Counter(w for block in SEED.values() for line in block.split("\n") for w in (x.lower().strip("“”\"'«»„(),.;:!?…") for x in line.split()) if w)
+    n = Counter(w for lines in _plain_lines().values() for line in lines for w in (x.lower().strip("“”\"'«»„(),.;:!?…") for x in line.split()) if w)
     return frozenset(w for w, c in n.items() if c >= _COMMON_LEAST)
 
 
+@functools.lru_cache(100_000)
 def _word(w: str) -> str:
     """Symbol of a word: itself if it is common, else its shape; a capital goes before it."""
     low = w.lower()
     if low in _common():
         return ("^" if w[:1].isupper() else "") + low
     c = w[:1]
+    if _SPACELESS.match(c) and not "\u3040" <= c <= "\u9fff":
+        return "thai"
     return "num" if c.isdigit() else "han" if "\u3040" <= c <= "\u9fff" else "upper" if c.isupper() else "lower" if c.islower() else "caseless" if c.isalpha() else "sign"
 
 
 def word_candidates(text: str) -> list[dict]:
-    """Every place between two words, for texts without marks."""
-    words = list(_PLAIN.finditer(text))
-    return [{"end": a.end(), "sym": ("word", _word(a.group()), ""), "nxt": ("sp", _word(b.group()), ""), "gap": 1} for a, b in zip(words, words[1:])]
+    """Every place between two words, and between two of which one is a character of a script without spaces."""
+    words = [(m.group(), m.start(), m.end()) for m in _PLAIN.finditer(text)]
+    out, prev = [], ""
+    for (a, _, end), (b, start, _) in zip(words, words[1:]):
+        if start > end:
+            out.append({"end": end, "sym": ("word", _word(a), ""), "nxt": ("sp", _word(b), ""), "gap": 1})
+            prev = ""
+        else:
+            out.append({"end": end, "sym": ("char", _char(a), prev), "nxt": ("none", _char(b), ""), "gap": 1})
+            prev = _char(a)
+    return out
 
 
-@functools.lru_cache(1)
-def word_model() -> HiddenEventModel:
-    """The model of boundaries between words, estimated from the labelled sentences without their final marks, in either case."""
-    rng, m = random.Random(13), HiddenEventModel()
-    for lang, block in SEED.items():
-        lines = [_CLOSING.sub("", x) for x in block.split("\n") if x]
-        for _ in range(30):
-            text, truth, small = "", set(), rng.random() < 0.4
+def _char(c: str) -> str:
+    return c if _SPACELESS.match(c) else _word(c)
+
+
+class WordModel(HiddenEventModel):
+    """The same chain with words as symbols. Most pairs of words were never seen, so the fallback weighs as much as there are kinds of
+    continuations, and counts are those of sentences, not of the orders in which they were seen."""
+
+    @staticmethod
+    def _levels(sym) -> list[int]:
+        return [1, 2, 3] if sym[2] else [1, 2]  # no level that has the same counts as the one before
+
+    @functools.cached_property
+    def _seen(self) -> dict:
+        """How often something followed, and how many kinds of it."""
+        seen: dict = {}
+        for lvl, counts in enumerate(self.follow):
+            for (h, e, *what), c in counts.items():
+                if what[0] != "space":
+                    n, kinds = seen.get((lvl, h, e), (0.0, 0))
+                    seen[lvl, h, e] = n + c / _ROUNDS, kinds + 1
+        return seen
+
+    @functools.lru_cache(100_000)
+    def p_event(self, sym, e: str) -> float:
+        p, keys = 0.5, self._events(sym)
+        for lvl in self._levels(sym):
+            n = (self.event[lvl][keys[lvl], "S"] + self.event[lvl][keys[lvl], "N"]) / _ROUNDS
+            p = (self.event[lvl][keys[lvl], e] / _ROUNDS + self.STRENGTH * p) / (n + self.STRENGTH)
+        return p
+
+    @functools.lru_cache(200_000)
+    def p_next(self, sym, e: str, nxt) -> float:
+        p, keys = 1.0 / len(_common()), self._follows(sym, nxt)
+        for lvl in self._levels(sym):
+            n, kinds = self._seen.get((lvl, keys[lvl], e), (0.0, 0))
+            if kinds:
+                p = (self.follow[lvl][keys[lvl], e, nxt[1]] / _ROUNDS + kinds * p) / (n + kinds)
+        return p
+
+
+@functools.lru_cache(3)
+def word_model(case: str) -> WordModel:
+    """The model of boundaries between words, estimated from the labelled sentences without their final marks: `small` in small letters,
+    `cased` as they are, `nouns` those of the language that gives capitals to nouns."""
+    rng, m = random.Random(13), WordModel()
+    for lang, lines in _plain_lines().items():
+        if case != "small" and (case == "nouns") != (lang == "de"):
+            continue
+        for r in range(_ROUNDS):
+            text, truth, sep = "", set(), "" if lang in ("zh", "ja") and r % 2 else " "
             for x in rng.sample(lines, len(lines)):
-                text += (" " if text else "") + (x.lower() if small else x)
+                text += (sep if text else "") + (x.lower() if case == "small" else x)
                 truth.add(len(text))
             m.learn(word_candidates(text), truth)
     return m
 
 
-def _events(text: str) -> tuple[list[dict], list[float]]:
-    cands = candidates(text)
-    whole = len(text.rstrip())
-    if any(c["end"] < whole or c["sym"][0] not in ("gap",) for c in cands):
-        return cands, model().posteriors(cands)
+@functools.lru_cache(200_000)
+def _gain(a: str, b: str, case: str) -> float:
+    return word_model(case).gain(("word", a, ""), ("sp", b, ""))
+
+
+def _unmarked(text: str, rare: float) -> list[tuple[int, float]]:
+    """(end, posterior) of the boundaries between the words of a stretch without marks; `rare` is the probability, before it is read, that it
+    is more than one sentence written without them. If no capitals stand beyond the first word, or no small letters, none can tell."""
+    words = text.split()
+    rest = "".join(words[1:])
+    cases = ("small",) if rest == rest.lower() or rest == rest.upper() else ("cased", "nouns")
+    if cases[0] == "small":
+        low = text.lower()
+        text = low if len(low) == len(text) else "".join(x.lower() if len(x.lower()) == 1 else x for x in text)
+        words = text.split()
+    odds, least = math.log(rare / (1.0 - rare)) if rare < 1.0 else math.inf, math.log(SURE / (1.0 - SURE))
+    # the product of all gains is no less than the sum over the event sequences: where it is too small, no place can be sure
+    spaced = text.isascii() or not _SPACELESS.search(text)
+    if spaced:
+        known = [_word(w) for w in words]
+        if all(odds + sum(map(_gain, known, known[1:], itertools.repeat(case))) <= least for case in cases):
+            return []
     cands = word_candidates(text)
-    return cands, [p if p > SURE else 0.0 for p in word_model().posteriors(cands)]
+    if not spaced and all(odds + sum(word_model(case).gain(c["sym"], c["nxt"]) for c in cands) <= least for case in cases):
+        return []
+    # the model that finds the words likelier reads them
+    (post, total), m = max(((m.chain(cands), m) for m in map(word_model, cases)), key=lambda x: x[0][1])
+    odds += total - sum(math.log(m.p_next(c["sym"], "N", c["nxt"])) for c in cands)
+    style = 1.0 / (1.0 + math.exp(-odds)) if odds > -700.0 else 0.0
+    return [(c["end"], p * style) for c, p in zip(cands, post) if p * style > SURE and not _WITHIN.match(text, c["end"])]
+
+
+def _boundaries(text: str) -> list[tuple[int, float]]:
+    """(end, posterior) of the boundaries inside the text, in order."""
+    whole = len(text.rstrip())
+    cands = candidates(text)
+    judged = {c["end"] for c in cands}
+    rare = RARE if any(c["end"] < whole or c["sym"][0] != "gap" for c in cands) else 1.0
+    out, at = [], 0
+    for end, p in [*((c["end"], p) for c, p in zip(cands, model().posteriors(cands)) if p > 0.5 and c["end"] < whole), (whole, 1.0)]:
+        out += [(at + e, q) for e, q in _unmarked(text[at:end], rare) if at + e not in judged]
+        out.append((end, p))
+        at = end
+    return out[:-1]
 
 
 def sentence_ends(text: str | None) -> list[tuple[int, int, float]]:
@@ -371,18 +493,13 @@ def sentence_ends(text: str | None) -> list[tuple[int, int, float]]:
     without a final mark is a sentence. Null, empty and blank texts have none."""
     if not text or not text.strip():
         return []
-    cands, post = _events(text)
     out, at = [], 0
     whole = len(text.rstrip())
-    for c, p in zip(cands, post):
-        if p > 0.5 and at < c["end"] < whole:
-            start = at + len(text[at : c["end"]]) - len(text[at : c["end"]].lstrip())
-            if start < c["end"]:
-                out.append((start + 1, c["end"], p))
-                at = c["end"]
-    start = at + len(text[at:whole]) - len(text[at:whole].lstrip())
-    if start < whole:
-        out.append((start + 1, whole, 1.0))
+    for end, p in [*_boundaries(text), (whole, 1.0)]:
+        start = at + len(text[at:end]) - len(text[at:end].lstrip())
+        if start < end:
+            out.append((start + 1, end, p))
+            at = end
     return out
 
 

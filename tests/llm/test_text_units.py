@@ -44,6 +44,37 @@ def test_sentences_without_marks():
     assert parts("the committee met on tuesday nobody came. He left") == ["the committee met on tuesday nobody came.", "He left"]
 
 
+def test_sentences_at_every_place():
+    parts = lambda t: [t[a - 1 : b] for a, b, _ in sentences.sentence_ends(t)]
+    # a full stop without a space, whatever stands around it
+    for want in (["He took plan B.", "The rest failed."], ["We paid 3.", "eBay was down."], ["It rained.", "May is warm."]):
+        assert parts("".join(want)) == want
+    for one in ("Read example.org and report.txt now.", "See fig.3 and p.12 of it.", "The notes, pp. 4 ff., are short."):
+        assert parts(one) == [one]
+    # Thai before a long foreign phrase
+    assert parts("คำว่า this is a long English phrase here ใช้ในสัญญา")[-1] == "ใช้ในสัญญา"
+    # no marks and no spaces
+    assert parts("没有人看过这封信他为什么拒绝李教授打了电话") == ["没有人看过这封信", "他为什么拒绝", "李教授打了电话"]
+    assert parts("日前までに書面で通知しなければなりません。") == ["日前までに書面で通知しなければなりません。"]
+    # a stretch without marks in a text with marks; what a capital alone suggests does not end a sentence there
+    text = ["Niemand hat den Brief gelesen", "Der Zug fährt um acht Uhr ab", "Die Straße ist gesperrt.", "Das stimmt."]
+    assert parts(" ".join(text)) == text
+    for one in ("Niemand hat den Brief gelesen.", "The committee met on Tuesday Nobody had read the minutes.", "Apple and Google and The New York Times are firms."):
+        assert parts(one) == [one]
+
+
+def test_unmarked_stretches_are_skipped_only_where_none_can_be_sure(monkeypatch):
+    rng = random.Random(8)
+    lines = [x.rstrip(".") for k in ("en", "de", "fr", "zh") for x in sentences.SEED[k].split("\n")]
+    texts = [" ".join(rng.choice(lines) for _ in range(rng.randint(1, 5))) for _ in range(300)]
+    texts += [x.lower() for x in texts[:100]]
+    got = [sentences._unmarked(x, sentences.RARE) for x in texts]
+    monkeypatch.setattr(sentences, "_gain", lambda a, b, case: 1e6)
+    monkeypatch.setattr(sentences.WordModel, "gain", lambda self, sym, nxt: 1e6)
+    assert [sentences._unmarked(x, sentences.RARE) for x in texts] == got
+    assert any(got) and not all(got)
+
+
 def test_sentence_edges():
     assert ends(None) == ends("") == ends(" \n ") == []
     assert ends("  One here.\n\nA rest with") == [11, 24]
